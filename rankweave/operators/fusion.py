@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.operators.topk import rounded, top_k
+from rankweave.operators.topk import SCORE_DIGITS, rounded, top_k
 from rankweave.session import broadcast_if_small
 
 CUT = 100
 RRF_K = 10
 SEMANTIC_RATIO = 0.3
+RAW_DIGITS = 9
 LISTS = ("lexical", "semantic", "fuzzy")
 
 
@@ -63,11 +64,12 @@ def fuse(queries: DataFrame, lists: dict[str, DataFrame], k: int = RRF_K, fuzzy_
     applies after normalising; a query's own `min_score` takes its place.
     """
     parts = contributions(queries, lists, k, fuzzy_weight)
-    scale = 100.0 * (k + 1) if normalize else 1.0
-    detail = F.struct("rank", "score", rounded(scale * F.col("contribution")).alias("contribution"))
+    # Plain RRF scores are small and keep more digits.
+    scale, digits = (100.0 * (k + 1), SCORE_DIGITS) if normalize else (1.0, RAW_DIGITS)
+    detail = F.struct("rank", "score", F.round(scale * F.col("contribution"), digits).alias("contribution"))
     details = [F.max(F.when(F.col("list") == name, detail)).alias(name) for name in LISTS if breakdown]
     fused = parts.groupBy("query_id", "doc_id").agg(
-        rounded(scale * F.sum("contribution")).alias("score"), F.max("min_score").alias("floor"), *details
+        F.round(scale * F.sum("contribution"), digits).alias("score"), F.max("min_score").alias("floor"), *details
     )
     kept = fused.filter(F.col("score") >= F.coalesce("floor", F.lit(min_score)))
     columns = ["query_id", "doc_id", "rank", "score"]
@@ -88,10 +90,10 @@ def weighted_sum(keyword: DataFrame, semantic: DataFrame, keyword_weight: float
     vec = semantic.select("query_id", "doc_id", F.col("score").alias("sim"))
     both = kw.join(vec, ["query_id", "doc_id"], "full").select(
         "query_id", "doc_id",
-        rounded(F.coalesce("kw", F.lit(0.0)) * keyword_weight).alias("weighted_keyword_score"),
-        rounded(F.coalesce("sim", F.lit(0.0)) * semantic_weight).alias("weighted_semantic_score"),
+        (F.coalesce("kw", F.lit(0.0)) * keyword_weight).alias("weighted_keyword_score"),
+        (F.coalesce("sim", F.lit(0.0)) * semantic_weight).alias("weighted_semantic_score"),
     )
-    total = rounded(F.col("weighted_keyword_score") + F.col("weighted_semantic_score"))
+    total = F.col("weighted_keyword_score") + F.col("weighted_semantic_score")
     return top_k(both.withColumn("total_score", total), limit, score="total_score")
 
 

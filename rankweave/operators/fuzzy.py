@@ -38,7 +38,7 @@ def similar_terms(words: DataFrame, vocabulary: DataFrame, threshold: float = TH
     # A ratio of set sizes below the threshold already rules the pair out.
     close = (F.col("n_term") >= threshold * F.col("n_word")) & (F.col("n_word") >= threshold * F.col("n_term"))
     shared = F.col("shared")
-    similarity = rounded(shared / (F.col("n_word") + F.col("n_term") - shared))
+    similarity = shared / (F.col("n_word") + F.col("n_term") - shared)
     return (
         held.join(broadcast_if_small(asked), "trigram").filter(close)
         .groupBy("word", "term", "n_word", "n_term")

@@ -179,7 +179,7 @@ def checked_items(spark, sf_dir):
         key = F.col("p_partkey").cast("string")
         ident = F.when(size % 13 == 0, quoted(F.concat(F.lit("x"), key))).when(size % 12 == 0, quoted(key)).otherwise(key)
         genres = F.when(size % 7 == 0, quoted(F.col("p_type"))).otherwise(F.concat(F.lit("["), quoted(F.col("p_type")), F.lit("]")))
-        date = F.when(size % 5 == 0, F.lit("true")).otherwise(key)
+        date = F.when(size % 5 == 0, F.lit('"soon"')).otherwise(key)
         part.select(F.format_string(
             '{"id": %s, "title": "%s", "genres": %s, "poster": "p%s", "release_date": %s}',
             ident, F.col("p_name"), genres, key, date)).write.text(path)
@@ -418,7 +418,8 @@ def vocabulary_trigrams(spark, sf_dir):
 
 def fuzzy_terms(spark, sf_dir):
     words = fuzzy.query_words(search_queries(spark, sf_dir)).select("word").distinct()
-    return fuzzy.similar_terms(words, fuzzy.vocabulary_of(document_index(spark, sf_dir, "simple")))
+    return fuzzy.similar_terms(words, fuzzy.vocabulary_of(document_index(spark, sf_dir, "simple"))).withColumn(
+        "similarity", topk.rounded(F.col("similarity")))
 
 
 def fuzzy_search(spark, sf_dir):
