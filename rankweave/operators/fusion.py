@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.operators.topk import SCORE_DIGITS, rounded, top_k
-from rankweave.session import broadcast_if_small
 
 CUT = 100
 RRF_K = 10
@@ -48,7 +47,7 @@ def contributions(queries: DataFrame, lists: dict[str, DataFrame], k: int = RRF_
     settings = queries.select("query_id", F.coalesce(ratio, F.lit(SEMANTIC_RATIO)).alias("ratio"), floor.alias("min_score"))
     weight = list_weight(F.col("list"), F.col("ratio"), fuzzy_weight)
     return (
-        rows.join(broadcast_if_small(settings), "query_id")
+        rows.join(settings, "query_id")
         .withColumn("weight", weight)
         .filter("weight > 0")
         .withColumn("contribution", F.col("weight") / (k + F.col("rank")))

@@ -1,9 +1,9 @@
 """Typo-tolerant search: character trigrams over the distinct vocabulary.
 
 Word similarity is the Jaccard measure of two trigram sets. The vocabulary is
-read once; its trigrams meet the broadcast trigrams of the query words, and the
-shared count of a pair is complete within the task that read the term, so only
-one row per pair above the threshold is left to move.
+placed by term, one short row each; its trigrams meet the broadcast trigrams of
+the query words and a pair is counted and judged where its term lies. Only
+pairs above the threshold go on.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from rankweave.functions.text import tokens, trigrams
 from rankweave.operators.topk import rounded, top_k
 from rankweave.plans.index import TermIndex
-from rankweave.session import broadcast_if_small
+from rankweave.session import broadcast_if_small, shuffle_partitions, written
 
 THRESHOLD = 0.2
+PAIR_ROWS = 1_000_000  # (word, term, similarity): some 100 MB at most
 
 
 def query_words(queries: DataFrame) -> DataFrame:
@@ -30,10 +31,11 @@ def query_words(queries: DataFrame) -> DataFrame:
 def similar_terms(words: DataFrame, vocabulary: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(word, term, similarity) of distinct `word`s and distinct `term`s."""
     asked = words.select("word", trigrams(F.col("word")).alias("g")).select(
-        "word", F.size("g").alias("n_word"), F.explode("g").alias("trigram")
+        "word", F.size("g").alias("n_word"), F.explode_outer("g").alias("trigram")
     )
-    held = vocabulary.select("term", trigrams(F.col("term")).alias("g")).select(
-        "term", F.size("g").alias("n_term"), F.explode("g").alias("trigram")
+    placed = vocabulary.select("term").repartition(shuffle_partitions(vocabulary.sparkSession), "term")
+    held = placed.select("term", trigrams(F.col("term")).alias("g")).select(
+        "term", F.size("g").alias("n_term"), F.explode_outer("g").alias("trigram")
     )
     # A ratio of set sizes below the threshold already rules the pair out.
     close = (F.col("n_term") >= threshold * F.col("n_word")) & (F.col("n_word") >= threshold * F.col("n_term"))
@@ -41,7 +43,7 @@ def similar_terms(words: DataFrame, vocabulary: DataFrame, threshold: float = TH
     similarity = shared / (F.col("n_word") + F.col("n_term") - shared)
     return (
         held.join(broadcast_if_small(asked), "trigram").filter(close)
-        .groupBy("word", "term", "n_word", "n_term")
+        .groupBy("term", "word", "n_term", "n_word")
         .agg(F.count(F.lit(1)).alias("shared"))
         .select("word", "term", similarity.alias("similarity"))
         .filter(F.col("similarity") >= threshold)
@@ -61,10 +63,10 @@ def fuzzy_scores(queries: DataFrame, index: TermIndex, threshold: float = THRESH
     """
     asked = query_words(queries)
     pairs = similar_terms(asked.select("word").distinct(), vocabulary_of(index), threshold)
-    pairs = pairs.withColumn("bucket", index.bucket_of(F.col("term")))
+    pairs = written(pairs.withColumn("bucket", index.bucket_of(F.col("term"))), "similar")
     best = (
         index.postings.select("bucket", "term", "doc_id")
-        .join(broadcast_if_small(pairs), ["bucket", "term"])
+        .join(broadcast_if_small(pairs, PAIR_ROWS), ["bucket", "term"])
         .groupBy("word", "doc_id")
         .agg(F.max("similarity").alias("similarity"))
     )

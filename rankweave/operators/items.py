@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions import scalars
-from rankweave.session import broadcast_if_small
+from rankweave.session import broadcast_if_small, written
 
 NUMBER_BLOCK = 1 << 20
 
@@ -16,7 +16,8 @@ def number_missing_ids(df: DataFrame, order: str, width: int = NUMBER_BLOCK) ->
 
     `order` is a unique integer. Rows are numbered inside blocks of `width`
     order values, and a running total over the blocks gives each its offset:
-    no task ever holds more than one block.
+    no task ever holds more than one block. Join and window share one shuffle
+    by block.
     """
     missing = df.filter("id IS NULL").withColumn("block", F.floor(F.col(order) / width))
     sizes = missing.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
@@ -25,7 +26,7 @@ def number_missing_ids(df: DataFrame, order: str, width: int = NUMBER_BLOCK) ->
     last = df.select(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
     place = F.row_number().over(Window.partitionBy("block").orderBy(order))
     numbered = (
-        missing.join(broadcast_if_small(offsets), "block")
+        missing.join(offsets, "block")
         .withColumn("id", last.scalar() + F.col("offset") + place)
         .drop("block", "offset")
     )
@@ -81,10 +82,18 @@ def query_prepare(queries: DataFrame) -> DataFrame:
     )
 
 
+def with_payload(hits: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Join the final hits to their documents.
+
+    The hits are few against the corpus and written first, so that their size
+    can be checked without searching twice; the corpus is read in place.
+    """
+    return corpus.join(broadcast_if_small(written(hits, "hits")), "doc_id")
+
+
 def hit_projection(hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Payload for the final hits only; the corpus is read in place."""
     payload = corpus.select("doc_id", "title", "overview", "genres", "poster")
-    return broadcast_if_small(hits).join(payload, "doc_id").select(
+    return with_payload(hits, payload).select(
         *hits.columns,
         F.coalesce("title", F.lit(scalars.DEFAULT_TITLE)).alias("title"),
         F.coalesce("overview", F.lit("")).alias("overview"),

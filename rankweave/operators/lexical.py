@@ -1,9 +1,9 @@
 """Lexical search of a table of queries (query_id, q) against a term index.
 
 The query side is small and its size is checked; broadcast to the postings it
-prunes them to the buckets of its terms and no posting is shuffled before it
-has been scored. Scores are summed per (query, document): map-side partial
-sums first, and a hot term spreads over all documents that hold it.
+prunes them to the buckets of its terms. Postings are sharded by document, so
+each task scores its documents completely and the first shuffle carries the k
+best per query and task.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rankweave.operators.topk import rounded, top_k
 from rankweave.plans.index import TermIndex
-from rankweave.session import broadcast_if_small
+from rankweave.session import MAX_BROADCAST_ROWS, holds_at_most
 
 K1 = 1.2
 B = 0.75
@@ -31,11 +31,17 @@ def query_terms(queries: DataFrame, index: TermIndex) -> DataFrame:
     )
 
 
+def small_query_terms(queries: DataFrame, index: TermIndex) -> tuple[DataFrame, bool]:
+    """The query terms and whether their checked number allows a broadcast."""
+    wanted = query_terms(queries, index)
+    return wanted, holds_at_most(wanted, MAX_BROADCAST_ROWS)
+
+
 def matches(queries: DataFrame, index: TermIndex, columns: list[str]) -> DataFrame:
     """Postings of the query terms: one row per (query, field, term, document)."""
-    wanted = broadcast_if_small(query_terms(queries, index))
+    wanted, small = small_query_terms(queries, index)
     return index.postings.select("bucket", "field", "term", "doc_id", *columns).join(
-        wanted, ["bucket", "term"]
+        F.broadcast(wanted) if small else wanted, ["bucket", "term"]
     )
 
 
@@ -62,9 +68,8 @@ def keyword_search(queries: DataFrame, index: TermIndex, k: int | None = 20) ->
     return top_k(all_terms_match(queries, index), k)
 
 
-def bm25_weights(queries: DataFrame, index: TermIndex) -> DataFrame:
+def bm25_weights(wanted: DataFrame, index: TermIndex) -> DataFrame:
     """Query terms with their idf and the field's mean length."""
-    wanted = broadcast_if_small(query_terms(queries, index))
     df = F.col("df").cast("double")
     idf = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))
     return index.terms.join(wanted, ["bucket", "term"]).select(
@@ -75,7 +80,11 @@ def bm25_weights(queries: DataFrame, index: TermIndex) -> DataFrame:
 def bm25_scores(queries: DataFrame, index: TermIndex, boosts: dict[str, float] | None = None,
                 k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) of every document that holds any query term."""
-    weights = broadcast_if_small(bm25_weights(queries, index))
+    wanted, small = small_query_terms(queries, index)
+    if small:  # the weights are as many, once per field
+        weights = F.broadcast(bm25_weights(F.broadcast(wanted), index))
+    else:
+        weights = bm25_weights(wanted, index)
     tf = F.col("tf").cast("double")
     norm = k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))
     part = F.col("idf") * tf * (k1 + 1) / (tf + norm)
@@ -129,19 +138,17 @@ def native_search(queries: DataFrame, index: TermIndex, k: int | None = 20,
                   cover_length: float = COVER_LENGTH) -> DataFrame:
     """Match all terms, rank by cover density.
 
-    Positions are gathered only for documents that match, and only those of
-    query terms: never more than one document's own length. Expects an index
-    with one field, whose positions share one count.
+    Positions are gathered within the shard, only those of query terms: never
+    more than one document's own length. Expects an index with one field.
     """
-    matched = all_terms_match(queries, index).select("query_id", "doc_id")
     gathered = (
         matches(queries, index, ["positions"])
-        .join(matched, ["query_id", "doc_id"])
-        .groupBy("query_id", "doc_id", "n_terms")
-        .agg(F.sort_array(F.collect_list(F.struct("term", "positions"))).alias("lists"))
+        .groupBy("query_id", "doc_id")
+        .agg(F.max("n_terms").alias("n_terms"), F.collect_list("positions").alias("lists"))
+        .filter(F.size("lists") == F.col("n_terms"))
     )
     slots = F.transform(
-        "lists", lambda t, i: F.transform(t["positions"], lambda p: F.struct(p.alias("pos"), i.alias("slot")))
+        "lists", lambda positions, i: F.transform(positions, lambda p: F.struct(p.alias("pos"), i.alias("slot")))
     )
     hits = F.array_sort(F.flatten(slots))
     scored = gathered.select("query_id", "doc_id", "n_terms", hits.alias("hits")).select(

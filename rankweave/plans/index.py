@@ -1,18 +1,23 @@
 """Term index: postings and term statistics of a corpus, written once.
 
-Build: every document is analysed and counted inside its own row, so the only
-shuffle is the one that groups postings by term bucket for the write. REBALANCE
-lets AQE cut a hot bucket (a term held by a third of all documents) into
-several files and merge the small ones.
-
-Read: both tables are partitioned by `bucket`, a hash of the term. Joining
-them with a broadcast set of query terms prunes to the buckets asked for
-(dynamic partition pruning). Document length is stored with each posting and
+Layout: postings are bucketed by document (`shards`) and partitioned by a hash
+of the term (`bucket`).
+
+* All postings of a document lie in one shard, so summing per (query, document)
+  needs no shuffle: each task scores its own documents completely and only the
+  k best per query leave it. A hot term, held by a third of all documents,
+  spreads over all shards.
+* Joining with a broadcast set of query terms prunes the scan to the term
+  buckets asked for (dynamic partition pruning).
+
+Build: the texts are shuffled once, by document; analysing, counting and
+writing then happen in place. Document length is stored with each posting and
 the corpus averages with each term, so scoring needs no further join.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -20,10 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import Analyzer
-from rankweave.session import spread, workspace
+from rankweave.session import workspace
 
-DOCS_PER_BUCKET = 50_000
-MAX_BUCKETS = 4096
+DOCS_PER_SHARD = 100_000
+MAX_SHARDS = 4096
+DOCS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 1024
 
 
 @dataclass(frozen=True)
@@ -90,44 +97,53 @@ def term_stats(postings: DataFrame, n_docs: int) -> DataFrame:
     return df.join(F.broadcast(lengths), "field")
 
 
+def sizes_for(n_docs: int) -> tuple[int, int]:
+    """(shards, term buckets) for a corpus."""
+    shards = max(8, min(MAX_SHARDS, -(-n_docs // DOCS_PER_SHARD)))
+    buckets = max(4, min(MAX_BUCKETS, -(-n_docs // DOCS_PER_BUCKET)))
+    return shards, buckets
+
+
 def build_index(
     corpus: DataFrame,
     fields: dict[str, Column],
     analyzer: Analyzer = Analyzer(),
     path: str | None = None,
+    shards: int | None = None,
     buckets: int | None = None,
 ) -> TermIndex:
-    """Write the index tables of a corpus that has a `doc_id`; return their readers.
+    """Write the index tables of a corpus that has a unique `doc_id`.
 
-    The number of buckets follows the corpus: about one per `DOCS_PER_BUCKET`.
+    The tables are registered in the session's catalog under the last part of
+    the path; their number of shards and buckets follows the corpus.
     """
     spark = corpus.sparkSession
     if path is None:
         path = f"{workspace(spark)}/index-{uuid.uuid4().hex}"
+    name = "rankweave_" + re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
     n_docs = corpus.count()
-    if buckets is None:
-        buckets = max(8, min(MAX_BUCKETS, -(-n_docs // DOCS_PER_BUCKET)))
-    occ = occurrences(spread(corpus), fields, analyzer)
+    default = sizes_for(n_docs)
+    shards, buckets = shards or default[0], buckets or default[1]
+    placed = corpus.repartition(shards, "doc_id")
+    postings = postings_of(occurrences(placed, fields, analyzer))
     (
-        postings_of(occ)
-        .withColumn("bucket", bucket_of(F.col("term"), buckets))
-        .hint("rebalance", "bucket")
+        postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
         .sortWithinPartitions("bucket", "term")
-        .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        .write.mode("overwrite").format("parquet").option("path", f"{path}/postings")
+        .partitionBy("bucket").bucketBy(shards, "doc_id").saveAsTable(f"{name}_postings")
     )
-    postings = spark.read.parquet(f"{path}/postings")
     (
-        term_stats(postings, n_docs)
+        term_stats(spark.table(f"{name}_postings"), n_docs)
         .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "term")
-        .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+        .write.mode("overwrite").format("parquet").option("path", f"{path}/terms")
+        .partitionBy("bucket").saveAsTable(f"{name}_terms")
     )
-    return open_index(spark, path, buckets, analyzer, tuple(fields))
+    return open_index(spark, name, buckets, analyzer, tuple(fields))
 
 
-def open_index(spark: SparkSession, path: str, buckets: int, analyzer: Analyzer,
+def open_index(spark: SparkSession, name: str, buckets: int, analyzer: Analyzer,
                fields: tuple[str, ...] = ("content",)) -> TermIndex:
     return TermIndex(
-        spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"),
-        buckets, analyzer, fields,
+        spark.table(f"{name}_postings"), spark.table(f"{name}_terms"), buckets, analyzer, fields
     )

@@ -15,7 +15,6 @@ from rankweave.operators.fuzzy import fuzzy_search
 from rankweave.operators.items import hit_projection, query_prepare
 from rankweave.operators.knn import nearest
 from rankweave.operators.lexical import all_terms_match, bm25_search, native_search
-from rankweave.session import broadcast_if_small
 from rankweave.plans.index import TermIndex
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -93,7 +92,7 @@ def retrieve(raw_queries: DataFrame, corpus: DataFrame, index: TermIndex, dim: i
     asked = query_prepare(raw_queries).filter("accepted")
     queries = asked.withColumn("query_vec", embed(F.col("q"), dim))
     hits = hybrid_rrf(queries, corpus, index, limit=None, **options)
-    hits = hits.join(broadcast_if_small(asked.select("query_id", "limit")), "query_id").filter("rank <= limit").drop("limit")
+    hits = hits.join(asked.select("query_id", "limit"), "query_id").filter("rank <= limit").drop("limit")
     return hit_projection(hits, corpus)
 
 

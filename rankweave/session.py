@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,17 @@ def broadcast_if_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if holds_at_most(df, rows) else df
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder: computed once, whoever reads it."""
+    path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of an input that has fewer splits than cores.
 

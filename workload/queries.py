@@ -508,7 +508,7 @@ def hybrid_weighted(spark, sf_dir):
     """With the payload of the hits, fetched once after the join."""
     hits = pipeline.hybrid_weighted(search_queries(spark, sf_dir), vector_corpus(spark, sf_dir), document_index(spark, sf_dir))
     payload = documents(spark, sf_dir).select("doc_id", "lang", "source")
-    return ranked(F.broadcast(hits).join(payload, "doc_id", "inner"), *WEIGHTED, "lang", "source")
+    return ranked(items.with_payload(hits, payload), *WEIGHTED, "lang", "source")
 
 
 def lists(spark, sf_dir, *names):
