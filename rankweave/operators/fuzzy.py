@@ -1,13 +1,18 @@
 """Typo-tolerant search: character trigrams over the distinct vocabulary.
 
 Word similarity is the Jaccard measure of two trigram sets. The vocabulary is
-placed by term, one short row each; its trigrams meet the broadcast trigrams of
-the query words and a pair is counted and judged where its term lies. Only
-pairs above the threshold go on.
+placed by term, one short row each, and every term is compared with the query
+words where it lies; only pairs above the threshold go on.
+
+Two ways to compare: query words that fit a checked number are broadcast as a
+trigram matrix and counted with numpy, batch by batch; more words than that
+meet the vocabulary in a join on the trigram.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +22,10 @@ from rankweave.plans.index import TermIndex
 from rankweave.session import broadcast_if_small, shuffle_partitions, written
 
 THRESHOLD = 0.2
-PAIR_ROWS = 1_000_000  # (word, term, similarity): some 100 MB at most
+MAX_WORDS = 10_000             # distinct query words compared by numpy
+MATRIX_BYTES = 128 << 20       # and the size of their trigram matrix
+CHUNK_CELLS = 2 << 20
+PACKED_PAIRS = 10_000_000      # broadcast pairs, 12 bytes each
 
 
 def query_words(queries: DataFrame) -> DataFrame:
@@ -28,50 +36,144 @@ def query_words(queries: DataFrame) -> DataFrame:
     )
 
 
-def similar_terms(words: DataFrame, vocabulary: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(word, term, similarity) of distinct `word`s and distinct `term`s."""
-    asked = words.select("word", trigrams(F.col("word")).alias("g")).select(
-        "word", F.size("g").alias("n_word"), F.explode_outer("g").alias("trigram")
-    )
-    placed = vocabulary.select("term").repartition(shuffle_partitions(vocabulary.sparkSession), "term")
-    held = placed.select("term", trigrams(F.col("term")).alias("g")).select(
-        "term", F.size("g").alias("n_term"), F.explode_outer("g").alias("trigram")
+def vocabulary_of(index: TermIndex) -> DataFrame:
+    terms = index.terms.select("term")
+    return terms if len(index.fields) == 1 else terms.distinct()
+
+
+def with_trigrams(df: DataFrame, column: str, size: str) -> DataFrame:
+    grams = df.select(column, trigrams(F.col(column)).alias("g"))
+    return grams.select(column, F.size("g").alias(size), F.explode_outer("g").alias("trigram"))
+
+
+class WordMatrix:
+    """Distinct query words as a trigram x word matrix of zeros and ones."""
+
+    def __init__(self, table: pa.Table):
+        self.words = table["word"].to_pylist()
+        grams = table["g"].to_pylist()
+        self.slot = {g: i for i, g in enumerate(sorted({x for gs in grams for x in gs}))}
+        self.size = np.array([len(gs) for gs in grams], dtype="float64")
+        self.cells = len(self.slot) * len(self.words)
+        self.held = None
+        if self.cells <= MATRIX_BYTES // 2:
+            self.held = np.zeros((len(self.slot), len(self.words)), dtype="uint16")
+            for column, gs in enumerate(grams):
+                self.held[[self.slot[x] for x in gs], column] = 1
+
+    def compare(self, grams: list, threshold: float):
+        """Yield (row, columns, similarities) of terms given by their trigrams."""
+        known = [[self.slot[x] for x in gs if x in self.slot] for gs in grams]
+        rows = [i for i, slots in enumerate(known) if slots]
+        step = max(1, CHUNK_CELLS // max(1, len(self.words) * 8))
+        for at in range(0, len(rows), step):
+            part = rows[at:at + step]
+            slots = np.concatenate([known[i] for i in part])
+            starts = np.cumsum([0] + [len(known[i]) for i in part[:-1]])
+            shared = np.add.reduceat(self.held[slots], starts, axis=0).astype("float64")
+            sizes = np.array([len(grams[i]) for i in part], dtype="float64")[:, None]
+            similarity = shared / (sizes + self.size[None, :] - shared)
+            for place, i in enumerate(part):
+                columns = np.flatnonzero(similarity[place] >= threshold)
+                if len(columns):
+                    yield i, columns, similarity[place, columns]
+
+
+def small_words(words: DataFrame) -> WordMatrix | None:
+    """The distinct query words for a broadcast, or None if they are too many."""
+    rows = words.select("word", trigrams(F.col("word")).alias("g")).limit(MAX_WORDS + 1).toArrow()
+    if rows.num_rows > MAX_WORDS:
+        return None
+    matrix = WordMatrix(rows)
+    return matrix if matrix.held is not None else None
+
+
+def placed(vocabulary: DataFrame) -> DataFrame:
+    return vocabulary.select("term").repartition(shuffle_partitions(vocabulary.sparkSession), "term")
+
+
+def packed_pairs(matrix: WordMatrix, vocabulary: DataFrame, threshold: float) -> DataFrame:
+    """(term, words, similarities): per term, numbers of the words it resembles."""
+    shared = vocabulary.sparkSession.sparkContext.broadcast(matrix)
+
+    def compare(batches):
+        asked = shared.value
+        for batch in batches:
+            terms = batch.column("term").to_pylist()
+            found = list(asked.compare(batch.column("g").to_pylist(), threshold))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([terms[i] for i, _, _ in found], pa.string()),
+                pa.array([c.astype("int32") for _, c, _ in found], pa.list_(pa.int32())),
+                pa.array([s for _, _, s in found], pa.list_(pa.float64())),
+            ], names=["term", "words", "similarities"])
+
+    return placed(vocabulary).select("term", trigrams(F.col("term")).alias("g")).mapInArrow(
+        compare, "term string, words array<int>, similarities array<double>"
     )
+
+
+def joined_pairs(words: DataFrame, vocabulary: DataFrame, threshold: float) -> DataFrame:
+    """(term, word, similarity) by a join on the trigram, for any number of words.
+
+    The vocabulary keeps its place by term, so pairs are counted and judged
+    without another shuffle as long as the words can be broadcast.
+    """
+    asked = with_trigrams(words, "word", "n_word")
+    held = with_trigrams(placed(vocabulary), "term", "n_term")
     # A ratio of set sizes below the threshold already rules the pair out.
     close = (F.col("n_term") >= threshold * F.col("n_word")) & (F.col("n_word") >= threshold * F.col("n_term"))
-    shared = F.col("shared")
-    similarity = shared / (F.col("n_word") + F.col("n_term") - shared)
+    similarity = F.col("shared") / (F.col("n_word") + F.col("n_term") - F.col("shared"))
     return (
         held.join(broadcast_if_small(asked), "trigram").filter(close)
         .groupBy("term", "word", "n_term", "n_word")
         .agg(F.count(F.lit(1)).alias("shared"))
-        .select("word", "term", similarity.alias("similarity"))
+        .select("term", "word", similarity.alias("similarity"))
         .filter(F.col("similarity") >= threshold)
     )
 
 
-def vocabulary_of(index: TermIndex) -> DataFrame:
-    terms = index.terms.select("term")
-    return terms if len(index.fields) == 1 else terms.distinct()
+def _zipped(packed: DataFrame, *keep: str) -> DataFrame:
+    return packed.select(*keep, F.inline(F.arrays_zip("words", "similarities"))).withColumnsRenamed(
+        {"words": "number", "similarities": "similarity"})
+
+
+def similar_terms(words: DataFrame, vocabulary: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(word, term, similarity) of distinct `word`s and distinct `term`s."""
+    matrix = small_words(words)
+    if matrix is None:
+        return joined_pairs(words, vocabulary, threshold).select("word", "term", "similarity")
+    pairs = _zipped(packed_pairs(matrix, vocabulary, threshold), "term")
+    return pairs.join(F.broadcast(_numbered(words.sparkSession, matrix)), "number").select("word", "term", "similarity")
+
+
+def _numbered(spark, matrix: WordMatrix) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(matrix.words)), "number int, word string")
 
 
 def fuzzy_scores(queries: DataFrame, index: TermIndex, threshold: float = THRESHOLD) -> DataFrame:
     """Mean over the query's words of the best similarity to a word of the document.
 
     Words are matched once each, not once per query that holds them. Expects a
-    `simple` index, whose terms are the words as written.
+    `simple` index, whose terms are the words as written. Postings stay in
+    their document shards; the sums need no shuffle.
     """
     asked = query_words(queries)
-    pairs = similar_terms(asked.select("word").distinct(), vocabulary_of(index), threshold)
-    pairs = written(pairs.withColumn("bucket", index.bucket_of(F.col("term"))), "similar")
-    best = (
-        index.postings.select("bucket", "term", "doc_id")
-        .join(broadcast_if_small(pairs, PAIR_ROWS), ["bucket", "term"])
-        .groupBy("word", "doc_id")
-        .agg(F.max("similarity").alias("similarity"))
-    )
+    words = asked.select("word").distinct()
+    matrix = small_words(words)
+    if matrix is None:
+        pairs, key = joined_pairs(words, vocabulary_of(index), threshold), "word"
+        hits = index.postings.select("bucket", "term", "doc_id").join(
+            pairs.withColumn("bucket", index.bucket_of(F.col("term"))), ["bucket", "term"])
+    else:
+        packed = packed_pairs(matrix, vocabulary_of(index), threshold)
+        packed = written(packed.withColumn("bucket", index.bucket_of(F.col("term"))), "similar")
+        total = packed.agg(F.sum(F.size("words"))).head()[0] or 0
+        side = F.broadcast(packed) if total <= PACKED_PAIRS else packed
+        hits = _zipped(index.postings.select("bucket", "term", "doc_id").join(side, ["bucket", "term"]), "doc_id")
+        asked, key = asked.join(F.broadcast(_numbered(queries.sparkSession, matrix)), "word"), "number"
+    best = hits.groupBy(key, "doc_id").agg(F.max("similarity").alias("similarity"))
     return (
-        best.join(broadcast_if_small(asked), "word")
+        best.join(broadcast_if_small(asked.select("query_id", key, "n_words")), key)
         .groupBy("query_id", "doc_id")
         .agg(F.sum("similarity").alias("total"), F.max("n_words").alias("n_words"))
         .select("query_id", "doc_id", rounded(F.col("total") / F.col("n_words")).alias("score"))

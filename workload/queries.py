@@ -335,7 +335,7 @@ def enrich_join(spark, sf_dir):
 # Text
 
 def tokenize(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term")).select(
+    return spread(documents(spark, sf_dir)).select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term")).select(
         "doc_id", (F.col("pos") + 1).cast(LONG).alias("pos"), "term")
 
 
@@ -347,7 +347,7 @@ def tokenize_by_lang(spark, sf_dir):
 
 def stopword_filter(spark, sf_dir):
     kept = without_stop_words(F.col("lang"), tokens(F.col("text")))
-    return documents(spark, sf_dir).select("doc_id", F.explode(kept).alias("term")).groupBy("doc_id", "term").agg(
+    return spread(documents(spark, sf_dir)).select("doc_id", F.explode(kept).alias("term")).groupBy("doc_id", "term").agg(
         F.count(F.lit(1)).alias("n"))
 
 
