@@ -17,6 +17,7 @@ the share of pairs scanned to be reported next to the recall.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rankweave.operators.topk import SCORE_DIGITS, top_k
 from rankweave.session import spread, workspace
@@ -106,14 +108,11 @@ def _feed(best: _Best, ids, docs, cells, queries, probes, metric, least) -> None
             best.add(some_ids[at:at + size], part, columns, least)
 
 
-def _output(best: _Best, query_ids: np.ndarray, metric: str) -> pd.DataFrame:
+def _output(best: _Best, query_ids: np.ndarray, metric: str, schema: pa.Schema) -> list[pa.Array]:
     df = best.cut()
     sign = -1.0 if metric == "l2" else 1.0
-    return pd.DataFrame({
-        "query_id": query_ids[df["q"].to_numpy(dtype="int64")],
-        "doc_id": df["doc_id"].to_numpy(),
-        "score": df["score"].to_numpy() * sign + 0.0,
-    })
+    columns = (query_ids[df["q"].to_numpy(dtype="int64")], df["doc_id"], df["score"].to_numpy() * sign + 0.0)
+    return [pa.array(values.tolist(), field.type) for values, field in zip(columns, schema)]
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -144,6 +143,8 @@ def _broadcast_search(corpus, query_table: pa.Table, dim, k, metric, least, sche
     matrix = _matrix(query_table["query_vec"].combine_chunks(), dim)
     shared = corpus.sparkSession.sparkContext.broadcast((query_ids, matrix, probes))
 
+    arrow = to_arrow_schema(schema)
+
     def search(batches):
         ids, queries, wanted = shared.value
         best = _Best(len(ids), k)
@@ -151,10 +152,7 @@ def _broadcast_search(corpus, query_table: pa.Table, dim, k, metric, least, sche
             cells = None if wanted is None else batch.column("cell").to_numpy()
             _feed(best, _ids(batch.column("doc_id")), _matrix(batch.column("embedding"), dim),
                   cells, queries, wanted, metric, least)
-        yield pa.RecordBatch.from_pandas(_output(best, ids, metric), schema=arrow, preserve_index=False)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    arrow = to_arrow_schema(schema)
+        yield pa.RecordBatch.from_arrays(_output(best, ids, metric, arrow), schema=arrow)
     return corpus.mapInArrow(search, schema)
 
 
@@ -167,16 +165,15 @@ def _grid_search(corpus, queries, dim, k, metric, least, schema, query_rows, blo
     left = corpus.select("doc_id", "embedding", block("doc_id", n_corpus).alias("cb"), every(n_query).alias("qb"))
     right = queries.select("query_id", "query_vec", block("query_id", n_query).alias("qb"), every(n_corpus).alias("cb"))
 
+    arrow = to_arrow_schema(schema)
+
     def search(docs: pa.Table, asked: pa.Table) -> pa.Table:
         ids = _ids(asked["query_id"].combine_chunks())
         best = _Best(len(ids), k)
         if len(ids) and docs.num_rows:
             _feed(best, _ids(docs["doc_id"].combine_chunks()), _matrix(docs["embedding"].combine_chunks(), dim),
                   None, _matrix(asked["query_vec"].combine_chunks(), dim), None, metric, least)
-        return pa.Table.from_pandas(_output(best, ids, metric), schema=arrow, preserve_index=False)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    arrow = to_arrow_schema(schema)
+        return pa.Table.from_arrays(_output(best, ids, metric, arrow), schema=arrow)
     return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(search, schema)
 
 
@@ -231,7 +228,6 @@ def build_cells(corpus: DataFrame, n_cells: int, path: str | None = None, seed:
     docs = _with_vector(corpus, dim).withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
     model: KMeansModel = KMeans(k=n_cells, seed=seed, featuresCol="features", predictionCol="cell").fit(docs)
     if path is None:
-        import uuid
         path = f"{workspace(spark)}/cells-{uuid.uuid4().hex}"
     (
         model.transform(docs).drop("features").hint("rebalance", "cell")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +20,17 @@ def workspace(spark: SparkSession) -> str:
     Only a local-mode session may fall back to a temporary folder; on a cluster
     a machine-local folder would be lost with its machine.
     """
-    conf = spark.sparkContext.getConf()
-    shared = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    shared = tempfile.mkdtemp(prefix="rankweave-")
-    spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    return _local_folder()
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="rankweave-")
 
 
 def holds_at_most(df: DataFrame, rows: int) -> bool:

@@ -22,7 +22,5 @@ def make_session() -> SparkSession:
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    session = make_session()
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    return session
+def spark():
+    return make_session()
