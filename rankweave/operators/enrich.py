@@ -64,10 +64,15 @@ def reduce_payload(payloads: DataFrame) -> DataFrame:
 
 
 def enrich(items: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Left join: an item without enrichment keeps empty lists and no director."""
+    """Left join: an item without enrichment keeps empty lists and no director.
+
+    Items without an id match nothing and stay out of the join, where they
+    would all meet in one partition.
+    """
     found = reduce_payload(payloads)
+    known = items.filter("id IS NOT NULL").join(found, items["id"] == found["item_id"], "left").drop("item_id")
     return (
-        items.join(found, items["id"] == found["item_id"], "left").drop("item_id")
+        known.unionByName(items.filter("id IS NULL"), allowMissingColumns=True)
         .withColumn("keywords", F.coalesce("keywords", no_strings()))
         .withColumn("characters", F.coalesce("characters", no_strings()))
     )

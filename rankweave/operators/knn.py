@@ -31,11 +31,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rankweave.operators.topk import SCORE_DIGITS, top_k
-from rankweave.session import spread, workspace
+from rankweave.session import workspace
 
 QUERY_BYTES = 64 << 20      # largest broadcast query matrix
 BLOCK_BYTES = 64 << 20      # largest corpus block of the grid
 CHUNK_CELLS = 4 << 20       # scores computed at a time inside a task
+RESULT_ROWS = 1_000_000     # most hits (queries x k) one task keeps
 
 
 def _half_up(x: np.ndarray) -> np.ndarray:
@@ -76,7 +77,7 @@ class _Best:
             return
         self.parts.append(pd.DataFrame({"q": columns[col], "doc_id": ids[row], "score": scores[row, col]}))
         self.rows += len(row)
-        if self.rows > 8 * self.n * self.k:
+        if self.rows > 4 * self.n * self.k:
             self.cut()
 
     def cut(self) -> pd.DataFrame:
@@ -177,7 +178,7 @@ def _grid_search(corpus, queries, dim, k, metric, least, schema, query_rows, blo
     return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(search, schema)
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int | None = 20, metric: str = "cosine",
+def nearest(corpus: DataFrame, queries: DataFrame, k: int = 20, metric: str = "cosine",
             max_distance: float | None = None, query_bytes: int = QUERY_BYTES,
             block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact k nearest: (query_id, doc_id, score, rank).
@@ -187,16 +188,15 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int | None = 20, metric: s
     distance for `l2`.
     """
     queries = queries.select("query_id", "query_vec").filter("query_vec IS NOT NULL")
-    dim, asked, fits = _ask(queries, query_bytes)
+    dim, asked, fits, query_rows = _ask(queries, query_bytes, k)
     schema = _schema(corpus, queries)
     docs = _with_vector(corpus, dim)
     least = _least(metric, max_distance)
     if fits:
-        found = _broadcast_search(spread(docs), asked, dim, k, metric, least, schema)
+        found = _broadcast_search(docs, asked, dim, k, metric, least, schema)
     else:
-        row = 8 * dim
         found = _grid_search(docs, queries.filter(F.size("query_vec") == dim), dim, k, metric, least, schema,
-                             max(1, query_bytes // row), max(1, block_bytes // row))
+                             query_rows, max(1, block_bytes // (8 * dim)))
     return top_k(found, k, descending=metric != "l2")
 
 
@@ -206,13 +206,14 @@ def _with_vector(corpus: DataFrame, dim: int, *more: str) -> DataFrame:
     )
 
 
-def _ask(queries: DataFrame, query_bytes: int):
-    """Dimension of the queries, and the queries themselves if they are few."""
+def _ask(queries: DataFrame, query_bytes: int, k: int):
+    """Dimension of the queries, the queries themselves, whether these are all
+    and few enough for a broadcast, and how many that would be."""
     first = queries.select(F.size("query_vec")).head()
     dim = first[0] if first else 1
-    limit = max(1, query_bytes // (8 * dim))
+    limit = max(1, min(query_bytes // (8 * dim), RESULT_ROWS // k))
     asked = queries.filter(F.size("query_vec") == dim).limit(limit + 1).toArrow()
-    return dim, asked, asked.num_rows <= limit
+    return dim, asked, asked.num_rows <= limit, limit
 
 
 @dataclass(frozen=True)
@@ -244,7 +245,7 @@ def nearest_in_cells(index: CellIndex, queries: DataFrame, k: int = 20, probes:
     answered by exact search instead.
     """
     queries = queries.select("query_id", "query_vec").filter("query_vec IS NOT NULL")
-    dim, asked, fits = _ask(queries, query_bytes)
+    dim, asked, fits, _ = _ask(queries, query_bytes, k)
     if not fits:
         return nearest(index.docs, queries, k)
     matrix = _matrix(asked["query_vec"].combine_chunks(), dim)
@@ -261,7 +262,7 @@ def scanned_share(index: CellIndex, queries: DataFrame, probes: int) -> float:
     """Share of all (query, document) pairs that `nearest_in_cells` compares."""
     sizes = {r["cell"]: r["count"] for r in index.docs.groupBy("cell").count().collect()}  # one row per cell
     total = sum(sizes.values())
-    dim, asked, _ = _ask(queries.select("query_id", "query_vec").filter("query_vec IS NOT NULL"), QUERY_BYTES)
+    dim, asked, _, _ = _ask(queries.select("query_id", "query_vec").filter("query_vec IS NOT NULL"), QUERY_BYTES, 1)
     matrix = _matrix(asked["query_vec"].combine_chunks(), dim)
     order = np.argsort(-_scores(index.centers, matrix, "cosine").T, axis=1, kind="stable")[:, :probes]
     seen = sum(sizes.get(int(c), 0) for row in order for c in row)

@@ -55,9 +55,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that has fewer splits than cores.
+    """Give every core a share of a table that has fewer splits than cores.
 
     Only such a small input is shuffled; a large one already has its splits.
+    For plain table reads: asking a plan with shuffles for its splits runs it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

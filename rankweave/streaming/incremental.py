@@ -36,8 +36,13 @@ def import_available(stream: DataFrame, target: str, checkpoint: str,
 
 
 def current_rows(spark: SparkSession, target: str, key: str) -> DataFrame:
-    """Newest version of every key; combines per task before it shuffles."""
+    """Newest version of every key; combines per task before it shuffles.
+
+    Rows without a key have no versions: all of them stay.
+    """
     rows = spark.read.parquet(target)
     columns = [c for c in rows.columns if c not in (key, "batch_id")]
-    newest = F.max_by(F.struct(*columns), "batch_id").alias("row")
-    return rows.groupBy(key).agg(newest).select(key, "row.*")
+    newest = F.max(F.struct("batch_id", *columns)).alias("row")
+    keyed = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(newest).select(
+        key, *[F.col("row")[c].alias(c) for c in columns])
+    return keyed.unionByName(rows.filter(F.col(key).isNull()).drop("batch_id"))

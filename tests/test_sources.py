@@ -88,8 +88,13 @@ def test_stream_import(spark, tmp_path):
         return {r.id: r.title for r in incremental.current_rows(spark, target, "id").collect()}
 
     arrive("1.json", {"id": 1, "title": "a"}, {"id": 2, "title": "b"}, {"id": "x"})
+    (tmp_path / "later").write_text('{"title": "n1"}\n{"title": "n2"}')
     arrive("2.json", {"id": 3, "title": "c"})
     assert run() == {1: "a", 2: "b", 3: "c"}
     arrive("3.json", {"id": 2, "title": "B"}, {"id": 4, "title": "d"})
     assert run() == {1: "a", 2: "B", 3: "c", 4: "d"}
     assert run() == {1: "a", 2: "B", 3: "c", 4: "d"}  # nothing new: nothing imported twice
+    (tmp_path / "later").rename(tmp_path / "in" / "4.json")
+    run()
+    kept = incremental.current_rows(spark, target, "id").filter("id IS NULL").collect()
+    assert sorted(r.title for r in kept) == ["n1", "n2"]  # rows without a key all stay
