@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.operators.topk import SCORE_DIGITS, rounded, top_k
+from rankweave.session import written
 
 CUT = 100
 RRF_K = 10
@@ -110,12 +111,14 @@ def keyword_only(keyword: DataFrame, limit: int | None = 20) -> DataFrame:
 def overlap(lists: dict[str, DataFrame], k: int = 20) -> DataFrame:
     """Per query and pair of strategies: shared hits in the top k, mean rank gap.
 
-    Lists hold at most k rows per query, so the self-join stays small.
+    Lists hold at most k rows per query, so the self-join stays small; they
+    are written first, to be searched for only once.
     """
     rows = None
     for name, hits in lists.items():
         part = hits.filter(F.col("rank") <= k).select("query_id", "doc_id", "rank", F.lit(name).alias("strategy"))
         rows = part if rows is None else rows.unionByName(part)
+    rows = written(rows, "strategies")
     a = rows.select("query_id", "doc_id", F.col("strategy").alias("left_strategy"), F.col("rank").alias("ra"))
     b = rows.select("query_id", "doc_id", F.col("strategy").alias("right_strategy"), F.col("rank").alias("rb"))
     return (

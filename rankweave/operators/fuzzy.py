@@ -49,19 +49,34 @@ def with_trigrams(df: DataFrame, column: str, size: str) -> DataFrame:
 class WordMatrix:
     """Distinct query words as a trigram x word matrix of zeros and ones."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, threshold: float):
         self.words = table["word"].to_pylist()
+        self.threshold = threshold
         grams = table["g"].to_pylist()
         self.slot = {g: i for i, g in enumerate(sorted({x for gs in grams for x in gs}))}
         self.size = np.array([len(gs) for gs in grams], dtype="float64")
-        self.cells = len(self.slot) * len(self.words)
+        # Shared counts never exceed the word's own; one byte mostly does.
+        self.kind = "uint8" if self.size.max(initial=0) < 255 else "uint32"
         self.held = None
-        if self.cells <= MATRIX_BYTES // 2:
-            self.held = np.zeros((len(self.slot), len(self.words)), dtype="uint16")
+        if len(self.slot) * len(self.words) * np.dtype(self.kind).itemsize <= MATRIX_BYTES:
+            self.held = np.zeros((len(self.slot), len(self.words)), dtype=self.kind)
             for column, gs in enumerate(grams):
                 self.held[[self.slot[x] for x in gs], column] = 1
-
-    def compare(self, grams: list, threshold: float):
+        self.needed: dict[int, np.ndarray] = {}
+
+    def need(self, size: int) -> np.ndarray:
+        """Per word, the fewest trigrams a term of `size` must share with it."""
+        if size not in self.needed:
+            total = self.size + size
+            guess = np.floor(self.threshold * total / (1 + self.threshold))
+            least = np.maximum(guess + 2, 1)
+            for offset in (1, 0, -1):
+                shared = np.maximum(guess + offset, 1)
+                least = np.where(shared / (total - shared) >= self.threshold, shared, least)
+            self.needed[size] = np.minimum(least, self.size + 1).astype(self.kind)
+        return self.needed[size]
+
+    def compare(self, grams: list):
         """Yield (row, columns, similarities) of terms given by their trigrams."""
         known = [[self.slot[x] for x in gs if x in self.slot] for gs in grams]
         rows = [i for i, slots in enumerate(known) if slots]
@@ -70,21 +85,21 @@ class WordMatrix:
             part = rows[at:at + step]
             slots = np.concatenate([known[i] for i in part])
             starts = np.cumsum([0] + [len(known[i]) for i in part[:-1]])
-            shared = np.add.reduceat(self.held[slots], starts, axis=0).astype("float64")
-            sizes = np.array([len(grams[i]) for i in part], dtype="float64")[:, None]
-            similarity = shared / (sizes + self.size[None, :] - shared)
+            shared = np.add.reduceat(self.held[slots], starts, axis=0, dtype=self.kind)
+            near = shared >= np.stack([self.need(len(grams[i])) for i in part])
             for place, i in enumerate(part):
-                columns = np.flatnonzero(similarity[place] >= threshold)
+                columns = np.flatnonzero(near[place])
                 if len(columns):
-                    yield i, columns, similarity[place, columns]
+                    both = shared[place, columns].astype("float64")
+                    yield i, columns, both / (len(grams[i]) + self.size[columns] - both)
 
 
-def small_words(words: DataFrame) -> WordMatrix | None:
+def small_words(words: DataFrame, threshold: float) -> WordMatrix | None:
     """The distinct query words for a broadcast, or None if they are too many."""
     rows = words.select("word", trigrams(F.col("word")).alias("g")).limit(MAX_WORDS + 1).toArrow()
     if rows.num_rows > MAX_WORDS:
         return None
-    matrix = WordMatrix(rows)
+    matrix = WordMatrix(rows, threshold)
     return matrix if matrix.held is not None else None
 
 
@@ -92,23 +107,28 @@ def placed(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select("term").repartition(shuffle_partitions(vocabulary.sparkSession), "term")
 
 
-def packed_pairs(matrix: WordMatrix, vocabulary: DataFrame, threshold: float) -> DataFrame:
-    """(term, words, similarities): per term, numbers of the words it resembles."""
+def packed_pairs(matrix: WordMatrix, vocabulary: DataFrame) -> DataFrame:
+    """(term, pairs): per term, the numbers of the words it resembles, with how much."""
     shared = vocabulary.sparkSession.sparkContext.broadcast(matrix)
 
     def compare(batches):
         asked = shared.value
         for batch in batches:
             terms = batch.column("term").to_pylist()
-            found = list(asked.compare(batch.column("g").to_pylist(), threshold))
+            found = list(asked.compare(batch.column("g").to_pylist()))
+            ends = np.cumsum([0] + [len(columns) for _, columns, _ in found])
+            joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.array([], kind)
+            pairs = pa.StructArray.from_arrays([
+                pa.array(joined([columns for _, columns, _ in found], "int32")),
+                pa.array(joined([similar for _, _, similar in found], "float64")),
+            ], names=["number", "similarity"])
             yield pa.RecordBatch.from_arrays([
                 pa.array([terms[i] for i, _, _ in found], pa.string()),
-                pa.array([c.astype("int32") for _, c, _ in found], pa.list_(pa.int32())),
-                pa.array([s for _, _, s in found], pa.list_(pa.float64())),
-            ], names=["term", "words", "similarities"])
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+            ], names=["term", "pairs"])
 
     return placed(vocabulary).select("term", trigrams(F.col("term")).alias("g")).mapInArrow(
-        compare, "term string, words array<int>, similarities array<double>"
+        compare, "term string, pairs array<struct<number: int, similarity: double>>"
     )
 
 
@@ -132,17 +152,12 @@ def joined_pairs(words: DataFrame, vocabulary: DataFrame, threshold: float) -> D
     )
 
 
-def _zipped(packed: DataFrame, *keep: str) -> DataFrame:
-    return packed.select(*keep, F.inline(F.arrays_zip("words", "similarities"))).withColumnsRenamed(
-        {"words": "number", "similarities": "similarity"})
-
-
 def similar_terms(words: DataFrame, vocabulary: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(word, term, similarity) of distinct `word`s and distinct `term`s."""
-    matrix = small_words(words)
+    matrix = small_words(words, threshold)
     if matrix is None:
         return joined_pairs(words, vocabulary, threshold).select("word", "term", "similarity")
-    pairs = _zipped(packed_pairs(matrix, vocabulary, threshold), "term")
+    pairs = packed_pairs(matrix, vocabulary).select("term", F.inline("pairs"))
     return pairs.join(F.broadcast(_numbered(words.sparkSession, matrix)), "number").select("word", "term", "similarity")
 
 
@@ -159,17 +174,18 @@ def fuzzy_scores(queries: DataFrame, index: TermIndex, threshold: float = THRESH
     """
     asked = query_words(queries)
     words = asked.select("word").distinct()
-    matrix = small_words(words)
+    matrix = small_words(words, threshold)
     if matrix is None:
         pairs, key = joined_pairs(words, vocabulary_of(index), threshold), "word"
         hits = index.postings.select("bucket", "term", "doc_id").join(
             pairs.withColumn("bucket", index.bucket_of(F.col("term"))), ["bucket", "term"])
     else:
-        packed = packed_pairs(matrix, vocabulary_of(index), threshold)
+        packed = packed_pairs(matrix, vocabulary_of(index))
         packed = written(packed.withColumn("bucket", index.bucket_of(F.col("term"))), "similar")
-        total = packed.agg(F.sum(F.size("words"))).head()[0] or 0
+        total = packed.agg(F.sum(F.size("pairs"))).head()[0] or 0
         side = F.broadcast(packed) if total <= PACKED_PAIRS else packed
-        hits = _zipped(index.postings.select("bucket", "term", "doc_id").join(side, ["bucket", "term"]), "doc_id")
+        hits = index.postings.select("bucket", "term", "doc_id").join(side, ["bucket", "term"]).select(
+            "doc_id", F.inline("pairs"))
         asked, key = asked.join(F.broadcast(_numbered(queries.sparkSession, matrix)), "word"), "number"
     best = hits.groupBy(key, "doc_id").agg(F.max("similarity").alias("similarity"))
     return (

@@ -16,6 +16,7 @@ from rankweave.operators.items import hit_projection, query_prepare
 from rankweave.operators.knn import nearest
 from rankweave.operators.lexical import all_terms_match, bm25_search, native_search
 from rankweave.plans.index import TermIndex
+from rankweave.session import written
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -98,8 +99,8 @@ def retrieve(raw_queries: DataFrame, corpus: DataFrame, index: TermIndex, dim: i
 
 def compare_strategies(queries: DataFrame, corpus: DataFrame, index: TermIndex, k: int = 20) -> DataFrame:
     """Overlap and rank differences of the strategies on the same queries."""
-    bm25 = bm25_search(queries, index, CUT)
-    semantic = nearest(corpus, queries, CUT)
+    bm25 = written(bm25_search(queries, index, CUT), "bm25")
+    semantic = written(nearest(corpus, queries, CUT), "semantic")
     return overlap({
         "bm25": bm25,
         "native": native_search(queries, index, k),
