@@ -1,23 +1,30 @@
 """Text analysis as column expressions: tokens, stop words, stems, trigrams.
 
 All of it runs on the array of tokens inside one row, so analysing a document
-never shuffles. Each stemming step is its own `transform`, which binds the
-previous step's word to a lambda variable and keeps the plan linear in size.
+never shuffles. Corpora are stemmed by distinct word in Arrow batches. The same
+rules exist as column steps, for vocabularies: each step is its own `transform`,
+which binds the previous step's word to a lambda variable and keeps the plan
+linear in size.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass
 from functools import lru_cache
 
-from pyspark.ml.feature import StopWordsRemover
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 LANGUAGES = {
     "en": "english", "fr": "french", "de": "german", "es": "spanish",
     "it": "italian", "pt": "portuguese", "nl": "dutch", "ru": "russian",
+    "ar": "arabic", "zh": "chinese",
 }
 
 _MARK = "\u001f"
@@ -58,19 +65,32 @@ LIGHT_RULES = {
     "italian": [("^(.{3,}?)[aeio]$", "")],
     "portuguese": [("^(.{3,}?)(?:os|as|es|[soae])$", "")],
     "dutch": [("^(.{4,}?)(?:en|e|s)$", "")],
-    "russian": [],
+    "russian": [("^(.{3,}?)(?:иями|ями|ами|ого|его|ому|ему|ыми|ими|ах|ях|ов|ев|ей|ой|ый|ий|ая|яя|ое|ее|ые|ие|ам|ям|ом|ем|ых|их|ую|юю|[аяоеыиуюьй])$", "")],
+    "arabic": [("^(?:وال|بال|كال|فال|ال|لل)(.{3,})$", ""), ("^(.{3,}?)(?:ات|ون|ين|ان|ها|ية|[هةي])$", "")],
+    # Written without blanks: tokens are runs of signs and stay as they are.
+    "chinese": [],
 }
 
 
 def full_language(code: str) -> str:
-    return LANGUAGES.get(code, code)
+    """The name of a language; one without rules is refused here, not in a running job."""
+    name = LANGUAGES.get(code, code)
+    if name != "simple" and name not in LIGHT_RULES and name != "english":
+        raise ValueError(f"no text analysis for {code!r}: use one of {', '.join([*LANGUAGES, *LANGUAGES.values(), 'simple'])}")
+    return name
 
 
 @lru_cache(maxsize=None)
 def stop_words(language: str) -> tuple[str, ...]:
-    """Spark's own list for a language; `simple` has none."""
+    """The stop words of a language; `simple` has none.
+
+    Fixed values: the public lists that Spark ML ships, one word a line.
+    """
     name = full_language(language)
-    return () if name == "simple" else tuple(StopWordsRemover.loadDefaultStopWords(name))
+    if name == "simple":
+        return ()
+    with open(os.path.join(os.path.dirname(__file__), "stopwords", f"{name}.txt"), encoding="utf-8") as f:
+        return tuple(w for w in f.read().split("\n") if w.strip())
 
 
 def split_pattern(separators: tuple[str, ...] = (), symbols: tuple[str, ...] = ()) -> str:
@@ -174,8 +194,89 @@ def _porter_steps():
             last_suffix, final_e, double_l, finish)
 
 
+def porter(word: str) -> str:
+    """Porter's algorithm for one word, by the same rule tables as the column steps."""
+    if len(word) < 3:
+        return word
+    w = "Y" + word[1:] if word[0] == "y" else word
+    if w.endswith("s"):  # step 1a
+        if w.endswith(("sses", "ies")) and len(w) > (4 if w.endswith("sses") else 3):
+            w = w[:-2]
+        elif not w.endswith("ss"):
+            w = w[:-1]
+    if w.endswith("eed") and len(w) > 3:  # step 1b
+        w = w[:-1] if _M_GT_0(w[:-3]) else w
+    elif w.endswith(("ed", "ing")):
+        stem = w[:-2] if w.endswith("ed") else w[:-3]
+        if stem and _HAS_VOWEL(stem):
+            if stem.endswith(("at", "bl", "iz")):
+                stem += "e"
+            elif _DOUBLE(stem):
+                stem = stem[:-1]
+            elif _M_EQ_1(stem) and _CVC(stem):
+                stem += "e"
+            w = stem
+    if w.endswith("y") and len(w) > 2 and _HAS_VOWEL(w[:-1]):  # step 1c
+        w = w[:-1] + "i"
+    for suffixes, find in ((STEP2, _LONG), (STEP3, _SHORT)):  # steps 2 and 3
+        m = find(w)
+        if m and _M_GT_0(m[1]):
+            w = m[1] + suffixes[m[2]]
+    m = _PLAIN(w)  # step 4
+    if m:
+        w = m[1] if _M_GT_1(m[1]) else w
+    elif (m := _ION(w)) and _M_GT_1(m[1]):
+        w = m[1]
+    if w.endswith("e") and (_M_GT_1(w[:-1]) or (_M_EQ_1(w[:-1]) and not _CVC(w[:-1]))):  # step 5
+        w = w[:-1]
+    if w.endswith("ll") and _M_GT_1(w):
+        w = w[:-1]
+    return "y" + w[1:] if w[:1] == "Y" else w
+
+
+def _rule(pattern: str):
+    return re.compile(pattern).search
+
+
+_M_GT_0, _M_EQ_1, _M_GT_1, _HAS_VOWEL, _CVC, _DOUBLE = map(_rule, (M_GT_0, M_EQ_1, M_GT_1, HAS_VOWEL, CVC, DOUBLE))
+_LONG, _SHORT = (_rule("^(.+?)(" + "|".join(s) + ")$") for s in (STEP2, STEP3))
+_PLAIN, _ION = _rule("^(.+?)(?:" + "|".join(STEP4) + ")$"), _rule("^(.+?[st])ion$")
+
+#: Stems remembered by a worker.
+STEMS_KEPT = 1_000_000
+
+
+@lru_cache(maxsize=1)
+def _known_stems() -> dict[str, str]:
+    return {}
+
+
+def _stem_lists(words: pa.Array) -> pa.Array:
+    """Arrays of words to arrays of stems: every different word of a batch is stemmed once."""
+    coded = words.flatten().dictionary_encode()
+    known = _known_stems()
+    if len(known) > STEMS_KEPT:
+        known.clear()
+    stemmed = []
+    for w in coded.dictionary.to_pylist():
+        s = known.get(w)
+        if s is None:
+            s = known[w] = porter(w)
+        stemmed.append(s)
+    values = pa.array(stemmed, pa.string()).take(coded.indices)
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    mask = words.is_null() if words.null_count else None
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=mask)
+
+
+def english_stems(words: Column) -> Column:
+    """`stems` for English by distinct words, for whole corpora."""
+    return F.arrow_udf(_stem_lists, ArrayType(StringType()))(words)
+
+
 def stems(words: Column, language: str) -> Column:
-    """Stem every word of an array; null entries stay null."""
+    """Stem every word of an array, in the JVM; null entries stay null."""
     name = full_language(language)
     if name == "simple":
         return words
@@ -202,7 +303,7 @@ class Analyzer:
         stop = stop_words(self.language)
         if stop:
             words = F.transform(words, lambda t: F.when(~t.isin(*stop), t))
-        return stems(words, self.language)
+        return english_stems(words) if full_language(self.language) == "english" else stems(words, self.language)
 
     def terms(self, text: Column) -> Column:
         """Stems in text order, stop words left out."""

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from rankweave.functions.text import Analyzer
 
+#: Rows summed in one matrix.
+CHUNK_ROWS = 1000
+
 NUMBER_PREFIX = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
@@ -73,16 +78,24 @@ def hash_slots(terms: Column, dim: int) -> Column:
 
 def sum_slots(dim: int):
     """Arrow UDF: sum signed slots into a unit vector; null when nothing is left."""
-    @F.pandas_udf("array<float>")
-    def unit_vector(slots: pd.Series) -> pd.Series:
-        def one(s):
-            if s is None or len(s) == 0:
-                return None
-            v = np.bincount(np.abs(s) - 1, weights=np.sign(s), minlength=dim)
-            length = np.sqrt(v @ v)
-            return (v / length).astype("float32") if length else None
-        return slots.map(one)
-    return unit_vector
+    def unit_vectors(slots: pa.Array) -> pa.Array:
+        parts = [_unit_vectors(slots.slice(at, CHUNK_ROWS), dim) for at in range(0, len(slots), CHUNK_ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+    return F.arrow_udf(unit_vectors, ArrayType(FloatType()))
+
+
+def _unit_vectors(slots: pa.Array, dim: int) -> pa.Array:
+    """One matrix for all rows: every slot of every row is summed at once."""
+    n = len(slots)
+    lengths = pc.fill_null(pc.list_value_length(slots), 0).to_numpy(zero_copy_only=False)
+    values = slots.flatten().to_numpy(zero_copy_only=False).astype("int64")
+    place = np.repeat(np.arange(n) * dim, lengths) + np.abs(values) - 1
+    total = np.bincount(place, weights=np.sign(values), minlength=n * dim).reshape(n, dim)
+    norm = np.sqrt((total ** 2).sum(axis=1))
+    some = norm > 0
+    flat = (total[some] / norm[some, None]).astype("float32").ravel()
+    offsets = np.concatenate([[0], np.cumsum(some * dim)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat), mask=pa.array(~some))
 
 
 def hash_embed(text: Column, dim: int = 768, analyzer: Analyzer = Analyzer("simple")) -> Column:

@@ -1,7 +1,8 @@
 """Fusing ranked lists: reciprocal rank fusion and the weighted sum.
 
-A list is (query_id, doc_id, rank, score). Lists are united and grouped once,
-so any number of them costs one shuffle of at most `CUT` rows per query and list.
+A list is (query_id, doc_id, rank, score). Lists are united and grouped once, so
+any number of them costs one shuffle of at most `CUT` rows per query and list, or
+as many as the query's own `limit` asks for if that is more.
 """
 
 from __future__ import annotations
@@ -29,26 +30,44 @@ def list_weight(name: Column, ratio: Column, fuzzy_weight: float) -> Column:
     )
 
 
+def with_settings(queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """Queries with `ratio`, `floor` and `cut`: their own values where they have any."""
+    own = lambda name, kind: F.col(name) if name in queries.columns else F.lit(None).cast(kind)
+    return queries.withColumns({
+        "ratio": F.coalesce(own("semantic_ratio", "double"), F.lit(SEMANTIC_RATIO)),
+        "floor": own("min_score", "double"),
+        "cut": F.greatest(F.lit(max(CUT, limit or 0)).cast("long"), own("limit", "long")),
+    })
+
+
+def list_cut(queries: DataFrame, limit: int | None = None) -> int:
+    """How long lists must be: `CUT`, or the largest limit if that is more."""
+    own = queries.agg(F.max("limit")).head()[0] if "limit" in queries.columns else 0
+    return max(CUT, limit or 0, own or 0)
+
+
+def asking(queries: DataFrame, name: str, fuzzy_weight: float = 0.0) -> DataFrame:
+    """The queries in which list `name` has a weight; the others need not be searched."""
+    return with_settings(queries).filter(list_weight(F.lit(name), F.col("ratio"), fuzzy_weight) > 0).select(*queries.columns)
+
+
 def contributions(queries: DataFrame, lists: dict[str, DataFrame], k: int = RRF_K,
-                  fuzzy_weight: float = 0.0) -> DataFrame:
+                  fuzzy_weight: float = 0.0, limit: int | None = None) -> DataFrame:
     """One row per (query, document, list) with its share of the fused score.
 
-    `queries` may carry a `semantic_ratio` and a `min_score` of its own per
-    row. A list of weight 0 is left out, so it adds no zero-score hits.
+    `queries` may carry a `semantic_ratio`, a `min_score` and a `limit` of its own
+    per row. A list of weight 0 is left out, so it adds no zero-score hits.
     """
     rows = None
     for name in LISTS:
         if name in lists:
-            part = lists[name].filter(F.col("rank") <= CUT).select(
-                "query_id", "doc_id", F.lit(name).alias("list"), "rank", "score"
-            )
+            part = lists[name].select("query_id", "doc_id", F.lit(name).alias("list"), "rank", "score")
             rows = part if rows is None else rows.unionByName(part)
-    ratio = F.col("semantic_ratio") if "semantic_ratio" in queries.columns else F.lit(SEMANTIC_RATIO)
-    floor = F.col("min_score") if "min_score" in queries.columns else F.lit(None).cast("double")
-    settings = queries.select("query_id", F.coalesce(ratio, F.lit(SEMANTIC_RATIO)).alias("ratio"), floor.alias("min_score"))
+    settings = with_settings(queries, limit).select("query_id", "ratio", "floor", "cut")
     weight = list_weight(F.col("list"), F.col("ratio"), fuzzy_weight)
     return (
         rows.join(settings, "query_id")
+        .filter("rank <= cut")
         .withColumn("weight", weight)
         .filter("weight > 0")
         .withColumn("contribution", F.col("weight") / (k + F.col("rank")))
@@ -63,13 +82,13 @@ def fuse(queries: DataFrame, lists: dict[str, DataFrame], k: int = RRF_K, fuzzy_
     Normalised, a document that leads every list scores 100. `min_score`
     applies after normalising; a query's own `min_score` takes its place.
     """
-    parts = contributions(queries, lists, k, fuzzy_weight)
+    parts = contributions(queries, lists, k, fuzzy_weight, limit)
     # Plain RRF scores are small and keep more digits.
     scale, digits = (100.0 * (k + 1), SCORE_DIGITS) if normalize else (1.0, RAW_DIGITS)
     detail = F.struct("rank", "score", F.round(scale * F.col("contribution"), digits).alias("contribution"))
     details = [F.max(F.when(F.col("list") == name, detail)).alias(name) for name in LISTS if breakdown]
     fused = parts.groupBy("query_id", "doc_id").agg(
-        F.round(scale * F.sum("contribution"), digits).alias("score"), F.max("min_score").alias("floor"), *details
+        F.round(scale * F.sum("contribution"), digits).alias("score"), F.max("floor").alias("floor"), *details
     )
     kept = fused.filter(F.col("score") >= F.coalesce("floor", F.lit(min_score)))
     columns = ["query_id", "doc_id", "rank", "score"]
@@ -79,6 +98,13 @@ def fuse(queries: DataFrame, lists: dict[str, DataFrame], k: int = RRF_K, fuzzy_
     return top_k(kept, limit).select(*columns)
 
 
+def both_scores(queries: DataFrame, lists: dict[str, DataFrame], k: int = RRF_K, fuzzy_weight: float = 0.0) -> DataFrame:
+    """The normalised and the plain score of every fused document, from one search."""
+    total = F.sum("contribution")
+    return contributions(queries, lists, k, fuzzy_weight).groupBy("query_id", "doc_id").agg(
+        F.round(100.0 * (k + 1) * total, SCORE_DIGITS).alias("score"), F.round(total, RAW_DIGITS).alias("raw_score"))
+
+
 def weighted_sum(keyword: DataFrame, semantic: DataFrame, keyword_weight: float = 0.5,
                  semantic_weight: float = 0.5, limit: int | None = 20) -> DataFrame:
     """All keyword matches joined fully with the nearest vectors, scores added.
@@ -108,9 +134,10 @@ def keyword_only(keyword: DataFrame, limit: int | None = 20) -> DataFrame:
     return top_k(hits, limit, score="total_score")
 
 
-def overlap(lists: dict[str, DataFrame], k: int = 20) -> DataFrame:
+def overlap(queries: DataFrame, lists: dict[str, DataFrame], k: int = 20) -> DataFrame:
     """Per query and pair of strategies: shared hits in the top k, mean rank gap.
 
+    Every query has every pair; one without a shared hit has overlap 0 and no gap.
     Lists hold at most k rows per query, so the self-join stays small; they
     are written first, to be searched for only once.
     """
@@ -121,12 +148,15 @@ def overlap(lists: dict[str, DataFrame], k: int = 20) -> DataFrame:
     rows = written(rows, "strategies")
     a = rows.select("query_id", "doc_id", F.col("strategy").alias("left_strategy"), F.col("rank").alias("ra"))
     b = rows.select("query_id", "doc_id", F.col("strategy").alias("right_strategy"), F.col("rank").alias("rb"))
-    return (
+    found = (
         a.join(b, ["query_id", "doc_id"]).filter("left_strategy < right_strategy")
         .groupBy("query_id", "left_strategy", "right_strategy")
-        .agg(
-            F.count(F.lit(1)).alias("shared"),
-            rounded(F.count(F.lit(1)) / F.lit(k)).alias("overlap"),
-            rounded(F.avg(F.abs(F.col("ra") - F.col("rb")))).alias("mean_rank_gap"),
-        )
+        .agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("ra") - F.col("rb"))).alias("gap"))
     )
+    names = sorted(lists)
+    pairs = [F.struct(F.lit(x).alias("left_strategy"), F.lit(y).alias("right_strategy")) for x in names for y in names if x < y]
+    every = queries.select("query_id", F.inline(F.array(*pairs)))
+    shared = F.coalesce("n", F.lit(0))
+    return every.join(found, ["query_id", "left_strategy", "right_strategy"], "left").select(
+        "query_id", "left_strategy", "right_strategy", shared.alias("shared"),
+        rounded(shared / F.lit(k)).alias("overlap"), rounded(F.col("gap")).alias("mean_rank_gap"))

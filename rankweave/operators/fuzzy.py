@@ -2,30 +2,38 @@
 
 Word similarity is the Jaccard measure of two trigram sets. The vocabulary is
 placed by term, one short row each, and every term is compared with the query
-words where it lies; only pairs above the threshold go on.
+words where it lies, in Arrow batches with a broadcast trigram matrix; only pairs
+above the threshold go on.
 
-Two ways to compare: query words that fit a checked number are broadcast as a
-trigram matrix and counted with numpy, batch by batch; more words than that
-meet the vocabulary in a join on the trigram.
+Documents are then scored in their shards: a batch of documents becomes a matrix
+of best similarities per word, that a matrix of scores per query, and k documents
+per query leave the task. No (query, document) pair is ever a row.
+
+Queries are taken in blocks, so that words and similar pairs of a block stay within
+a checked number.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rankweave.functions.text import tokens, trigrams
-from rankweave.operators.topk import rounded, top_k
+from rankweave.operators.knn import Best, best_rows, half_up
+from rankweave.operators.topk import top_k
 from rankweave.plans.index import TermIndex
-from rankweave.session import broadcast_if_small, shuffle_partitions, written
+from rankweave.session import shuffle_partitions, written
 
 THRESHOLD = 0.2
-MAX_WORDS = 10_000             # distinct query words compared by numpy
-MATRIX_BYTES = 128 << 20       # and the size of their trigram matrix
+MAX_WORDS = 5_000              # distinct query words of a block
 CHUNK_CELLS = 2 << 20
-PACKED_PAIRS = 10_000_000      # broadcast pairs, 12 bytes each
+MAX_PAIRS = 8_000_000          # similar pairs of a block, 12 bytes each in numpy
 
 
 def query_words(queries: DataFrame) -> DataFrame:
@@ -41,11 +49,6 @@ def vocabulary_of(index: TermIndex) -> DataFrame:
     return terms if len(index.fields) == 1 else terms.distinct()
 
 
-def with_trigrams(df: DataFrame, column: str, size: str) -> DataFrame:
-    grams = df.select(column, trigrams(F.col(column)).alias("g"))
-    return grams.select(column, F.size("g").alias(size), F.explode_outer("g").alias("trigram"))
-
-
 class WordMatrix:
     """Distinct query words as a trigram x word matrix of zeros and ones."""
 
@@ -57,11 +60,9 @@ class WordMatrix:
         self.size = np.array([len(gs) for gs in grams], dtype="float64")
         # Shared counts never exceed the word's own; one byte mostly does.
         self.kind = "uint8" if self.size.max(initial=0) < 255 else "uint32"
-        self.held = None
-        if len(self.slot) * len(self.words) * np.dtype(self.kind).itemsize <= MATRIX_BYTES:
-            self.held = np.zeros((len(self.slot), len(self.words)), dtype=self.kind)
-            for column, gs in enumerate(grams):
-                self.held[[self.slot[x] for x in gs], column] = 1
+        self.held = np.zeros((len(self.slot), len(self.words)), dtype=self.kind)
+        for column, gs in enumerate(grams):
+            self.held[[self.slot[x] for x in gs], column] = 1
         self.needed: dict[int, np.ndarray] = {}
 
     def need(self, size: int) -> np.ndarray:
@@ -76,125 +77,137 @@ class WordMatrix:
             self.needed[size] = np.minimum(least, self.size + 1).astype(self.kind)
         return self.needed[size]
 
-    def compare(self, grams: list):
-        """Yield (row, columns, similarities) of terms given by their trigrams."""
-        known = [[self.slot[x] for x in gs if x in self.slot] for gs in grams]
-        rows = [i for i, slots in enumerate(known) if slots]
+    def compare(self, grams: pa.ListArray):
+        """Yield (rows, columns, similarities) of terms given by their trigrams."""
+        offsets = grams.offsets.to_numpy()
+        coded = grams.flatten().dictionary_encode()
+        slot_of = np.array([self.slot.get(g, -1) for g in coded.dictionary.to_pylist()], dtype="int64")
+        slots = slot_of[coded.indices.to_numpy()] if len(coded) else np.array([], "int64")
+        sizes = np.diff(offsets)
+        row = np.repeat(np.arange(len(sizes)), sizes)[slots >= 0]
+        slots = slots[slots >= 0]
+        rows, starts = np.unique(row, return_index=True)
         step = max(1, CHUNK_CELLS // max(1, len(self.words) * 8))
         for at in range(0, len(rows), step):
             part = rows[at:at + step]
-            slots = np.concatenate([known[i] for i in part])
-            starts = np.cumsum([0] + [len(known[i]) for i in part[:-1]])
-            shared = np.add.reduceat(self.held[slots], starts, axis=0, dtype=self.kind)
-            near = shared >= np.stack([self.need(len(grams[i])) for i in part])
-            for place, i in enumerate(part):
-                columns = np.flatnonzero(near[place])
-                if len(columns):
-                    both = shared[place, columns].astype("float64")
-                    yield i, columns, both / (len(grams[i]) + self.size[columns] - both)
+            end = starts[at + step] if at + step < len(starts) else len(slots)
+            first = starts[at]
+            shared = np.add.reduceat(self.held[slots[first:end]], starts[at:at + step] - first, axis=0, dtype=self.kind)
+            some, which = np.unique(sizes[part], return_inverse=True)
+            near, columns = np.nonzero(shared >= np.stack([self.need(int(n)) for n in some])[which])
+            both = shared[near, columns].astype("float64")
+            yield part[near], columns, both / (sizes[part[near]] + self.size[columns] - both)
 
 
-def small_words(words: DataFrame, threshold: float) -> WordMatrix | None:
-    """The distinct query words for a broadcast, or None if they are too many."""
-    rows = words.select("word", trigrams(F.col("word")).alias("g")).limit(MAX_WORDS + 1).toArrow()
-    if rows.num_rows > MAX_WORDS:
-        return None
-    matrix = WordMatrix(rows, threshold)
-    return matrix if matrix.held is not None else None
+def word_blocks(words: DataFrame, threshold: float) -> list[WordMatrix]:
+    """The distinct query words as matrices of at most about MAX_WORDS words."""
+    n = -(-words.count() // MAX_WORDS)
+    grams = words.select("word", trigrams(F.col("word")).alias("g"))
+    block = F.pmod(F.xxhash64("word"), F.lit(max(n, 1)))
+    return [WordMatrix(grams.filter(block == b).toArrow(), threshold) for b in range(max(n, 1))]
 
 
-def placed(vocabulary: DataFrame) -> DataFrame:
-    return vocabulary.select("term").repartition(shuffle_partitions(vocabulary.sparkSession), "term")
-
-
-def packed_pairs(matrix: WordMatrix, vocabulary: DataFrame) -> DataFrame:
-    """(term, pairs): per term, the numbers of the words it resembles, with how much."""
+def similar_pairs(matrix: WordMatrix, vocabulary: DataFrame) -> DataFrame:
+    """(term, number, similarity): the words, by number, that a term resembles."""
     shared = vocabulary.sparkSession.sparkContext.broadcast(matrix)
+    schema = pa.schema([("term", pa.string()), ("number", pa.int32()), ("similarity", pa.float64())])
 
     def compare(batches):
-        asked = shared.value
         for batch in batches:
-            terms = batch.column("term").to_pylist()
-            found = list(asked.compare(batch.column("g").to_pylist()))
-            ends = np.cumsum([0] + [len(columns) for _, columns, _ in found])
-            joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.array([], kind)
-            pairs = pa.StructArray.from_arrays([
-                pa.array(joined([columns for _, columns, _ in found], "int32")),
-                pa.array(joined([similar for _, _, similar in found], "float64")),
-            ], names=["number", "similarity"])
-            yield pa.RecordBatch.from_arrays([
-                pa.array([terms[i] for i, _, _ in found], pa.string()),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
-            ], names=["term", "pairs"])
-
-    return placed(vocabulary).select("term", trigrams(F.col("term")).alias("g")).mapInArrow(
-        compare, "term string, pairs array<struct<number: int, similarity: double>>"
-    )
-
+            for rows, columns, similar in shared.value.compare(batch.column("g")):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("term").take(pa.array(rows)), pa.array(columns.astype("int32")), pa.array(similar)], schema=schema)
 
-def joined_pairs(words: DataFrame, vocabulary: DataFrame, threshold: float) -> DataFrame:
-    """(term, word, similarity) by a join on the trigram, for any number of words.
-
-    The vocabulary keeps its place by term, so pairs are counted and judged
-    without another shuffle as long as the words can be broadcast.
-    """
-    asked = with_trigrams(words, "word", "n_word")
-    held = with_trigrams(placed(vocabulary), "term", "n_term")
-    # A ratio of set sizes below the threshold already rules the pair out.
-    close = (F.col("n_term") >= threshold * F.col("n_word")) & (F.col("n_word") >= threshold * F.col("n_term"))
-    similarity = F.col("shared") / (F.col("n_word") + F.col("n_term") - F.col("shared"))
-    return (
-        held.join(broadcast_if_small(asked), "trigram").filter(close)
-        .groupBy("term", "word", "n_term", "n_word")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .select("term", "word", similarity.alias("similarity"))
-        .filter(F.col("similarity") >= threshold)
-    )
+    placed = vocabulary.select("term").repartition(shuffle_partitions(vocabulary.sparkSession), "term")
+    return placed.select("term", trigrams(F.col("term")).alias("g")).mapInArrow(
+        compare, "term string, number int, similarity double")
 
 
 def similar_terms(words: DataFrame, vocabulary: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(word, term, similarity) of distinct `word`s and distinct `term`s."""
-    matrix = small_words(words, threshold)
-    if matrix is None:
-        return joined_pairs(words, vocabulary, threshold).select("word", "term", "similarity")
-    pairs = packed_pairs(matrix, vocabulary).select("term", F.inline("pairs"))
-    return pairs.join(F.broadcast(_numbered(words.sparkSession, matrix)), "number").select("word", "term", "similarity")
-
+    def named(matrix: WordMatrix) -> DataFrame:
+        names = words.sparkSession.createDataFrame(list(enumerate(matrix.words)), "number int, word string")
+        return similar_pairs(matrix, vocabulary).join(F.broadcast(names), "number").select("word", "term", "similarity")
+
+    blocks = word_blocks(words, threshold)
+    return reduce(DataFrame.unionByName, [named(m) if len(blocks) == 1 else written(named(m), "similar") for m in blocks])
+
+
+class Similar:
+    """Similar pairs of a block by term, and the words of each query, for the tasks."""
+
+    def __init__(self, pairs: pa.Table, words: list[str], queries: pa.Table):
+        order = np.argsort(pairs["number"].to_numpy(), kind="stable")
+        terms = pairs["term"].combine_chunks().dictionary_encode().take(pa.array(order))
+        code = terms.indices.to_numpy()
+        order2 = np.argsort(code, kind="stable")
+        self.row_of = {t: i for i, t in enumerate(terms.dictionary.to_pylist())}
+        self.number = pairs["number"].to_numpy()[order][order2]
+        self.similarity = pairs["similarity"].to_numpy()[order][order2]
+        self.starts = np.searchsorted(code[order2], np.arange(len(self.row_of) + 1))
+        place = {w: i for i, w in enumerate(words)}
+        held = queries["words"].to_pylist()
+        self.ids = queries["query_id"].to_numpy()
+        self.columns = np.array([place[w] for ws in held for w in ws], dtype="int64")
+        self.length = np.array([len(ws) for ws in held], dtype="int64")
+        self.first = np.cumsum(self.length) - self.length
+        self.n_words = len(words)
+
+    def scores(self, terms: pa.ListArray) -> np.ndarray:
+        """score[document, query]: the mean over the query's words of the best similarity."""
+        coded = terms.flatten().dictionary_encode()
+        row_of = np.array([self.row_of.get(t, -1) for t in coded.dictionary.to_pylist()], dtype="int64")
+        rows = row_of[coded.indices.to_numpy()] if len(coded) else np.array([], "int64")
+        docs = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))[rows >= 0]
+        rows = rows[rows >= 0]
+        counts = self.starts[rows + 1] - self.starts[rows]
+        at = np.repeat(self.starts[rows] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        best = np.zeros((len(terms), self.n_words))
+        np.maximum.at(best, (np.repeat(docs, counts), self.number[at]), self.similarity[at])
+        return half_up(np.add.reduceat(best[:, self.columns], self.first, axis=1) / self.length)
+
+
+def _search_block(queries: DataFrame, index: TermIndex, k: int, threshold: float) -> DataFrame:
+    spark = queries.sparkSession
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("q"))).alias("words")).filter("size(words) > 0").toArrow()
+    words = sorted({w for ws in asked["words"].to_pylist() for w in ws})
+    grams = spark.createDataFrame([(w,) for w in words], "word string").select("word", trigrams(F.col("word")).alias("g"))
+    matrix = WordMatrix(grams.toArrow(), threshold)
+    pairs = written(similar_pairs(matrix, vocabulary_of(index)), "similar")
+    if asked.num_rows > 1 and (pairs.count() > MAX_PAIRS or len(matrix.words) > 2 * MAX_WORDS):
+        half = F.pmod(F.xxhash64("query_id", F.lit(asked.num_rows)), F.lit(2))
+        return _search_block(queries.filter(half == 0), index, k, threshold).unionByName(
+            _search_block(queries.filter(half == 1), index, k, threshold))
+    shared = spark.sparkContext.broadcast(Similar(pairs.toArrow(), matrix.words, asked))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
+                           T.StructField("doc_id", index.postings.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def search(batches):
+        block = shared.value
+        best = Best(len(block.ids), k)
+        every = np.arange(len(block.ids))
+        step = max(1, CHUNK_CELLS // max(1, block.n_words, len(block.columns)))
+        for batch in batches:
+            ids, terms = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("terms")
+            for at in range(0, len(ids) if len(block.ids) else 0, step):
+                best.add(ids[at:at + step], block.scores(terms.slice(at, step)), every, 10.0 ** -6)
+        yield pa.RecordBatch.from_arrays(best_rows(best, block.ids, "cosine", arrow), schema=arrow)
 
-def _numbered(spark, matrix: WordMatrix) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(matrix.words)), "number int, word string")
+    # A document's postings lie in one shard: this grouping needs no shuffle.
+    docs = index.postings.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
+    return top_k(docs.mapInArrow(search, schema), k)
 
 
-def fuzzy_scores(queries: DataFrame, index: TermIndex, threshold: float = THRESHOLD) -> DataFrame:
-    """Mean over the query's words of the best similarity to a word of the document.
+def fuzzy_search(queries: DataFrame, index: TermIndex, k: int = 20, threshold: float = THRESHOLD) -> DataFrame:
+    """The k documents per query with the best mean word similarity: (query_id, doc_id, score, rank).
 
-    Words are matched once each, not once per query that holds them. Expects a
-    `simple` index, whose terms are the words as written. Postings stay in
-    their document shards; the sums need no shuffle.
+    The mean runs over the query's distinct words, each with its most similar word of
+    the document. Expects a `simple` index, whose terms are the words as written.
     """
-    asked = query_words(queries)
-    words = asked.select("word").distinct()
-    matrix = small_words(words, threshold)
-    if matrix is None:
-        pairs, key = joined_pairs(words, vocabulary_of(index), threshold), "word"
-        hits = index.postings.select("bucket", "term", "doc_id").join(
-            pairs.withColumn("bucket", index.bucket_of(F.col("term"))), ["bucket", "term"])
-    else:
-        packed = packed_pairs(matrix, vocabulary_of(index))
-        packed = written(packed.withColumn("bucket", index.bucket_of(F.col("term"))), "similar")
-        total = packed.agg(F.sum(F.size("pairs"))).head()[0] or 0
-        side = F.broadcast(packed) if total <= PACKED_PAIRS else packed
-        hits = index.postings.select("bucket", "term", "doc_id").join(side, ["bucket", "term"]).select(
-            "doc_id", F.inline("pairs"))
-        asked, key = asked.join(F.broadcast(_numbered(queries.sparkSession, matrix)), "word"), "number"
-    best = hits.groupBy(key, "doc_id").agg(F.max("similarity").alias("similarity"))
-    return (
-        best.join(broadcast_if_small(asked.select("query_id", key, "n_words")), key)
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum("similarity").alias("total"), F.max("n_words").alias("n_words"))
-        .select("query_id", "doc_id", rounded(F.col("total") / F.col("n_words")).alias("score"))
-    )
-
-
-def fuzzy_search(queries: DataFrame, index: TermIndex, k: int | None = 20, threshold: float = THRESHOLD) -> DataFrame:
-    return top_k(fuzzy_scores(queries, index, threshold), k)
+    n = -(-query_words(queries).count() // MAX_WORDS)
+    if n <= 1:
+        return _search_block(queries, index, k, threshold)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    parts = [written(_search_block(queries.filter(block == b), index, k, threshold), "fuzzy") for b in range(n)]
+    return reduce(DataFrame.unionByName, parts)

@@ -6,30 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions import scalars
-from rankweave.session import broadcast_if_small, written
+from rankweave.session import broadcast_if_small, shuffle_partitions, written
 
-NUMBER_BLOCK = 1 << 20
+PUSHED_IDS = 2_000
 
 
-def number_missing_ids(df: DataFrame, order: str, width: int = NUMBER_BLOCK) -> DataFrame:
+def number_missing_ids(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
     """Give rows without `id` the numbers after the largest id, in `order`.
 
-    `order` is a unique integer. Rows are numbered inside blocks of `width`
-    order values, and a running total over the blocks gives each its offset:
-    no task ever holds more than one block. Join and window share one shuffle
-    by block.
+    `order` is a unique integer, of any density. Rows are cut at quantiles of it into
+    as many ranges as there are shuffle partitions and numbered within each; the sizes
+    of the ranges give the offsets. No task ever holds more than its range.
     """
-    missing = df.filter("id IS NULL").withColumn("block", F.floor(F.col(order) / width))
-    sizes = missing.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    offsets = sizes.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    last = df.select(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    place = F.row_number().over(Window.partitionBy("block").orderBy(order))
-    numbered = (
-        missing.join(offsets, "block")
-        .withColumn("id", last.scalar() + F.col("offset") + place)
-        .drop("block", "offset")
-    )
+    ranges = ranges or shuffle_partitions(df.sparkSession)
+    cuts = [i / ranges for i in range(1, ranges)] or [0.5]
+    found = df.agg(F.max("id").alias("last"), F.percentile_approx(F.when(F.col("id").isNull(), F.col(order)), cuts).alias("cuts")).head()
+    borders = F.array(*[F.lit(c).cast("long") for c in sorted(set(found["cuts"] or [0]))])
+    missing = df.filter("id IS NULL").withColumn("range", F.size(F.filter(borders, lambda b: b <= F.col(order))))
+    sizes = {r["range"]: r["count"] for r in missing.groupBy("range").count().collect()}  # one row per range
+    before, offsets = found["last"] or 0, []
+    for r in range(ranges + 1):
+        offsets.append(F.lit(before).cast("long"))
+        before += sizes.get(r, 0)
+    place = F.row_number().over(Window.partitionBy("range").orderBy(order))
+    numbered = missing.withColumn("id", F.get(F.array(*offsets), F.col("range")) + place).drop("range")
     return df.filter("id IS NOT NULL").unionByName(numbered)
 
 
@@ -52,11 +52,12 @@ def metadata_unpack(df: DataFrame, column: str = "metadata") -> DataFrame:
     """Columns out of metadata JSON, for rows that have any.
 
     Text entries as text, numbers cast, genres kept as JSON. A number that
-    does not cast becomes null and `cast_failed` is set.
+    does not cast becomes null and `cast_failed` is set, as it is for metadata
+    that is not JSON.
     """
     v = F.col("v")
     text = lambda key: F.try_variant_get(v, f"$.{key}", "string")
-    number = lambda key: F.try_variant_get(v, f"$.{key}", "int")
+    number = lambda key: F.try_variant_get(v, f"$.{key}", "bigint")
     failed = lambda key: text(key).isNotNull() & number(key).isNull()
     return (
         df.filter(F.col(column).isNotNull())
@@ -67,7 +68,7 @@ def metadata_unpack(df: DataFrame, column: str = "metadata") -> DataFrame:
         .withColumn("genres", F.to_json(F.try_variant_get(v, "$.genres", "variant")))
         .withColumn("poster", text("poster"))
         .withColumn("release_date", number("release_date"))
-        .withColumn("cast_failed", failed("movie_id") | failed("release_date"))
+        .withColumn("cast_failed", v.isNull() | failed("movie_id") | failed("release_date"))
         .drop("v")
     )
 
@@ -83,22 +84,33 @@ def query_prepare(queries: DataFrame) -> DataFrame:
 
 
 def with_payload(hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Join the final hits to their documents.
+    """The final hits with the payload of their documents, null where there is none.
 
-    The hits are few against the corpus and written first, so that their size
-    can be checked without searching twice; the corpus is read in place.
+    The hits are few against the corpus and written first, so that they can be
+    counted without searching twice. A checked number of ids reaches the scan of
+    the corpus as a filter, which skips what is stored elsewhere; more ids are
+    semi-joined. Either way only the payload of hits meets them.
     """
-    return corpus.join(broadcast_if_small(written(hits, "hits")), "doc_id")
+    hits = written(hits, "hits")
+    ids = hits.select("doc_id").distinct()
+    few = [r[0] for r in ids.limit(PUSHED_IDS + 1).collect()]
+    if len(few) <= PUSHED_IDS:
+        payload = corpus.filter(F.col("doc_id").isin(few))
+    else:
+        payload = corpus.join(broadcast_if_small(ids), "doc_id", "left_semi")
+    return hits.join(payload, "doc_id", "left")
 
 
 def hit_projection(hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    payload = corpus.select("doc_id", "title", "overview", "genres", "poster")
+    date = F.col("release_date") if "release_date" in corpus.columns else F.lit(None).cast("long").alias("release_date")
+    payload = corpus.select("doc_id", "title", "overview", "genres", "poster", date)
     return with_payload(hits, payload).select(
         *hits.columns,
         F.coalesce("title", F.lit(scalars.DEFAULT_TITLE)).alias("title"),
         F.coalesce("overview", F.lit("")).alias("overview"),
         F.coalesce("genres", scalars.no_strings()).alias("genres"),
         "poster",
+        "release_date",
     )
 
 

@@ -4,42 +4,37 @@
 Exact search compares every query with every vector, but never emits the
 pairs: a task multiplies its Arrow batches with the query matrix and keeps k
 rows per query, so k rows per query and task are shuffled, whatever the corpus
-size. Two ways to bring the sides together:
+size. Queries are broadcast in blocks of a bounded size and the corpus stays where
+it is read.
 
-* queries that fit a checked number of bytes are broadcast; the corpus stays
-  where it is read;
-* a larger query table meets the corpus on a grid: both are cut into blocks by
-  a hash of their ids and every pair of blocks is one bounded group.
-
-Cells (k-means) restrict each query to its nearest cells: approximate, with
-the share of pairs scanned to be reported next to the recall.
+Cells restrict each query to its nearest cells: approximate, with the share of
+pairs scanned to be reported next to the recall.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rankweave.operators.topk import SCORE_DIGITS, top_k
-from rankweave.session import workspace
+from rankweave.session import workspace, written
 
 QUERY_BYTES = 64 << 20      # largest broadcast query matrix
-BLOCK_BYTES = 64 << 20      # largest corpus block of the grid
 CHUNK_CELLS = 4 << 20       # scores computed at a time inside a task
 RESULT_ROWS = 1_000_000     # most hits (queries x k) one task keeps
 
 
-def _half_up(x: np.ndarray) -> np.ndarray:
+def half_up(x: np.ndarray) -> np.ndarray:
     scale = 10.0 ** SCORE_DIGITS
     return np.copysign(np.floor(np.abs(x) * scale + 0.5) / scale, x)
 
@@ -53,11 +48,11 @@ def _scores(docs: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
         products = docs @ queries.T
     if metric == "l2":
         squares = (docs ** 2).sum(1)[:, None] + (queries ** 2).sum(1)[None, :] - 2 * products
-        return -_half_up(np.sqrt(np.maximum(squares, 0)))
-    return _half_up(products)
+        return -half_up(np.sqrt(np.maximum(squares, 0)))
+    return half_up(products)
 
 
-class _Best:
+class Best:
     """The k best documents per query seen so far by one task."""
 
     def __init__(self, n_queries: int, k: int):
@@ -93,7 +88,7 @@ class _Best:
         return df
 
 
-def _feed(best: _Best, ids, docs, cells, queries, probes, metric, least) -> None:
+def _feed(best: Best, ids, docs, cells, queries, probes, metric, least) -> None:
     """Compare documents with queries; with cells, only those probing the cell."""
     everyone = np.arange(len(queries))
     groups = [(slice(None), everyone)] if probes is None else [
@@ -109,7 +104,7 @@ def _feed(best: _Best, ids, docs, cells, queries, probes, metric, least) -> None
             best.add(some_ids[at:at + size], part, columns, least)
 
 
-def _output(best: _Best, query_ids: np.ndarray, metric: str, schema: pa.Schema) -> list[pa.Array]:
+def best_rows(best: Best, query_ids: np.ndarray, metric: str, schema: pa.Schema) -> list[pa.Array]:
     df = best.cut()
     sign = -1.0 if metric == "l2" else 1.0
     columns = (query_ids[df["q"].to_numpy(dtype="int64")], df["doc_id"], df["score"].to_numpy() * sign + 0.0)
@@ -148,56 +143,58 @@ def _broadcast_search(corpus, query_table: pa.Table, dim, k, metric, least, sche
 
     def search(batches):
         ids, queries, wanted = shared.value
-        best = _Best(len(ids), k)
+        best = Best(len(ids), k)
         for batch in batches:
             cells = None if wanted is None else batch.column("cell").to_numpy()
             _feed(best, _ids(batch.column("doc_id")), _matrix(batch.column("embedding"), dim),
                   cells, queries, wanted, metric, least)
-        yield pa.RecordBatch.from_arrays(_output(best, ids, metric, arrow), schema=arrow)
+        yield pa.RecordBatch.from_arrays(best_rows(best, ids, metric, arrow), schema=arrow)
     return corpus.mapInArrow(search, schema)
 
 
-def _grid_search(corpus, queries, dim, k, metric, least, schema, query_rows, block_rows) -> DataFrame:
-    """Every corpus block meets every query block in one group of bounded size."""
-    n_query = -(-queries.count() // query_rows)
-    n_corpus = max(1, -(-corpus.count() // block_rows))
-    block = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = corpus.select("doc_id", "embedding", block("doc_id", n_corpus).alias("cb"), every(n_query).alias("qb"))
-    right = queries.select("query_id", "query_vec", block("query_id", n_query).alias("qb"), every(n_corpus).alias("cb"))
+def dimension_of(df: DataFrame, column: str) -> int:
+    """The most frequent dimension, of equally frequent ones the larger; 1 without vectors."""
+    sizes = df.filter(F.col(column).isNotNull()).groupBy(F.size(column).alias("dim")).count()
+    first = sizes.orderBy(F.desc("count"), F.desc("dim")).head()
+    return first["dim"] if first else 1
 
-    arrow = to_arrow_schema(schema)
 
-    def search(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        ids = _ids(asked["query_id"].combine_chunks())
-        best = _Best(len(ids), k)
-        if len(ids) and docs.num_rows:
-            _feed(best, _ids(docs["doc_id"].combine_chunks()), _matrix(docs["embedding"].combine_chunks(), dim),
-                  None, _matrix(asked["query_vec"].combine_chunks(), dim), None, metric, least)
-        return pa.Table.from_arrays(_output(best, ids, metric, arrow), schema=arrow)
-    return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(search, schema)
+def misfits(df: DataFrame, column: str, dim: int) -> DataFrame:
+    """Rows whose vector has another dimension; searches leave these out."""
+    return df.filter(F.col(column).isNotNull() & (F.size(column) != dim))
+
+
+def in_blocks(queries: DataFrame, rows: int, search: Callable[[pa.Table], DataFrame], name: str) -> DataFrame:
+    """Search at most about `rows` queries at a time.
+
+    One block is searched where its result is used. Of several, each scans the corpus
+    by itself and its result is written before the next begins, so the driver holds
+    one block at a time.
+    """
+    n = -(-queries.count() // rows)
+    if n <= 1:
+        return search(queries.toArrow())
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    parts = [written(search(queries.filter(block == b).toArrow()), name) for b in range(n)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int = 20, metric: str = "cosine",
-            max_distance: float | None = None, query_bytes: int = QUERY_BYTES,
-            block_bytes: int = BLOCK_BYTES) -> DataFrame:
+            max_distance: float | None = None, dim: int | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """Exact k nearest: (query_id, doc_id, score, rank).
 
-    Rows without a vector, or of another dimension than the queries, take no
-    part; nor do zero vectors under cosine. `score` is the similarity, or the
-    distance for `l2`.
+    Rows without a vector, or of another dimension than `dim` (by default the most
+    frequent one of the queries), take no part; see `misfits`. Nor do zero vectors
+    under cosine. `score` is the similarity, or the distance for `l2`.
     """
     queries = queries.select("query_id", "query_vec").filter("query_vec IS NOT NULL")
-    dim, asked, fits, query_rows = _ask(queries, query_bytes, k)
-    schema = _schema(corpus, queries)
-    docs = _with_vector(corpus, dim)
-    least = _least(metric, max_distance)
-    if fits:
-        found = _broadcast_search(docs, asked, dim, k, metric, least, schema)
-    else:
-        found = _grid_search(docs, queries.filter(F.size("query_vec") == dim), dim, k, metric, least, schema,
-                             query_rows, max(1, block_bytes // (8 * dim)))
-    return top_k(found, k, descending=metric != "l2")
+    dim = dim or dimension_of(queries, "query_vec")
+    schema, docs, least = _schema(corpus, queries), _with_vector(corpus, dim), _least(metric, max_distance)
+
+    def search(asked: pa.Table) -> DataFrame:
+        return top_k(_broadcast_search(docs, asked, dim, k, metric, least, schema), k, descending=metric != "l2")
+
+    return in_blocks(queries.filter(F.size("query_vec") == dim), _block_rows(query_bytes, dim, k), search, "nearest")
 
 
 def _with_vector(corpus: DataFrame, dim: int, *more: str) -> DataFrame:
@@ -206,14 +203,8 @@ def _with_vector(corpus: DataFrame, dim: int, *more: str) -> DataFrame:
     )
 
 
-def _ask(queries: DataFrame, query_bytes: int, k: int):
-    """Dimension of the queries, the queries themselves, whether these are all
-    and few enough for a broadcast, and how many that would be."""
-    first = queries.select(F.size("query_vec")).head()
-    dim = first[0] if first else 1
-    limit = max(1, min(query_bytes // (8 * dim), RESULT_ROWS // k))
-    asked = queries.filter(F.size("query_vec") == dim).limit(limit + 1).toArrow()
-    return dim, asked, asked.num_rows <= limit, limit
+def _block_rows(query_bytes: int, dim: int, k: int) -> int:
+    return max(1, min(query_bytes // (8 * dim), RESULT_ROWS // k))
 
 
 @dataclass(frozen=True)
@@ -222,48 +213,76 @@ class CellIndex:
     centers: np.ndarray   # one row per cell
 
 
-def build_cells(corpus: DataFrame, n_cells: int, path: str | None = None, seed: int = 1) -> CellIndex:
-    """Cluster the vectors and write them by cell; a hot cell gets several files."""
+def _nearest_cells(centers: np.ndarray, vectors: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the n cells with the most similar centres, the lower number first among equals."""
+    return np.argsort(-_scores(centers, vectors, "cosine").T, axis=1, kind="stable")[:, :n]
+
+
+def build_cells(corpus: DataFrame, n_cells: int, path: str | None = None, seed: int = 1, dim: int | None = None,
+                centers: list | None = None) -> CellIndex:
+    """Put each vector into the cell of its most similar centre and write them by cell.
+
+    Centres are given or found by k-means under cosine distance. A hot cell gets
+    several files. Zero vectors have no direction and take no part.
+    """
     spark = corpus.sparkSession
-    dim = corpus.filter("embedding IS NOT NULL").select(F.size("embedding")).head()[0]
-    docs = _with_vector(corpus, dim).withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    model: KMeansModel = KMeans(k=n_cells, seed=seed, featuresCol="features", predictionCol="cell").fit(docs)
-    if path is None:
-        path = f"{workspace(spark)}/cells-{uuid.uuid4().hex}"
-    (
-        model.transform(docs).drop("features").hint("rebalance", "cell")
-        .write.mode("overwrite").partitionBy("cell").parquet(path)
-    )
-    return CellIndex(spark.read.parquet(path), np.array(model.clusterCenters()))
+    dim = dim or dimension_of(corpus, "embedding")
+    docs = _with_vector(corpus, dim).filter(F.exists("embedding", lambda x: x != 0))
+    if centers is None:
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        features = docs.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+        model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", featuresCol="features").fit(features)
+        centers = model.clusterCenters()
+    matrix = np.array(centers, dtype="float64")
+
+    def place(batches):
+        for batch in batches:
+            cell = np.zeros(0, "int32")
+            if batch.num_rows:
+                vectors = _matrix(batch.column("embedding"), dim)
+                size = max(1, CHUNK_CELLS // len(matrix))
+                cell = np.concatenate([_nearest_cells(matrix, vectors[at:at + size], 1)[:, 0]
+                                       for at in range(0, len(vectors), size)]).astype("int32")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("cell", T.IntegerType())])
+    path = path or f"{workspace(spark)}/cells-{uuid.uuid4().hex}"
+    docs.mapInArrow(place, schema).hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+    return CellIndex(spark.read.schema(schema).parquet(path), matrix)
 
 
 def nearest_in_cells(index: CellIndex, queries: DataFrame, k: int = 20, probes: int = 3,
                      query_bytes: int = QUERY_BYTES) -> DataFrame:
     """Cosine neighbours among the `probes` nearest cells of each query.
 
-    Only the cells asked for are read. A query table above the bound is
-    answered by exact search instead.
+    Only the cells asked for are read, whatever the number of queries.
     """
-    queries = queries.select("query_id", "query_vec").filter("query_vec IS NOT NULL")
-    dim, asked, fits, _ = _ask(queries, query_bytes, k)
-    if not fits:
-        return nearest(index.docs, queries, k)
-    matrix = _matrix(asked["query_vec"].combine_chunks(), dim)
-    order = np.argsort(-_scores(index.centers, matrix, "cosine").T, axis=1, kind="stable")
+    dim, schema = index.centers.shape[1], _schema(index.docs, queries)
+    queries = queries.select("query_id", "query_vec").filter(F.col("query_vec").isNotNull() & (F.size("query_vec") == dim))
+
+    def search(asked: pa.Table) -> DataFrame:
+        wanted = _probed(index, asked, probes)
+        cells = [int(c) for c in np.flatnonzero(wanted.any(axis=0))]
+        docs = _with_vector(index.docs.filter(F.col("cell").isin(cells)), dim, "cell")
+        return top_k(_broadcast_search(docs, asked, dim, k, "cosine", -np.inf, schema, wanted), k)
+
+    return in_blocks(queries, _block_rows(query_bytes, dim, k), search, "nearest-in-cells")
+
+
+def _probed(index: CellIndex, asked: pa.Table, probes: int) -> np.ndarray:
+    """probed[query, cell]"""
+    matrix = _matrix(asked["query_vec"].combine_chunks(), index.centers.shape[1])
     wanted = np.zeros((len(matrix), len(index.centers)), dtype=bool)
-    np.put_along_axis(wanted, order[:, :probes], True, axis=1)
-    cells = [int(c) for c in np.flatnonzero(wanted.any(axis=0))]
-    docs = _with_vector(index.docs.filter(F.col("cell").isin(cells)), dim, "cell")
-    found = _broadcast_search(docs, asked, dim, k, "cosine", -np.inf, _schema(index.docs, queries), wanted)
-    return top_k(found, k)
+    np.put_along_axis(wanted, _nearest_cells(index.centers, matrix, probes), True, axis=1)
+    return wanted
 
 
 def scanned_share(index: CellIndex, queries: DataFrame, probes: int) -> float:
-    """Share of all (query, document) pairs that `nearest_in_cells` compares."""
+    """Share of all (query, document) pairs that `nearest_in_cells` compares, for one block of queries."""
     sizes = {r["cell"]: r["count"] for r in index.docs.groupBy("cell").count().collect()}  # one row per cell
-    total = sum(sizes.values())
-    dim, asked, _, _ = _ask(queries.select("query_id", "query_vec").filter("query_vec IS NOT NULL"), QUERY_BYTES, 1)
-    matrix = _matrix(asked["query_vec"].combine_chunks(), dim)
-    order = np.argsort(-_scores(index.centers, matrix, "cosine").T, axis=1, kind="stable")[:, :probes]
-    seen = sum(sizes.get(int(c), 0) for row in order for c in row)
-    return seen / (total * len(matrix)) if total and len(matrix) else 0.0
+    fits = F.col("query_vec").isNotNull() & (F.size("query_vec") == index.centers.shape[1])
+    wanted = _probed(index, queries.select("query_id", "query_vec").filter(fits).toArrow(), probes)
+    per_cell = np.array([sizes.get(c, 0) for c in range(len(index.centers))])
+    return float((wanted @ per_cell).sum() / (per_cell.sum() * len(wanted))) if per_cell.sum() and len(wanted) else 0.0

@@ -1,19 +1,23 @@
 """Lexical search of a table of queries (query_id, q) against a term index.
 
-The query side is small and its size is checked; broadcast to the postings it
-prunes them to the buckets of its terms. Postings are sharded by document, so
-each task scores its documents completely and the first shuffle carries the k
-best per query and task.
+Queries are taken in blocks whose terms are few enough to broadcast; to the
+postings they prune these to the buckets of their terms. Postings are sharded by
+document, so each task scores its documents completely and the first shuffle
+carries the k best per query and task. However many queries there are, no posting
+is ever shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.operators.topk import rounded, top_k
 from rankweave.plans.index import TermIndex
-from rankweave.session import MAX_BROADCAST_ROWS, holds_at_most
+from rankweave.session import MAX_BROADCAST_ROWS, written
 
 K1 = 1.2
 B = 0.75
@@ -31,17 +35,23 @@ def query_terms(queries: DataFrame, index: TermIndex) -> DataFrame:
     )
 
 
-def small_query_terms(queries: DataFrame, index: TermIndex) -> tuple[DataFrame, bool]:
-    """The query terms and whether their checked number allows a broadcast."""
-    wanted = query_terms(queries, index)
-    return wanted, holds_at_most(wanted, MAX_BROADCAST_ROWS)
+def in_blocks(queries: DataFrame, index: TermIndex, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Search blocks of queries with about half as many terms as may be broadcast.
+
+    One block is searched where its result is used; of several, each is written
+    before the next begins.
+    """
+    n = -(-2 * query_terms(queries, index).count() // max(1, MAX_BROADCAST_ROWS))
+    if n <= 1:
+        return search(queries)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    return reduce(DataFrame.unionByName, [written(search(queries.filter(block == b)), "block") for b in range(n)])
 
 
 def matches(queries: DataFrame, index: TermIndex, columns: list[str]) -> DataFrame:
     """Postings of the query terms: one row per (query, field, term, document)."""
-    wanted, small = small_query_terms(queries, index)
     return index.postings.select("bucket", "field", "term", "doc_id", *columns).join(
-        F.broadcast(wanted) if small else wanted, ["bucket", "term"]
+        F.broadcast(query_terms(queries, index)), ["bucket", "term"]
     )
 
 
@@ -50,13 +60,17 @@ def all_terms_match(queries: DataFrame, index: TermIndex) -> DataFrame:
 
     A query without terms (stop words only) matches nothing.
     """
+    return in_blocks(queries, index, lambda block: _all_terms_match(block, index))
+
+
+def _all_terms_match(queries: DataFrame, index: TermIndex) -> DataFrame:
+    found = matches(queries, index, ["tf"])
+    if len(index.fields) > 1:  # a term in several fields of a document is one term
+        found = found.groupBy("query_id", "doc_id", "term").agg(F.sum("tf").alias("tf"), F.max("n_terms").alias("n_terms"))
     tf = F.col("tf").cast("double")
-    # A term held by several fields of a document counts once.
-    found = F.count(F.lit(1)) if len(index.fields) == 1 else F.count_distinct("term")
     return (
-        matches(queries, index, ["tf"])
-        .groupBy("query_id", "doc_id")
-        .agg(found.alias("found"), F.max("n_terms").alias("n_terms"),
+        found.groupBy("query_id", "doc_id")
+        .agg(F.count(F.lit(1)).alias("found"), F.max("n_terms").alias("n_terms"),
              F.sum(tf / (tf + 1)).alias("weight"))
         .filter("found = n_terms")
         .select("query_id", "doc_id", rounded(F.col("weight") / F.col("n_terms")).alias("score"))
@@ -65,7 +79,7 @@ def all_terms_match(queries: DataFrame, index: TermIndex) -> DataFrame:
 
 def keyword_search(queries: DataFrame, index: TermIndex, k: int | None = 20) -> DataFrame:
     """Match all terms, rank by term frequency."""
-    return top_k(all_terms_match(queries, index), k)
+    return in_blocks(queries, index, lambda block: top_k(_all_terms_match(block, index), k))
 
 
 def bm25_weights(wanted: DataFrame, index: TermIndex) -> DataFrame:
@@ -80,11 +94,13 @@ def bm25_weights(wanted: DataFrame, index: TermIndex) -> DataFrame:
 def bm25_scores(queries: DataFrame, index: TermIndex, boosts: dict[str, float] | None = None,
                 k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) of every document that holds any query term."""
-    wanted, small = small_query_terms(queries, index)
-    if small:  # the weights are as many, once per field
-        weights = F.broadcast(bm25_weights(F.broadcast(wanted), index))
-    else:
-        weights = bm25_weights(wanted, index)
+    return in_blocks(queries, index, lambda block: _bm25_scores(block, index, boosts, k1, b))
+
+
+def _bm25_scores(queries: DataFrame, index: TermIndex, boosts: dict[str, float] | None = None,
+                 k1: float = K1, b: float = B) -> DataFrame:
+    wanted = query_terms(queries, index)
+    weights = F.broadcast(bm25_weights(F.broadcast(wanted), index))  # as many, once per field
     tf = F.col("tf").cast("double")
     norm = k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))
     part = F.col("idf") * tf * (k1 + 1) / (tf + norm)
@@ -102,7 +118,7 @@ def bm25_scores(queries: DataFrame, index: TermIndex, boosts: dict[str, float] |
 
 
 def bm25_search(queries: DataFrame, index: TermIndex, k: int | None = 20, **options) -> DataFrame:
-    return top_k(bm25_scores(queries, index, **options), k)
+    return in_blocks(queries, index, lambda block: top_k(_bm25_scores(block, index, **options), k))
 
 
 def cover_density(hits: Column, n_terms: Column, cover_length: float) -> Column:
@@ -139,8 +155,15 @@ def native_search(queries: DataFrame, index: TermIndex, k: int | None = 20,
     """Match all terms, rank by cover density.
 
     Positions are gathered within the shard, only those of query terms: never
-    more than one document's own length. Expects an index with one field.
+    more than one document's own length. Positions of different fields have no
+    common order, so the index must have one field.
     """
+    if len(index.fields) != 1:
+        raise ValueError("cover density needs an index with one field")
+    return in_blocks(queries, index, lambda block: _native_search(block, index, k, cover_length))
+
+
+def _native_search(queries: DataFrame, index: TermIndex, k: int | None, cover_length: float) -> DataFrame:
     gathered = (
         matches(queries, index, ["positions"])
         .groupBy("query_id", "doc_id")

@@ -32,5 +32,8 @@ def facet_year(df: DataFrame) -> DataFrame:
     )
 
 
-def hit_counts(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+def hit_counts(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits of every query, 0 included."""
+    found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return queries.select("query_id").join(found, "query_id", "left").select(
+        "query_id", F.coalesce("n", F.lit(0)).alias("hits"))

@@ -17,20 +17,20 @@ the corpus averages with each term, so scoring needs no further join.
 
 from __future__ import annotations
 
-import re
+import hashlib
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import Analyzer
 from rankweave.session import workspace
 
-DOCS_PER_SHARD = 100_000
-MAX_SHARDS = 4096
-DOCS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 1024
+#: Text of a shard, and term buckets: files of about 128 MB.
+SHARD_BYTES = 512 << 20
+MIN_SHARDS, BUCKETS = 8, 4
 
 
 @dataclass(frozen=True)
@@ -97,11 +97,26 @@ def term_stats(postings: DataFrame, n_docs: int) -> DataFrame:
     return df.join(F.broadcast(lengths), "field")
 
 
-def sizes_for(n_docs: int) -> tuple[int, int]:
-    """(shards, term buckets) for a corpus."""
-    shards = max(8, min(MAX_SHARDS, -(-n_docs // DOCS_PER_SHARD)))
-    buckets = max(4, min(MAX_BUCKETS, -(-n_docs // DOCS_PER_BUCKET)))
-    return shards, buckets
+def shards_for(text_bytes: int) -> int:
+    """Shards, and with them tasks, grow with the text without a bound."""
+    return max(MIN_SHARDS, -(-text_bytes // SHARD_BYTES))
+
+
+def catalog_name(path: str) -> str:
+    """Tables are named by the whole path: equal last parts do not meet."""
+    return "rankweave_" + hashlib.md5(path.rstrip("/").encode()).hexdigest()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema(META).json(f"{path}/meta").head()
+        return True
+    except AnalysisException:
+        return False
+
+
+META = ("n_docs BIGINT, shards BIGINT, buckets BIGINT, fields ARRAY<STRING>, language STRING, "
+        "separators ARRAY<STRING>, symbols ARRAY<STRING>")
 
 
 def build_index(
@@ -110,40 +125,49 @@ def build_index(
     analyzer: Analyzer = Analyzer(),
     path: str | None = None,
     shards: int | None = None,
-    buckets: int | None = None,
+    buckets: int = BUCKETS,
 ) -> TermIndex:
     """Write the index tables of a corpus that has a unique `doc_id`.
 
-    The tables are registered in the session's catalog under the last part of
-    the path; their number of shards and buckets follows the corpus.
+    An index is never written over another: the path must be free. Its settings lie
+    beside the tables, so `open_index` needs the path only.
     """
     spark = corpus.sparkSession
-    if path is None:
-        path = f"{workspace(spark)}/index-{uuid.uuid4().hex}"
-    name = "rankweave_" + re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
-    n_docs = corpus.count()
-    default = sizes_for(n_docs)
-    shards, buckets = shards or default[0], buckets or default[1]
+    path = path or f"{workspace(spark)}/index-{uuid.uuid4().hex}"
+    if _exists(spark, path):
+        raise FileExistsError(f"{path} holds an index")
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in fields.values()), F.lit(0))
+    measured = corpus.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).head()
+    n_docs, shards = measured["n"], shards or shards_for(measured["bytes"])
+    name = catalog_name(path)
     placed = corpus.repartition(shards, "doc_id")
     postings = postings_of(occurrences(placed, fields, analyzer))
     (
         postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
         .sortWithinPartitions("bucket", "term")
-        .write.mode("overwrite").format("parquet").option("path", f"{path}/postings")
+        .write.mode("error").format("parquet").option("path", f"{path}/postings")
         .partitionBy("bucket").bucketBy(shards, "doc_id").saveAsTable(f"{name}_postings")
     )
     (
         term_stats(spark.table(f"{name}_postings"), n_docs)
         .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "term")
-        .write.mode("overwrite").format("parquet").option("path", f"{path}/terms")
+        .write.mode("error").format("parquet").option("path", f"{path}/terms")
         .partitionBy("bucket").saveAsTable(f"{name}_terms")
     )
-    return open_index(spark, name, buckets, analyzer, tuple(fields))
-
-
-def open_index(spark: SparkSession, name: str, buckets: int, analyzer: Analyzer,
-               fields: tuple[str, ...] = ("content",)) -> TermIndex:
-    return TermIndex(
-        spark.table(f"{name}_postings"), spark.table(f"{name}_terms"), buckets, analyzer, fields
-    )
+    settings = (n_docs, shards, buckets, list(fields), analyzer.language, list(analyzer.separators), list(analyzer.symbols))
+    spark.createDataFrame([settings], META).write.json(f"{path}/meta")  # last: only a whole index can be opened
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> TermIndex:
+    """The index at `path`; its tables are registered in the session's catalog if they are not yet."""
+    meta, name = spark.read.schema(META).json(f"{path}/meta").head(), catalog_name(path)
+    for kind, layout in (("postings", f"CLUSTERED BY (doc_id) INTO {meta['shards']} BUCKETS"), ("terms", "")):
+        table = f"{name}_{kind}"
+        if not spark.catalog.tableExists(table):
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/{kind}").schema)
+            spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet PARTITIONED BY (bucket) {layout} LOCATION '{path}/{kind}'")
+            spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+    analyzer = Analyzer(meta["language"], tuple(meta["separators"]), tuple(meta["symbols"]))
+    return TermIndex(spark.table(f"{name}_postings"), spark.table(f"{name}_terms"), meta["buckets"], analyzer, tuple(meta["fields"]))

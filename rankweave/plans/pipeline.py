@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rankweave.functions.scalars import content_document, doc_identity, metadata_pack
 from rankweave.functions.vectors import hash_embed
 from rankweave.operators.enrich import enrich
-from rankweave.operators.fusion import CUT, fuse, keyword_only, overlap, weighted_sum
+from rankweave.operators.fusion import CUT, asking, fuse, keyword_only, list_cut, overlap, weighted_sum
 from rankweave.operators.fuzzy import fuzzy_search
 from rankweave.operators.items import hit_projection, query_prepare
 from rankweave.operators.knn import nearest
@@ -52,26 +52,35 @@ def corpus_of(items: DataFrame, source: str, payloads: DataFrame | None = None)
     )
 
 
-def ranked_lists(queries: DataFrame, corpus: DataFrame, index: TermIndex, cut: int = CUT,
+def ranked_lists(queries: DataFrame, corpus: DataFrame, index: TermIndex, cut: int | None = None,
                  strategy: str = "bm25", fuzzy_index: TermIndex | None = None,
-                 max_distance: float | None = None) -> dict[str, DataFrame]:
+                 max_distance: float | None = None, fuzzy_weight: float = 0.0) -> dict[str, DataFrame]:
+    """The lists to fuse, each searched for the queries in which it has a weight.
+
+    `cut` is their length; by default it covers the largest `limit` of a query.
+    """
     search = {"bm25": bm25_search, "native": native_search}[strategy]
+    cut = cut or list_cut(queries)
+    asked = lambda name: asking(queries, name, fuzzy_weight)
     lists = {
-        "lexical": search(queries, index, cut),
-        "semantic": nearest(corpus, queries, cut, max_distance=max_distance),
+        "lexical": search(asked("lexical"), index, cut),
+        "semantic": nearest(corpus, asked("semantic"), cut, max_distance=max_distance),
     }
-    if fuzzy_index is not None:
+    if fuzzy_index is not None and fuzzy_weight > 0:
         lists["fuzzy"] = fuzzy_search(queries, fuzzy_index, cut)
     return lists
 
 
 def hybrid_rrf(queries: DataFrame, corpus: DataFrame, index: TermIndex,
                fuzzy_index: TermIndex | None = None, strategy: str = "bm25",
-               max_distance: float | None = None, **options) -> DataFrame:
-    """Lexical and semantic ranking of (query_id, q, query_vec), fused."""
-    lists = ranked_lists(queries, corpus, index, strategy=strategy, fuzzy_index=fuzzy_index,
-                         max_distance=max_distance)
-    return fuse(queries, lists, **options)
+               max_distance: float | None = None, fuzzy_weight: float = 0.0, limit: int | None = 20,
+               **options) -> DataFrame:
+    """Lexical and semantic ranking of (query_id, q, query_vec), fused.
+
+    Lists are as long as `limit` or a query's own limit asks for, `CUT` at least.
+    """
+    lists = ranked_lists(queries, corpus, index, list_cut(queries, limit), strategy, fuzzy_index, max_distance, fuzzy_weight)
+    return fuse(queries, lists, fuzzy_weight=fuzzy_weight, limit=limit, **options)
 
 
 def hybrid_weighted(queries: DataFrame, corpus: DataFrame, index: TermIndex,
@@ -101,7 +110,7 @@ def compare_strategies(queries: DataFrame, corpus: DataFrame, index: TermIndex,
     """Overlap and rank differences of the strategies on the same queries."""
     bm25 = written(bm25_search(queries, index, CUT), "bm25")
     semantic = written(nearest(corpus, queries, CUT), "semantic")
-    return overlap({
+    return overlap(queries, {
         "bm25": bm25,
         "native": native_search(queries, index, k),
         "semantic": semantic,

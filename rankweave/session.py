@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import logging
 import tempfile
 import uuid
 from functools import lru_cache
@@ -15,17 +17,36 @@ MAX_BROADCAST_ROWS = 200_000
 
 
 def workspace(spark: SparkSession) -> str:
-    """Shared folder for written tables: `spark.checkpoint.dir` of the session.
+    """Folder for the written tables of this application, below `spark.checkpoint.dir`.
 
     Only a local-mode session may fall back to a temporary folder; on a cluster
-    a machine-local folder would be lost with its machine.
+    a machine-local folder would be lost with its machine. The folder goes when the
+    driver ends, or earlier by `clear_workspace`.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not shared and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_folder()
+    folder = f"{(shared or _local_folder()).rstrip('/')}/rankweave-{spark.sparkContext.applicationId}"
+    if folder not in _cleared_at_exit:
+        _cleared_at_exit.add(folder)
+        atexit.register(_clear, spark, folder)
+    return folder
+
+
+def clear_workspace(spark: SparkSession) -> None:
+    """Delete all written tables; results that still read them can no longer be used."""
+    _clear(spark, workspace(spark))
+
+
+def _clear(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception as error:  # at exit the session may be gone already
+        logging.getLogger(__name__).debug("%s stays: %s", folder, error)
+
+
+_cleared_at_exit: set[str] = set()
 
 
 @lru_cache(maxsize=1)

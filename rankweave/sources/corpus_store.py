@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions.vectors import is_valid_vector
@@ -51,11 +51,22 @@ def add_documents(df: DataFrame, table: str) -> DataFrame:
     return bad
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Incoming rows replace existing ones of the same key.
+def newest(df: DataFrame, key: str, order: Column) -> DataFrame:
+    """One row per key, the last by `order`; rows without a key all stay."""
+    row = F.struct(*[c for c in df.columns if c != key])
+    keyed = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(row, order).alias("row")).select(key, "row.*")
+    return keyed.unionByName(df.filter(F.col(key).isNull())).select(*df.columns)
 
-    A small batch is broadcast, so adding it does not move the corpus.
+
+def upsert(existing: DataFrame, incoming: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
+    """Incoming rows replace existing ones of the same key, and earlier incoming ones.
+
+    Of incoming rows with equal keys the one with the largest `order` stays; without
+    an order column, the largest row by its values. A small batch is broadcast, so
+    adding it does not move the corpus.
     """
+    others = [c for c in incoming.columns if c != key]
+    incoming = newest(incoming, key, F.col(order) if order else F.struct(*others)).select(*existing.columns)
     keys = broadcast_if_small(incoming.select(key))
     return existing.join(keys, key, "left_anti").unionByName(incoming)
 

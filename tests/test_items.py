@@ -26,10 +26,11 @@ def test_defaults_and_numbering(spark):
 def test_numbering_across_blocks(spark):
     df = spark.range(1000).select(
         F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("id"))
-    got = items.number_missing_ids(df, "k", width=64)
-    assert got.count() == 1000 and got.select("id").distinct().count() == 1000
-    new = [r.id for r in got.filter("k % 3 <> 0").orderBy("k").collect()]
-    assert new == list(range(1000, 1000 + len(new)))
+    for spread in (F.col("k"), F.col("k") * 10 ** 15 - 5 * 10 ** 17):  # dense and sparse orders, negative ones too
+        got = items.number_missing_ids(df.withColumn("k", spread), "k", ranges=7)
+        assert got.count() == 1000 and got.select("id").distinct().count() == 1000
+        new = [r.id for r in got.filter("id >= 1000").orderBy("k").collect()]
+        assert new == list(range(1000, 1000 + 666))
 
 
 def test_numbering_of_empty_ids_only(spark):
@@ -123,3 +124,38 @@ def test_import_limit(spark):
     df = spark.range(10)
     assert items.import_limit(df, None).count() == items.import_limit(df, 0).count() == items.import_limit(df, 99).count() == 10
     assert [r.id for r in items.import_limit(df, 3).collect()] == [0, 1, 2]
+
+
+def test_hits_without_a_document_stay(spark, monkeypatch):
+    hits = spark.createDataFrame([(1, 10, 1, 0.9), (1, 11, 2, 0.8), (2, 10, 1, 0.7)], "query_id int, doc_id long, rank int, score double")
+    corpus = spark.createDataFrame([(10, "t", None, None, None, 5)],
+                                   "doc_id long, title string, overview string, genres array<string>, poster string, release_date long")
+    for pushed in (2_000, 0):
+        monkeypatch.setattr(items, "PUSHED_IDS", pushed)
+        got = {(r.query_id, r.doc_id): (r.title, r.release_date) for r in items.hit_projection(hits, corpus).collect()}
+        assert got == {(1, 10): ("t", 5), (1, 11): ("Unknown", None), (2, 10): ("t", 5)}
+
+
+def test_hit_ids_reach_the_scan(spark, tmp_path):
+    spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x").alias("lang")).write.parquet(str(tmp_path / "docs"))
+    hits = spark.createDataFrame([(1, 10), (1, 11)], "query_id int, doc_id long")
+    joined = items.with_payload(hits, spark.read.parquet(str(tmp_path / "docs")))
+    assert "In(doc_id, [10,11])" in joined._jdf.queryExecution().toString()
+
+
+def test_unpacked_numbers_are_long_and_broken_metadata_is_marked(spark):
+    df = spark.createDataFrame([('{"movie_id": 5000000000, "release_date": 4102444800}',), ("oops",)], "metadata string")
+    got = items.metadata_unpack(df)
+    assert dict(got.dtypes)["tmdb_id"] == dict(got.dtypes)["release_date"] == "bigint"
+    assert [(r.tmdb_id, r.release_date, r.cast_failed) for r in got.orderBy(F.desc("tmdb_id")).collect()] == [
+        (5000000000, 4102444800, False), (None, None, True)]
+
+
+def test_counts_and_overlaps_of_queries_without_hits(spark):
+    from rankweave.operators import fusion, reports
+    queries = spark.createDataFrame([(1,), (2,), (3,)], "query_id int")
+    one = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 12, 1)], "query_id int, doc_id long, rank int")
+    two = spark.createDataFrame([(1, 11, 1)], "query_id int, doc_id long, rank int")
+    assert {r.query_id: r.hits for r in reports.hit_counts(queries, one).collect()} == {1: 2, 2: 1, 3: 0}
+    got = {r.query_id: (r.shared, r.overlap, r.mean_rank_gap) for r in fusion.overlap(queries, {"b": one, "a": two}, 2).collect()}
+    assert got == {1: (1, 0.5, 1.0), 2: (0, 0.0, None), 3: (0, 0.0, None)}

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave import session
-from rankweave.functions.text import Analyzer, stems, stop_words
+from rankweave.functions.text import LANGUAGES, Analyzer, english_stems, stems, stop_words
 from rankweave.operators import fusion, fuzzy, knn, lexical, topk
-from rankweave.plans.index import build_index
+from rankweave.plans.index import build_index, catalog_name, open_index, shards_for
 
 rng = random.Random(7)
 WORDS = [a + b for a in ("alp", "bet", "gam", "del", "eps") for b in ("ha", "in", "ot", "er", "um", "st")]
@@ -100,7 +100,7 @@ def test_score_grows_with_frequency(spark):
 
 def test_lexical_paths_agree(queries, index, monkeypatch):
     want = [rows(f(queries, index)) for f in (lexical.bm25_search, lexical.keyword_search, lexical.native_search)]
-    monkeypatch.setattr(lexical, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lexical, "MAX_BROADCAST_ROWS", 8)
     assert [rows(f(queries, index)) for f in (lexical.bm25_search, lexical.keyword_search, lexical.native_search)] == want
 
 
@@ -113,13 +113,38 @@ def test_fuzzy_paths_agree(queries, index, monkeypatch):
     words = fuzzy.query_words(queries.withColumn("q", F.concat("q", F.lit(" alphx btain")))).select("word").distinct()
     want = rows(fuzzy.similar_terms(words, fuzzy.vocabulary_of(index)))
     hits = rows(fuzzy.fuzzy_search(queries, index))
-    monkeypatch.setattr(fuzzy, "PACKED_PAIRS", 0)
+    monkeypatch.setattr(fuzzy, "CHUNK_CELLS", 64)
     assert rows(fuzzy.fuzzy_search(queries, index)) == hits
-    monkeypatch.setattr(fuzzy, "MAX_WORDS", 0)
+    monkeypatch.setattr(fuzzy, "MAX_PAIRS", 40)
+    assert rows(fuzzy.fuzzy_search(queries, index)) == hits
+    monkeypatch.setattr(fuzzy, "MAX_WORDS", 6)
     assert rows(fuzzy.similar_terms(words, fuzzy.vocabulary_of(index))) == want
     assert rows(fuzzy.fuzzy_search(queries, index)) == hits
 
 
+def test_fuzzy_scores_against_brute_force(docs, queries, index):
+    grams = lambda w: {f"  {w} "[i:i + 3] for i in range(len(w) + 1)}
+    alike = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    texts = {d: set(t.split()) for d, t in docs.collect()}
+    asked = {q: text.split() + ["alphx"] for q, text in queries.collect()}
+    got = fuzzy.fuzzy_search(queries.withColumn("q", F.concat("q", F.lit(" alphx"))), index, 500)
+    want = {}
+    for q, words in asked.items():
+        for d, terms in texts.items():
+            best = [max((s for s in (alike(w, t) for t in terms) if s >= 0.2), default=0) for w in set(words)]
+            if any(best):
+                want[q, d] = round(sum(best) / len(best), 6)
+    found = {(r.query_id, r.doc_id): r.score for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_fuzzy_moves_only_the_best(queries, index):
+    df = fuzzy.fuzzy_search(queries, index)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("WindowGroupLimit") < plan.index("MapInArrow")
+
+
 def test_fuzzy_against_brute_force(index):
     grams = lambda w: {f"  {w} "[i:i + 3] for i in range(len(w) + 1)}
     words = index.terms.select(F.regexp_replace("term", "a", "").alias("word")).distinct()
@@ -157,10 +182,19 @@ def test_nearest_against_brute_force(vectors, vector_queries, metric):
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 def test_nearest_paths_agree(vectors, vector_queries, metric):
     few = rows(knn.nearest(vectors, vector_queries, 5, metric=metric))
-    many = rows(knn.nearest(vectors, vector_queries, 5, metric=metric, query_bytes=48 * 4, block_bytes=48 * 90))
+    many = rows(knn.nearest(vectors, vector_queries, 5, metric=metric, query_bytes=48 * 4))
     assert few == many and len(few) == 55
 
 
+def test_one_bad_vector_costs_only_itself(spark, vectors, vector_queries):
+    want = rows(knn.nearest(vectors, vector_queries, 5))
+    bad = spark.createDataFrame([(-1, [1.0]), (-2, None)], "query_id int, query_vec array<float>")
+    for asked in (bad.union(vector_queries), vector_queries.union(bad)):
+        assert rows(knn.nearest(vectors, asked.coalesce(1), 5)) == want
+        assert rows(knn.nearest(vectors, asked.coalesce(1), 5, dim=6)) == want
+        assert [r.query_id for r in knn.misfits(asked, "query_vec", 6).collect()] == [-1]
+
+
 def test_maximum_distance(vectors, vector_queries):
     everything = rows(knn.nearest(vectors, vector_queries, 500))
     near = rows(knn.nearest(vectors, vector_queries, 500, max_distance=0.4))
@@ -181,7 +215,14 @@ def test_cells(spark, vector_queries):
         recalls.append(len(found & exact) / len(exact))
         assert recalls[-1] > knn.scanned_share(ix, vector_queries, probes)
     assert recalls == sorted(recalls)
-    assert rows(knn.nearest_in_cells(ix, vector_queries, 10, probes=1, query_bytes=1)) == rows(knn.nearest(corpus, vector_queries, 10))
+    # More queries than a block holds probe the same cells.
+    for probes in (1, 3):
+        assert rows(knn.nearest_in_cells(ix, vector_queries, 10, probes=probes, query_bytes=48 * 3)) == rows(
+            knn.nearest_in_cells(ix, vector_queries, 10, probes=probes))
+    given = knn.build_cells(corpus, 2, centers=[[1.0, 2, 3, 0, 0, 0], [-1.0, -2, -3, 0, 0, 0]])
+    side = {r.doc_id: r.cell for r in given.docs.collect()}
+    vecs = {d: np.array(v) @ np.array([1, 2, 3, 0, 0, 0]) for d, v in data}
+    assert all(side[d] == (0 if v >= 0 else 1) for d, v in vecs.items() if abs(v) > 1e-3)
 
 
 def test_fusion_ignores_row_order_and_ends_are_single_lists(queries, index, vectors, vector_queries):
@@ -224,10 +265,57 @@ def test_languages(spark):
     assert df.select(kept.terms(F.col("t"))).head()[0] == ["the", "r", "nning", "dogs", "of", "l'été"]
 
 
-def test_stop_words_of_the_answers_are_the_library_s(spark):
-    from workload.oracle import stop_list
-    for code in ("en", "fr", "de", "es"):
-        assert tuple(stop_list(code)) == stop_words(code)
+def test_stems_of_distinct_words_are_the_column_stems(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = F.transform(F.split(F.lower("text"), "[^a-zé]+"), lambda w: F.when(w != "the", w))
+    made = docs.select(english_stems(words).alias("a"), stems(words, "en").alias("b"))
+    assert made.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+    odd = spark.createDataFrame([(None,), ([],), (["", None, "y", "yes", "sses", "ies", "eed", "ing", "ll"],)], "w array<string>")
+    assert odd.select(english_stems(F.col("w"))).collect() == odd.select(stems(F.col("w"), "en")).collect()
+
+
+def test_stop_words_are_those_spark_ships(spark):
+    from pyspark.ml.feature import StopWordsRemover
+    for name in ("english", "french", "german", "spanish", "italian", "portuguese", "dutch", "russian"):
+        assert stop_words(name) == tuple(StopWordsRemover.loadDefaultStopWords(name))
+
+
+def test_every_language_analyses_and_others_are_refused(spark):
+    texts = {"ar": "في المدرسة", "zh": "电影 的", "ru": "красивые фильмы и книги"}
+    df = spark.createDataFrame([(t,) for t in texts.values()], "t string")
+    for code in LANGUAGES:
+        assert df.select(Analyzer(code).terms(F.col("t"))).count() == 3
+    got = {c: spark.createDataFrame([(t,)], "t string").select(Analyzer(c).terms(F.col("t"))).head()[0] for c, t in texts.items()}
+    assert got == {"ar": ["مدرس"], "zh": ["电影"], "ru": ["красив", "фильм", "книг"]}
+    with pytest.raises(ValueError, match="no text analysis"):
+        Analyzer("xx").terms(F.col("t"))
+
+
+def test_an_index_is_found_by_its_whole_path(spark, docs, queries, tmp_path):
+    a, b = (f"{tmp_path}/{d}/idx" for d in "ab")
+    first = build_index(docs, {"content": F.col("content")}, Analyzer("simple"), a)
+    want = rows(lexical.bm25_search(queries, first))
+    build_index(docs.limit(5), {"content": F.col("content")}, Analyzer("english"), b)
+    assert rows(lexical.bm25_search(queries, first)) == want
+    with pytest.raises(FileExistsError):
+        build_index(docs, {"content": F.col("content")}, Analyzer("simple"), a)
+    other = spark.newSession()
+    for kind in ("postings", "terms"):  # forget the tables, not the files
+        spark.sql(f"DROP TABLE {catalog_name(a)}_{kind}")
+    again = open_index(other, a)
+    assert again.analyzer == Analyzer("simple") and again.fields == ("content",)
+    assert rows(lexical.bm25_search(queries, again)) == want
+    assert shards_for(0) == 8 and shards_for(10 ** 14) > 100_000
+
+
+def test_cover_density_refuses_several_fields(queries, docs):
+    ix = build_index(docs, {"a": F.col("content"), "b": F.col("content")}, Analyzer("simple"))
+    with pytest.raises(ValueError, match="one field"):
+        lexical.native_search(queries, ix)
+    one = build_index(docs, {"a": F.col("content")}, Analyzer("simple"))
+    found = lambda i: sorted((r.query_id, r.doc_id) for r in lexical.all_terms_match(queries, i).collect())
+    assert found(ix) == found(one)
+    assert max(r.score for r in lexical.all_terms_match(queries, ix).collect()) <= 1
 
 
 def test_size_check(spark):

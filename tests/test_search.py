@@ -162,3 +162,21 @@ def test_retrieve_applies_each_query_s_limit(spark):
     hits = pipeline.retrieve(raw, docs, index(docs), DIM).collect()
     assert sum(r.query_id == 1 for r in hits) == 3 and sum(r.query_id == 2 for r in hits) == 20
     assert not any(r.query_id == 3 for r in hits) and all(r.title.startswith("t") for r in hits)
+
+
+def test_limits_above_the_list_cut_are_kept(spark):
+    docs = corpus(spark, [(f"{i:04}", [1.0 + i % 7] + fill(1, DIM - 1), f"ogre number{i}", f"t{i}", "o", "g") for i in range(700)])
+    docs = docs.withColumn("genres", F.array("genres")).withColumn("poster", F.lit(None).cast("string"))
+    docs = docs.transform(pipeline.with_embedding(DIM))
+    ix = index(docs)
+    raw = spark.createDataFrame([(1, "ogre", "0", "500"), (2, "ogre", None, "500"), (3, "ogre", "1", "30")],
+                                "query_id int, q string, ratio string, `limit` string")
+    counts = {r.query_id: r["count"] for r in pipeline.retrieve(raw, docs, ix, DIM).groupBy("query_id").count().collect()}
+    assert counts == {1: 500, 2: 500, 3: 30}
+    assert pipeline.hybrid_rrf(ask(spark, "ogre", fill(1.0)), docs, ix, limit=300).count() == 300
+
+
+def test_lists_without_weight_are_not_searched(spark):
+    asked = spark.createDataFrame([(1, 0.0), (2, 0.5), (3, 1.0), (4, None)], "query_id int, semantic_ratio double")
+    ids = lambda name, w=0.0: sorted(r.query_id for r in fusion.asking(asked, name, w).collect())
+    assert ids("lexical") == [1, 2, 4] and ids("semantic") == [2, 3, 4] and ids("lexical", 1.0) == [] and ids("fuzzy", 0.4) == [1, 2, 3, 4]

@@ -69,6 +69,15 @@ def test_upsert(spark):
     assert sorted(map(tuple, corpus_store.upsert(old, new).collect())) == [(1, "a"), (2, "B"), (3, "C")]
 
 
+def test_upsert_keeps_one_row_per_key(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, v string")
+    new = spark.createDataFrame([(2, "B", 2), (2, "z", 1), (3, "C", 1), (None, "n", 1), (None, "m", 1)], "doc_id int, v string, at int")
+    got = sorted(map(str, map(tuple, corpus_store.upsert(old, new, order="at").collect())))
+    assert got == ["(1, 'a')", "(2, 'B')", "(3, 'C')", "(None, 'm')", "(None, 'n')"]
+    plain = corpus_store.upsert(old, new.drop("at").filter("doc_id = 2"))
+    assert sorted(map(tuple, plain.collect())) == [(1, "a"), (2, "z")]
+
+
 def test_delete_keeps_rows_without_the_key(spark):
     df = spark.createDataFrame([(1, '{"test": "true"}'), (2, '{"test": "false"}'), (3, "{}"), (4, None), (5, '{"test": true}'), (6, "oops")],
                                "k int, metadata string")
@@ -76,15 +85,15 @@ def test_delete_keeps_rows_without_the_key(spark):
 
 
 def test_stream_import(spark, tmp_path):
-    source, target, progress = (str(tmp_path / d) for d in ("in", "out", "progress"))
+    source, target, progress, refused = (str(tmp_path / d) for d in ("in", "out", "progress", "refused"))
     (tmp_path / "in").mkdir()
 
     def arrive(name, *rows):
         (tmp_path / "in" / name).write_text("\n".join(json.dumps(r) for r in rows))
 
     def run():
-        prepare = lambda raw: json_items.good_items(json_items.check_items(raw))
-        incremental.import_available(incremental.stream_items(spark, source, 1), target, progress, prepare)
+        stream = incremental.stream_items(spark, source, 1)
+        incremental.import_available(stream, target, progress, json_items.check_items, refused)
         return {r.id: r.title for r in incremental.current_rows(spark, target, "id").collect()}
 
     arrive("1.json", {"id": 1, "title": "a"}, {"id": 2, "title": "b"}, {"id": "x"})
@@ -98,3 +107,10 @@ def test_stream_import(spark, tmp_path):
     run()
     kept = incremental.current_rows(spark, target, "id").filter("id IS NULL").collect()
     assert sorted(r.title for r in kept) == ["n1", "n2"]  # rows without a key all stay
+    bad = spark.read.parquet(refused)
+    assert [r.problem for r in bad.collect()] == ["id"] and reports.import_report(bad).head().errors == 1
+    # Of two versions in one batch the last to arrive counts, not the larger one.
+    arrive("5.json", {"id": 1, "title": "z"}, {"id": 1, "title": "last"})
+    assert run()[1] == "last"
+    compacted = incremental.compact(spark, target, str(tmp_path / "compact"), "id")
+    assert {r.id: r.title for r in compacted.filter("id IS NOT NULL").collect()} == {1: "last", 2: "B", 3: "c", 4: "d"}

@@ -6,11 +6,7 @@ several answers.
 
 from __future__ import annotations
 
-import os
-import zipfile
-from glob import glob
-
-import pyspark
+from functools import reduce
 
 from rankweave.functions import text
 
@@ -19,11 +15,7 @@ WORD = r"[^\p{L}\p{N}]+"
 
 
 def stop_list(language: str) -> list[str]:
-    """Spark's stop words, read from its jar so that no session is needed."""
-    jar, = glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{text.full_language(language)}.txt")
-    return [w for w in raw.decode("utf-8").splitlines() if w.strip()]
+    return list(text.stop_words(language))
 
 
 def quoted(words) -> str:
@@ -281,7 +273,7 @@ raw_queries AS (
   SELECT item_id AS query_id,
     CASE WHEN item_id % 7 = 3 THEN '' WHEN item_id % 11 = 5 THEN '0' ELSE text END AS q,
     CASE item_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 0.0 WHEN 3 THEN 0.45 ELSE 0.3 END::DOUBLE AS semantic_ratio,
-    CASE item_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 12 ELSE 20 END::BIGINT AS "limit"
+    CASE item_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 12 WHEN 2 THEN 150 ELSE 20 END::BIGINT AS "limit"
   FROM benchmark),
 prepared AS (SELECT *, q NOT IN ('', '0') AS accepted FROM raw_queries)"""
 
@@ -316,7 +308,7 @@ VECTOR_TEXT = f"'[' || array_to_string({BUILT_VECTOR}, ',') || ']'"
 LANG_STOP = " ".join(f"WHEN '{c}' THEN term NOT IN {stop_set(c)}" for c in ("en", "fr", "de", "es"))
 LIGHT = " ".join(
     "WHEN '{}' THEN {}".format(code, _nested) for code, _nested in (
-        (c, __import__("functools").reduce(
+        (c, reduce(
             lambda inner, rule: f"regexp_replace({inner}, '{rule[0]}', '\\1{rule[1]}')", text.LIGHT_RULES[text.full_language(c)], "term"))
         for c in ("fr", "de", "es")))
 HITS = 'query_id, doc_id, rank, score'
@@ -329,11 +321,14 @@ def sql() -> dict[str, str]:
     q["item_defaults"] = with_(ITEMS) + f"SELECT {item_out} FROM items"
     q["import_limit"] = with_(ITEMS) + "SELECT id, title FROM items ORDER BY id LIMIT 50"
     q["corpus_upsert"] = """SELECT doc_id, text AS content FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)
-        UNION ALL SELECT item_id, text FROM benchmark"""
+        UNION ALL SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'second: ' ELSE '' END || text FROM benchmark"""
     q["delete_by_metadata"] = """SELECT event_id, CASE WHEN event_type <> 'error' THEN props END AS metadata FROM events
         WHERE event_type = 'error' OR json_extract_string(props, '$.k') <> '69'"""
-    q["incremental_import"] = "SELECT p_partkey AS id, p_name AS title, p_brand AS overview, p_type AS genres FROM part"
+    q["incremental_import"] = """SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN 'new ' ELSE '' END || p_name AS title, p_brand AS overview, p_type AS genres
+        FROM part WHERE p_size % 9 <> 0"""
     problem = "CASE WHEN p_size % 13 = 0 THEN 'id' WHEN p_size % 7 = 0 THEN 'genres' WHEN p_size % 5 = 0 THEN 'release_date' END"
+    q["refused_rows"] = "SELECT 'bad ' || p_partkey AS title, 'id' AS problem FROM part WHERE p_size % 9 = 0"
+    q["load_items_array"] = "SELECT p_partkey AS id, p_name AS title, p_brand AS overview, p_type AS genres FROM part"
     q["quarantine_rows"] = f"SELECT 'p' || p_partkey AS poster, {problem} AS problem FROM part WHERE {problem} IS NOT NULL"
     q["import_report"] = f"SELECT count(*) AS total, count({problem}) AS errors FROM part"
     q["content_document"] = with_(ITEMS, PAYLOAD) + f"""SELECT item_key, concat_ws(chr(10), {CONTENT_HEAD},
@@ -345,7 +340,7 @@ def sql() -> dict[str, str]:
         'overview', overview, 'genres', genres, 'poster', poster, 'release_date', release_date, 'movie_id', id) AS VARCHAR) AS metadata FROM items"""
     q["metadata_unpack"] = """SELECT p_partkey AS item_key, CASE WHEN p_size % 7 = 0 AND p_size % 5 <> 0 THEN NULL ELSE p_partkey END AS tmdb_id,
         p_name AS title, CAST(NULL AS VARCHAR) AS overview, '["' || p_type || '","' || p_brand || '"]' AS genres,
-        CAST(NULL AS VARCHAR) AS poster, p_size AS release_date, p_size % 7 = 0 AND p_size % 5 <> 0 AS cast_failed
+        CAST(NULL AS VARCHAR) AS poster, CAST(p_size AS BIGINT) AS release_date, p_size % 7 = 0 AND p_size % 5 <> 0 AS cast_failed
         FROM part WHERE p_size % 3 <> 0"""
     q["release_year"] = f"""SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN NULL WHEN '5-LOW' THEN NULL
         WHEN '2-HIGH' THEN year(DATE '1970-01-01' - CAST(({EPOCH}) // 86400 AS INTEGER))
@@ -364,7 +359,7 @@ def sql() -> dict[str, str]:
     q["query_prepare"] = with_(RAW_QUERIES) + 'SELECT query_id, q, semantic_ratio, "limit", accepted FROM prepared'
     hit = "coalesce(title, 'Unknown')"
     q["hit_projection"] = with_(ITEM_HITS) + f"""SELECT {HITS}, {hit} AS title, coalesce(overview, '') AS overview,
-        coalesce(array_to_string(genres, '|'), '') AS genres, poster FROM item_hits JOIN raw_items ON item_key = doc_id"""
+        coalesce(array_to_string(genres, '|'), '') AS genres, poster, release_date FROM item_hits JOIN raw_items ON item_key = doc_id"""
     q["result_cards"] = with_(ITEM_HITS) + f"""SELECT query_id, doc_id, {hit} AS title, coalesce(array_to_string(genres[1:3], '|'), '') AS genres,
         CASE WHEN poster <> '' THEN poster ELSE 'https://via.placeholder.com/200x300?text=No+Poster' END AS poster,
         CASE WHEN rank % 2 = 0 THEN printf('%.3f', score) ELSE 'N/A' END AS score
@@ -396,9 +391,14 @@ def sql() -> dict[str, str]:
     words = with_(SENTENCES, POSTINGS, query_terms(), MATCHED)
     q["fts_match"] = words + "SELECT query_id, doc_id FROM matched"
     q["keyword_search"] = with_(SENTENCES, POSTINGS, query_terms(), MATCHED, top("t", "matched", 20)) + f"SELECT {HITS} FROM t"
+    q["keyword_search_items"] = with_(
+        "queries AS (SELECT DISTINCT p_name AS query_id, p_name AS q FROM part)",
+        "item_full AS (SELECT p_partkey AS doc_id, p_name || ' ' || p_brand || ' ' || p_type AS text FROM part)",
+        english_tokens("it", "item_full", "doc_id", "text"),
+        "postings AS (SELECT doc_id, term, count(*) AS tf FROM it GROUP BY ALL)", query_terms(), MATCHED, top("t", "matched", 20)) + f"SELECT {HITS} FROM t"
     q["native_search"] = with_(SENTENCES, POSTINGS, query_terms(), MATCHED, COVERS, top("t", "native", 20)) + f"SELECT {HITS} FROM t"
     q["bm25_search"] = with_(SEARCH_QUERIES, POSTINGS, query_terms(), BM25_SCORES, top("t", "bm25", 20)) + f"SELECT {HITS} FROM t"
-    q["hit_counts"] = with_(SEARCH_QUERIES, POSTINGS, query_terms(), BM25_SCORES, top("t", "bm25", 20)) + "SELECT query_id, count(*) AS hits FROM t GROUP BY query_id"
+    q["hit_counts"] = with_(SEARCH_QUERIES, POSTINGS, query_terms(), BM25_SCORES, top("t", "bm25", 20)) + "SELECT query_id, count(doc_id) AS hits FROM queries LEFT JOIN t USING (query_id) GROUP BY query_id"
     q["infix_search"] = "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'tioner')"
     q["title_lookup"] = "SELECT p_partkey, p_name AS title FROM part WHERE p_name = 'red widget'"
 
@@ -416,6 +416,17 @@ def sql() -> dict[str, str]:
     q["inner_product"] = pair(DOT.format(a, b))
     vec = with_(SEARCH_QUERIES, SIMILAR, top("t", "near_by", 20))
     q["vector_search"] = q["vector_search_cells_full"] = vec + f"SELECT {HITS} FROM t"
+    q["vector_search_cells"] = with_(SEARCH_QUERIES, f"""
+        size AS (SELECT greatest(4, floor(sqrt(count(*)))::BIGINT // 4) AS n FROM embeddings),
+        centers AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, embedding AS center FROM embeddings
+          QUALIFY row_number() OVER (ORDER BY vec_id) <= (SELECT n FROM size)),
+        placed AS (SELECT vec_id, embedding, arg_max(cell, (near, -cell)) AS cell FROM (
+          SELECT vec_id, embedding, cell, round({COSINE.format('embedding', 'center')}, 6) AS near FROM embeddings, centers) GROUP BY ALL),
+        probed AS (SELECT query_id, query_vec, cell FROM (
+          SELECT query_id, query_vec, cell, row_number() OVER (PARTITION BY query_id ORDER BY round({COSINE.format('query_vec', 'center')}, 6) DESC, cell) AS place
+          FROM queries, centers WHERE query_vec IS NOT NULL) WHERE place <= (SELECT (3 * n + 9) // 10 FROM size)),
+        near_by AS (SELECT query_id, vec_id AS doc_id, round({COSINE.format('query_vec', 'embedding')}, 6) AS score FROM probed JOIN placed USING (cell))""",
+        top("t", "near_by", 20)) + f"SELECT {HITS} FROM t"
     q["vector_search_l2"] = with_(SEARCH_QUERIES, """far AS (SELECT query_id, vec_id AS doc_id,
         round(list_distance(query_vec::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM queries, embeddings WHERE query_vec IS NOT NULL)""",
         top("t", "far", 20, direction="ASC")) + f"SELECT {HITS} FROM t"
@@ -425,7 +436,7 @@ def sql() -> dict[str, str]:
     w = "query_id, doc_id, rank, weighted_keyword_score, weighted_semantic_score, total_score"
     tail = (POSTINGS, query_terms(), MATCHED, SIMILAR, top("semantic", "near_by", 100), WEIGHTED, top("t", "weighted_all", 20, "total_score"))
     q["hybrid_fallback"] = with_(some, *tail) + f"SELECT {w} FROM t"
-    q["hybrid_weighted"] = with_(SEARCH_QUERIES, *tail) + f"SELECT {w}, lang, source FROM t JOIN documents USING (doc_id)"
+    q["hybrid_weighted"] = with_(SEARCH_QUERIES, *tail) + f"SELECT {w}, lang, source FROM t LEFT JOIN documents USING (doc_id)"
     q["hybrid_rrf"] = with_(HYBRID, fused("f", RRF), top("t", "f", 20)) + f"SELECT {HITS} FROM t"
     sweep = """ratios AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS r),
         lex_at AS (SELECT query_id || '@' || r AS query_id, doc_id, rank, 1 - r AS weight FROM lexical, ratios),
@@ -449,9 +460,12 @@ def sql() -> dict[str, str]:
              UNION ALL SELECT query_id, doc_id, rank, 'semantic' FROM semantic WHERE rank <= 20
              UNION ALL SELECT query_id, doc_id, rank, 'native' FROM native20
              UNION ALL SELECT query_id, doc_id, rank, 'hybrid' FROM hybrid20)""") + """
-        SELECT query_id, x.s AS left_strategy, y.s AS right_strategy, count(*) AS shared, round(count(*) / 20, 6) AS overlap,
-          round(avg(abs(x.rank - y.rank)), 6) AS mean_rank_gap
-        FROM every x JOIN every y USING (query_id, doc_id) WHERE x.s < y.s GROUP BY query_id, x.s, y.s"""
+        , names(s) AS (VALUES ('bm25'), ('semantic'), ('native'), ('hybrid')),
+        found AS (SELECT query_id, x.s AS a, y.s AS b, count(*) AS n, avg(abs(x.rank - y.rank)) AS gap
+          FROM every x JOIN every y USING (query_id, doc_id) WHERE x.s < y.s GROUP BY query_id, x.s, y.s)
+        SELECT query_id, a AS left_strategy, b AS right_strategy, coalesce(n, 0) AS shared,
+          round(coalesce(n, 0) / 20, 6) AS overlap, round(gap, 6) AS mean_rank_gap
+        FROM (SELECT query_id, l.s AS a, r.s AS b FROM queries, names l, names r WHERE l.s < r.s) LEFT JOIN found USING (query_id, a, b)"""
 
     q["coverage_report"] = with_(RAW_ITEMS) + "SELECT count(*) AS total, count(id) AS with_id, count(title) AS with_title, count(overview) AS with_overview FROM raw_items"
     q["facet_genres"] = with_(RAW_ITEMS) + "SELECT genre, count(*) AS n FROM (SELECT unnest(genres) AS genre FROM raw_items) GROUP BY genre"
@@ -464,16 +478,16 @@ def sql() -> dict[str, str]:
         FROM items LEFT JOIN reduced ON id = item_id WHERE overview NOT IN ('', '0')"""
     accepted = "queries AS (SELECT query_id, q, semantic_ratio, \"limit\" FROM prepared WHERE accepted)"
     q["retrieve_batch"] = with_(
-        RAW_QUERIES, accepted, POSTINGS, query_terms(), BM25_SCORES, top("lexical", "bm25", 100),
+        RAW_QUERIES, accepted, POSTINGS, query_terms(), BM25_SCORES, top("lexical", "bm25", 150),
         embed_blocks("de", "documents", "doc_id", "text"), embed_blocks("qe", "queries", "query_id", "q"),
         """norms AS (SELECT doc_id, sqrt(sum(value::DOUBLE * value::DOUBLE)) AS n FROM de GROUP BY ALL),
         q_norms AS (SELECT query_id, sqrt(sum(value::DOUBLE * value::DOUBLE)) AS n FROM qe GROUP BY ALL),
         all_pairs AS (SELECT query_id, doc_id, x.n * y.n AS n FROM norms x, q_norms y),
         dots AS (SELECT query_id, doc_id, sum(de.value::DOUBLE * qe.value::DOUBLE) AS dot FROM de JOIN qe USING (pos) GROUP BY query_id, doc_id),
         near_by AS (SELECT query_id, doc_id, round(coalesce(dot, 0) / n, 6) AS score FROM all_pairs LEFT JOIN dots USING (query_id, doc_id))""",
-        top("semantic", "near_by", 100),
-        """lex_w AS (SELECT l.*, 1 - semantic_ratio AS weight FROM lexical l JOIN queries USING (query_id)),
-        sem_w AS (SELECT s.*, semantic_ratio AS weight FROM semantic s JOIN queries USING (query_id))""",
+        top("semantic", "near_by", 150),
+        """lex_w AS (SELECT l.*, 1 - semantic_ratio AS weight FROM lexical l JOIN queries USING (query_id) WHERE rank <= greatest(100, "limit")),
+        sem_w AS (SELECT s.*, semantic_ratio AS weight FROM semantic s JOIN queries USING (query_id) WHERE rank <= greatest(100, "limit"))""",
         fused("f", {"lex_w": "weight", "sem_w": "weight"}), top("t", "f", None)) + """
         SELECT query_id, t.doc_id, rank, score, source AS title, lang AS overview
         FROM t JOIN queries USING (query_id) JOIN documents ON documents.doc_id = t.doc_id WHERE rank <= "limit\""""

@@ -12,6 +12,7 @@ per session, in the shared work folder.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,6 +115,13 @@ def item_index(spark, sf_dir) -> TermIndex:
         item_corpus(spark, sf_dir), fields, Analyzer("simple"), path))
 
 
+def full_text_index(spark, sf_dir) -> TermIndex:
+    """Title, a blank, overview: what keyword search over items reads."""
+    text = scalars.full_text(F.col("title"), F.col("overview"))
+    return made_once(spark, sf_dir, "index-full-text", lambda path: build_index(
+        item_corpus(spark, sf_dir), {"content": text}, Analyzer("english"), path))
+
+
 def payloads(spark, sf_dir) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item_id"), F.col("turn").alias("ord"), "role", "text")
     named = F.when(F.col("role") != "system", F.col("text"))
@@ -148,7 +156,10 @@ def import_limit(spark, sf_dir):
 def corpus_upsert(spark, sf_dir):
     incoming = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("content"))
     existing = documents(spark, sf_dir).select("doc_id", F.col("text").alias("content"))
-    return corpus_store.upsert(existing, incoming)
+    # Every third key comes twice; the second version counts.
+    again = incoming.filter("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("second: "), "content").alias("content"), F.lit(2).alias("version"))
+    incoming = incoming.withColumn("version", F.lit(1)).unionByName(again)
+    return corpus_store.upsert(existing, incoming, order="version")
 
 
 def delete_by_metadata(spark, sf_dir):
@@ -157,21 +168,44 @@ def delete_by_metadata(spark, sf_dir):
     return corpus_store.delete_by_metadata(events, "k", "69")
 
 
-def incremental_import(spark, sf_dir):
+def streamed_items(spark, sf_dir) -> str:
+    """Items imported by a stream: every fourth size in two versions of one file, every ninth with a bad id."""
     def make(path):
-        source = table(spark, sf_dir, "part").select(
-            F.col("p_partkey").alias("id"), F.col("p_name").alias("title"),
-            F.array("p_type").alias("genres"), F.col("p_brand").alias("overview"))
-        source.repartition(3).write.json(f"{path}/incoming")
-        prepare = lambda raw: json_items.good_items(json_items.check_items(raw))
+        size, old, new = F.col("p_size"), F.lit(""), F.lit("new ")
+        ident = F.when(size % 9 == 0, F.lit("none")).otherwise(F.col("p_partkey").cast("string"))
+        title = F.when(size % 9 == 0, F.concat(F.lit("bad "), F.col("p_partkey").cast("string"))).otherwise(F.concat("v", "p_name"))
+        versions = F.when((size % 4 == 0) & (size % 9 != 0), F.array(old, new)).otherwise(F.array(old))
+        source = table(spark, sf_dir, "part").repartition(3, "p_partkey").select("*", F.explode(versions).alias("v")).select(
+            ident.alias("id"), title.alias("title"), F.array("p_type").alias("genres"), F.col("p_brand").alias("overview"))
+        source.write.json(f"{path}/incoming")
         stream = incremental.stream_items(spark, f"{path}/incoming", files_per_batch=1)
-        incremental.import_available(stream, f"{path}/items", f"{path}/progress", prepare)
-        return f"{path}/items"
-    target = made_once(spark, sf_dir, "stream", make)
-    rows = incremental.current_rows(spark, target, "id")
+        incremental.import_available(stream, f"{path}/items", f"{path}/progress", json_items.check_items, f"{path}/refused")
+        return path
+    return made_once(spark, sf_dir, "stream", make)
+
+
+def incremental_import(spark, sf_dir):
+    rows = incremental.current_rows(spark, f"{streamed_items(spark, sf_dir)}/items", "id")
     return rows.select("id", "title", "overview", joined("genres").alias("genres"))
 
 
+def refused_rows(spark, sf_dir):
+    return spark.read.parquet(f"{streamed_items(spark, sf_dir)}/refused").select("title", "problem")
+
+
+def load_items_array(spark, sf_dir):
+    """Files that hold one JSON array each: one for every brand and size."""
+    def make(path):
+        item = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("overview"),
+                        F.array("p_type").alias("genres"))
+        files = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.to_json(F.collect_list(item)).alias("value"))
+        files.select("value", F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("file")).write.partitionBy("file").text(path)
+        return path
+    path = made_once(spark, sf_dir, "array-json", make)
+    checked = json_items.check_items(json_items.load_items(spark, path, array=True))
+    return json_items.good_items(checked).select("id", "title", "overview", joined("genres").alias("genres"))
+
+
 def checked_items(spark, sf_dir):
     def make(path):
         part, size = table(spark, sf_dir, "part"), F.col("p_size")
@@ -275,7 +309,7 @@ def raw_queries(spark, sf_dir):
         n.alias("query_id"),
         F.when(n % 7 == 3, "").when(n % 11 == 5, "0").otherwise(F.col("text")).alias("q"),
         F.when(n % 5 == 0, "1.7").when(n % 5 == 1, "-0.5").when(n % 5 == 2, "abc").when(n % 5 == 3, "0.45").alias("ratio"),
-        F.when(n % 4 == 0, "5").when(n % 4 == 1, "12x").alias("limit"),
+        F.when(n % 4 == 0, "5").when(n % 4 == 1, "12x").when(n % 4 == 2, "150").alias("limit"),
     )
 
 
@@ -291,7 +325,7 @@ def item_hits(spark, sf_dir):
 def hit_projection(spark, sf_dir):
     return items.hit_projection(*item_hits(spark, sf_dir)).select(
         "query_id", "doc_id", F.col("rank").cast(LONG).alias("rank"), "score", "title", "overview",
-        joined("genres").alias("genres"), "poster")
+        joined("genres").alias("genres"), "poster", "release_date")
 
 
 def result_cards(spark, sf_dir):
@@ -386,6 +420,10 @@ def keyword_search(spark, sf_dir):
     return ranked(lexical.keyword_search(sentence_queries(spark, sf_dir), document_index(spark, sf_dir)))
 
 
+def keyword_search_items(spark, sf_dir):
+    return ranked(lexical.keyword_search(item_queries(spark, sf_dir), full_text_index(spark, sf_dir)))
+
+
 def native_search(spark, sf_dir):
     return ranked(lexical.native_search(sentence_queries(spark, sf_dir), document_index(spark, sf_dir)))
 
@@ -473,20 +511,36 @@ def vector_within(spark, sf_dir):
     return ranked(knn.nearest(vector_corpus(spark, sf_dir), search_queries(spark, sf_dir), 20, max_distance=0.7))
 
 
-N_CELLS = 10
+def n_cells(spark, sf_dir) -> int:
+    """As many cells as grow with the square root of the vectors."""
+    return max(4, math.isqrt(vector_corpus(spark, sf_dir).count()) // 4)
 
 
 def cell_index(spark, sf_dir):
-    return made_once(spark, sf_dir, "cells", lambda path: knn.build_cells(vector_corpus(spark, sf_dir), N_CELLS, path))
+    """Cells by k-means."""
+    return made_once(spark, sf_dir, "cells", lambda path: knn.build_cells(
+        vector_corpus(spark, sf_dir), n_cells(spark, sf_dir), path, dim=DIM))
+
+
+def given_cells(spark, sf_dir):
+    """Cells around given centres: the first vectors by number, so that SQL can assign them too."""
+    def make(path):
+        first = vector_corpus(spark, sf_dir).orderBy("doc_id").limit(n_cells(spark, sf_dir)).collect()
+        centers = [r["embedding"] for r in first]
+        return knn.build_cells(vector_corpus(spark, sf_dir), len(centers), path, dim=DIM, centers=centers)
+    return made_once(spark, sf_dir, "given-cells", make)
 
 
 def vector_search_cells(spark, sf_dir):
-    return ranked(knn.nearest_in_cells(cell_index(spark, sf_dir), search_queries(spark, sf_dir), 20, probes=3))
+    """Three tenths of the cells."""
+    index = given_cells(spark, sf_dir)
+    return ranked(knn.nearest_in_cells(index, search_queries(spark, sf_dir), 20, probes=-(-3 * len(index.centers) // 10)))
 
 
 def vector_search_cells_full(spark, sf_dir):
     """Probing every cell is exact search."""
-    return ranked(knn.nearest_in_cells(cell_index(spark, sf_dir), search_queries(spark, sf_dir), 20, probes=N_CELLS))
+    index = cell_index(spark, sf_dir)
+    return ranked(knn.nearest_in_cells(index, search_queries(spark, sf_dir), 20, probes=len(index.centers)))
 
 
 # Hybrid search
@@ -543,11 +597,9 @@ def hybrid_rrf_fuzzy(spark, sf_dir):
 
 
 def normalized_scores(spark, sf_dir):
+    """Both scores of one search."""
     queries, found = lists(spark, sf_dir, "lexical", "semantic")
-    raw = fusion.fuse(queries, found, normalize=False, limit=None, breakdown=False)
-    full = fusion.fuse(queries, found, limit=None, breakdown=False)
-    return full.select("query_id", "doc_id", "score").join(
-        raw.select("query_id", "doc_id", F.col("score").alias("raw_score")), ["query_id", "doc_id"])
+    return fusion.both_scores(queries, found)
 
 
 def min_score_filter(spark, sf_dir):
@@ -593,7 +645,7 @@ def facet_year(spark, sf_dir):
 
 
 def hit_counts(spark, sf_dir):
-    return reports.hit_counts(bm25_search(spark, sf_dir))
+    return reports.hit_counts(search_queries(spark, sf_dir), bm25_search(spark, sf_dir))
 
 
 def sort_by_field(spark, sf_dir):
@@ -627,12 +679,12 @@ def retrieve_batch(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    load_items, import_limit, corpus_upsert, delete_by_metadata, incremental_import, quarantine_rows,
+    load_items, load_items_array, import_limit, corpus_upsert, delete_by_metadata, incremental_import, refused_rows, quarantine_rows,
     item_defaults, content_document, metadata_unpack, release_year, vector_parse, vector_format,
     vector_validate, genres_normalise, hit_projection, result_cards, doc_identity, query_prepare,
     enrich_keywords, enrich_characters, clean_role, enrich_director, enrich_join,
     tokenize, tokenize_by_lang, stopword_filter, stem_vocabulary, term_frequency, bm25_stats, token_options,
-    fts_match, keyword_search, native_search, bm25_search, bm25_fielded, infix_search, title_lookup,
+    fts_match, keyword_search, keyword_search_items, native_search, bm25_search, bm25_fielded, infix_search, title_lookup,
     fuzzy_terms, fuzzy_search,
     hash_embed, hash_embed_fields, vector_search, vector_search_l2, vector_within, vector_search_cells,
     vector_search_cells_full,
