@@ -36,3 +36,10 @@ def first_of_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     n = "_row"
     rows = Window.partitionBy(*keys).orderBy(*keys)
     return df.withColumn(n, F.row_number().over(rows)).filter(F.col(n) == 1).drop(n)
+
+
+def byte_symbols() -> dict[str, int]:
+    """Printable stand-ins of the 256 bytes in byte-level vocabularies."""
+    own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}

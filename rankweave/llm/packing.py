@@ -16,20 +16,24 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from string import punctuation as PUNCTUATION
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import arrow_schema, whole
+from rankweave.llm.common import arrow_schema, byte_symbols, whole
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
-#: Words remembered by a task, and the longest of them in bytes.
-CACHE, CACHED_LENGTH = 300_000, 200
+#: Words and pre-tokens remembered by a worker, each, and the longest of them in bytes.
+CACHE, CACHED_LENGTH = 700_000, 100
 #: Open windows after which a packer joins and closes them.
 MAX_OPEN = 4096
 ID = 4  # bytes of an id
@@ -113,29 +117,66 @@ class Packer:
         return out
 
 
-class Words:
-    """Ids of texts, word by word: white space always parts tokens in this vocabulary."""
+class Words(dict):
+    """Ids of texts, word by word: white space always parts tokens in this vocabulary.
+
+    Maps words as written to their ids (little-endian unsigned 32-bit); what is missing
+    is worked out. A word of plain Latin signs is lower-cased and cut into pre-tokens
+    here, and the vocabulary's merges run once for each pre-token; any other word goes
+    through the whole tokenizer. Both memories are bounded and kept from task to task
+    of a worker.
+    """
+
+    PLAIN = regex.compile(r"[!-~\u00a1-\u024f--\u0130]+", regex.V1).fullmatch
+    SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(tokenizer_json), {}
-
-    def __call__(self, data: bytes) -> bytes:
-        words = data.split()
-        new = list({w for w in words if w not in self.known})
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known = {}
-                new = list(set(words))
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, got))
-        out = b"".join(map(self.known.__getitem__, words))
-        for w in new:
-            if len(w) > CACHED_LENGTH:
-                del self.known[w]
-        return out
+        super().__init__()
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.merge = self.tokenizer.model.tokenize
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.stand_in = {b: c for c, b in byte_symbols().items()}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            signs = part if part.isascii() else part.encode().decode("latin-1").translate(self.stand_in)
+            ids = array("I", [t.id for t in self.merge(signs)]).tobytes()
+            if len(part) <= CACHED_LENGTH:
+                self.parts[part] = ids
+        return ids
+
+    def __missing__(self, data: bytes) -> bytes:
+        word = data.decode()
+        if (word.isascii() and word.isprintable() or self.PLAIN(word)) and not any([t in word for t in self.special]):
+            word = word.lower()
+            stem = word.rstrip(PUNCTUATION)
+            if stem.isalpha():  # letters, then perhaps one run of punctuation
+                ids = self.part(stem) if len(stem) == len(word) else self.part(stem) + self.part(word[len(stem):])
+            else:
+                ids = b"".join(map(self.part, self.SPLIT(word)))
+        else:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(data) <= CACHED_LENGTH:
+            self[data] = ids
+        return ids
+
+    def ids(self, data: bytes) -> bytes:
+        """The ids of a UTF-8 text."""
+        if len(self) > CACHE:
+            self.clear()
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        return b"".join(map(self.__getitem__, data.split()))
+
+
+@lru_cache(maxsize=2)
+def words_of(tokenizer_json: str) -> Words:
+    return Words(tokenizer_json)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1,
@@ -152,7 +193,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, ids_of = arrow_schema(PIECES), Words(shared.value)
+        schema, ids_of = arrow_schema(PIECES), words_of(shared.value).ids
         packer = Packer(window, TaskContext.get().partitionId() << 40)
 
         def out():
