@@ -1,20 +1,20 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-The pending merges of a pre-token wait in one bucket per merge rank. A three
-level bitmap over the ranks says which buckets hold anything, so the next rank is
-three find-first-set steps, whatever the length of the pre-token. A bucket holds
-positions of a doubly linked list of tokens, leftmost first; an entry whose
+The pending merges of a pre-token wait in one bucket per merge rank. A two level
+bitmap over the ranks says which buckets hold anything, so the next rank is two
+find-first-set steps, whatever the length of the pre-token. A bucket holds
+positions of a doubly linked list of tokens, drained left to right; an entry whose
 position has another rank by now is stale and skipped. A pre-token of n bytes
 thus costs O(n log n) in all, where rescanning all pairs for each merge is
-quadratic. Texts are whole; each distinct pre-token of a task is merged once.
+quadratic. Texts are whole; a worker merges each distinct pre-token once.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -23,85 +23,83 @@ from pyspark.sql import functions as F
 
 from rankweave.llm.common import arrow_schema, whole
 
-WORD = 64
-#: Distinct pre-tokens remembered by a task, and the longest of them in characters.
-CACHE, CACHED_LENGTH = 300_000, 200
-
-
-class RankQueue:
-    """A priority queue of list positions keyed by small integers."""
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.leaves: dict[int, int] = {}
-        self.middle: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        if rank in self.buckets:
-            heappush(self.buckets[rank], position)
-            return
-        self.buckets[rank] = [position]
-        leaf, mid = rank // WORD, rank // WORD**2
-        self.leaves[leaf] = self.leaves.get(leaf, 0) | 1 << rank % WORD
-        self.middle[mid] = self.middle.get(mid, 0) | 1 << leaf % WORD
-        self.top |= 1 << mid
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank and the leftmost of its positions."""
-        if not self.top:
-            return None
-        mid = (self.top & -self.top).bit_length() - 1
-        word = self.middle[mid]
-        leaf = mid * WORD + (word & -word).bit_length() - 1
-        word = self.leaves[leaf]
-        rank = leaf * WORD + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.leaves[leaf] ^= 1 << rank % WORD
-            if not self.leaves[leaf]:
-                self.middle[mid] ^= 1 << leaf % WORD
-                if not self.middle[mid]:
-                    self.top ^= 1 << mid
-        return rank, position
+#: Ranks under one bit of the upper bitmap.
+LEAF = 256  # the shifts by 8 below
+#: Distinct pre-tokens remembered by a worker, and the longest of them in characters.
+CACHE, CACHED_LENGTH = 1_200_000, 100
+
+
+BIT = [1 << i for i in range(LEAF)]
 
 
 def merge_bytes(ranks: dict[bytes, int], data: bytes) -> list[int]:
     """Token ids of one pre-token: always the lowest rank, leftmost first."""
     if data in ranks:
         return [ranks[data]]
-    n, queue = len(data), RankQueue()
-    part = [data[i:i + 1] for i in range(n)]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    now = [-1] * n  # the rank of the pair that starts here
-
-    def look(i: int) -> None:
-        j = after[i]
-        now[i] = rank = ranks.get(part[i] + part[j], -1) if j < n else -1
-        if rank >= 0:
-            queue.push(rank, i)
-
-    for i in range(n):
-        look(i)
-    while (best := queue.pop()) is not None:
-        rank, i = best
-        if now[i] != rank:
-            continue
-        j = after[i]
-        part[i] += part[j]
-        part[j], now[j] = b"", -1
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        look(i)
-        if before[i] >= 0:
-            look(before[i])
+    n, get = len(data), ranks.get
+    # The queue: positions by rank, a bit for each rank in use, a bit for each leaf in use.
+    buckets: dict[int, list[int]] = {}
+    leaves: dict[int, int] = {}
+    top = 0
+    now = [get(data[i:i + 2], -1) for i in range(n - 1)] + [-1]  # the rank of the pair that starts here
+    for i, r in enumerate(now):
+        if r in buckets:
+            buckets[r].append(i)
+        elif r >= 0:
+            buckets[r] = [i]
+            leaves[r >> 8] = leaves.get(r >> 8, 0) | BIT[r & 255]
+            top |= 1 << (r >> 8)
+    ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # where the token that starts here ends, and starts before
+    while top:
+        low = top & -top
+        leaf = low.bit_length() - 1
+        word = leaves[leaf]
+        first = word & -word
+        rank = (leaf << 8) + first.bit_length() - 1
+        if word == first:
+            del leaves[leaf]
+            top ^= low
+        else:
+            leaves[leaf] = word ^ first
+        bucket = buckets.pop(rank)
+        if len(bucket) > 1:
+            bucket.sort()
+        for k, i in enumerate(bucket, 1):
+            if now[i] != rank:
+                continue  # stale: a neighbour has merged meanwhile
+            j = ends[i]
+            now[j] = -1
+            end = ends[i] = ends[j]
+            here = there = -1
+            if end < n:
+                before[end] = i
+                here = get(data[i:ends[end]], -1)
+            now[i] = here
+            h = before[i]
+            if h >= 0:
+                there = now[h] = get(data[h:end], -1)
+            if here < 0 and there < 0:
+                continue
+            sooner = False
+            for at, r in ((i, here), (h, there)):
+                if r < 0:
+                    continue
+                sooner = sooner or r < rank
+                if r in buckets:
+                    buckets[r].append(at)
+                else:
+                    buckets[r] = [at]
+                    leaves[r >> 8] = leaves.get(r >> 8, 0) | BIT[r & 255]
+                    top |= 1 << (r >> 8)
+            if sooner and k < len(bucket):  # a new pair comes first; the others wait
+                buckets[rank] = bucket[k:]
+                leaves[leaf] = leaves.get(leaf, 0) | first
+                top |= low
+                break
     out, i = [], 0
     while i < n:
-        out.append(ranks[part[i]])
-        i = after[i]
+        out.append(ranks[data[i:ends[i]]])
+        i = ends[i]
     return out
 
 
@@ -110,33 +108,51 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class ByteBpe:
-    """Encoder and decoder of one rank table and pre-token pattern."""
+class ByteBpe(dict):
+    """Encoder and decoder of one rank table and pre-token pattern.
+
+    Maps pre-tokens to their ids (32-bit numbers); a missing one is merged.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__()
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.bytes_of = {v: k for k, v in ranks.items()}
-        self.known: dict[str, list[int]] = {}
-
-    def pre_token(self, piece: str) -> list[int]:
-        ids = self.known.get(piece)
-        if ids is None:
-            ids = merge_bytes(self.ranks, piece.encode())
-            if len(piece) <= CACHED_LENGTH:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[piece] = ids
+        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        for data, rank in ranks.items():
+            self.bytes_of[rank] = data
+        self.decimal_of = list(map(str, range(len(self.bytes_of))))
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("I", merge_bytes(self.ranks, piece.encode())).tobytes()
+        if len(piece) <= CACHED_LENGTH:
+            self[piece] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        out, known, one = [], self.known, self.pre_token
-        for piece in self.split(text):
-            out += known.get(piece) or one(piece)
-        return out
+    def encode(self, text: str) -> array:
+        if len(self) > CACHE:
+            self.clear()
+        return array("I", b"".join(map(self.__getitem__, self.split(text))))
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids in decimal, SHA-256 of the bytes decoded from them."""
+        ids = self.encode(text)
+        decimal = " ".join(map(self.decimal_of.__getitem__, ids))
+        return len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+
+
+_kept: dict[str, ByteBpe] = {}
+
+
+def _bpe_of(ranks: dict[bytes, int], pattern: str, key: str) -> ByteBpe:
+    """One encoder for each vocabulary and pattern of a worker, so that tasks share what it remembers."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = ByteBpe(ranks, pattern)
+    return _kept[key]
+
 
 ENCODED = "_id long, ids array<int>"
 DIGESTS = "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -144,9 +160,10 @@ DIGESTS = "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def _over_texts(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str, ddl: str, row) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # one vocabulary: a fixed size
+    key = f"{ranks_path}\0{pattern}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, schema = ByteBpe(shared.value, pattern), arrow_schema(ddl)
+        bpe, schema = _bpe_of(shared.value, pattern, key), arrow_schema(ddl)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -163,7 +180,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     Null and empty texts have no ids. Rows are taken one by one: repeated rows,
     null ids and empty tables are fine, other columns are not read.
     """
-    return _over_texts(docs, id_col, text_col, ranks_path, pattern, ENCODED, lambda bpe, text: (bpe.encode(text),))
+    return _over_texts(docs, id_col, text_col, ranks_path, pattern, ENCODED, lambda bpe, text: (bpe.encode(text).tolist(),))
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -184,9 +201,4 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     Encoding and decoding happen in one pass, so that ids never leave a task.
     """
-    def row(bpe: ByteBpe, text: str):
-        ids = bpe.encode(text)
-        return (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
-                hashlib.sha256(bpe.decode(ids)).hexdigest())
-
-    return _over_texts(docs, id_col, text_col, ranks_path, pattern, DIGESTS, row)
+    return _over_texts(docs, id_col, text_col, ranks_path, pattern, DIGESTS, ByteBpe.digests)
