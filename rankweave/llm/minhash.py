@@ -57,6 +57,7 @@ class Fingerprints:
         self.bins, self.bits, self.width = bins, bits, shingle
         self.shift = np.uint64(64 - (bins.bit_length() - 1))
         self.starts = np.arange(bins, dtype=np.uint64) << self.shift
+        self.salts = mix(np.arange(1, bins + 1, dtype=np.uint64))
         self.probes, self.known = probe_order(bins), {}
 
     def word(self, word: bytes) -> int:
@@ -93,7 +94,8 @@ class Fingerprints:
         return value
 
     def packed(self, data: bytes) -> bytes:
-        low = (self.values(data) & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
+        # Mixed with the bin's number: where one value fills many bins, chance agrees in each anew.
+        low = (mix(self.values(data) ^ self.salts) & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
         low = low.reshape(-1, 8 // self.bits)
         return (low << np.arange(0, 8, self.bits, dtype=np.uint8)).sum(axis=1).astype(np.uint8).tobytes()
 
