@@ -33,7 +33,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 def first_of_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row of those with equal keys; other columns do not decide."""
-    n = "_row"
+    n = "__rw_row"
     rows = Window.partitionBy(*keys).orderBy(*keys)
     return df.withColumn(n, F.row_number().over(rows)).filter(F.col(n) == 1).drop(n)
 

@@ -109,7 +109,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     kept = exact_groups(docs.select(id_col, text_col), id_col, text_col).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_sha"))
-    own = docs.withColumn("_digest", digests(F.col(text_col))[0])
-    same = own[id_col].eqNullSafe(kept["_keep"]) & (own["_digest"] == kept["_sha"])
-    return first_of_rows(own.join(kept, same, "left_semi"), [id_col, "_digest"]).drop("_digest")
+    kept = kept.select(F.col("doc_id").alias("__rw_keep"), F.unhex("text_sha256").alias("__rw_sha"))
+    own = docs.withColumn("__rw_digest", digests(F.col(text_col))[0])
+    same = own[id_col].eqNullSafe(kept["__rw_keep"]) & (own["__rw_digest"] == kept["__rw_sha"])
+    return first_of_rows(own.join(kept, same, "left_semi"), [id_col, "__rw_digest"]).drop("__rw_digest")
