@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ BINS = 9
 CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "comma", "bang", "bar", "symbol",
            "bracket", "quote", "other", "high", "control")
 WORDS = ("capitals", "with_symbol", "bang_end", "bare_symbols", "short", "long", "mean_length", "repeated_words",
-         "repeated_triples", "top_word", "repeated_lines", "line_ends", "line_length", "length")
+         "repeated_triples", "doubled_words", "top_word", "repeated_lines", "line_ends", "line_length", "length")
 FEATURES = (*CLASSES, *WORDS)
 DIM = len(FEATURES) * BINS
 #: A posterior of 0.3 has score 0.3, one of 0.5 has score 0.5.
@@ -85,6 +86,7 @@ def shares(data: bytes) -> list[float]:
             min(1.0, n / w / 64),
             (1 - len(distinct) / w) * min(1.0, 50 / w),
             1 - len(set(zip(words, words[1:], words[2:]))) / triples if len(words) > 2 else 0.0,
+            sum(map(eq, words, words[1:])) / w,
             top / w,
             1 - len(set(lines)) / k,
             sum(x.rstrip().endswith((b".", b"!", b"?")) for x in lines) / k,
