@@ -39,18 +39,23 @@ SUPPORT, SHARE = 3, 0.3
 MAX_SENT, SALTS = 50_000, 64
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike "
-                   "strong sub sup time tt u var wbr".split())
+                   "strong sub sup time tt u var wbr img input embed source track area map button select option label svg canvas object "
+                   "link meta base param col".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 DROPPED = frozenset("head nav footer aside form script style textarea title noscript template iframe xmp button select option "
-                    "svg canvas object menu dialog figure-menu search".split())
+                    "svg canvas object menu dialog search".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                      "header hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"),
                 "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
-NOISE = frozenset("ad ads advert advertisement adverts advertising banner sponsor sponsored promo promotion cookie cookies consent notice gdpr "
-                  "menu nav navbar navigation breadcrumb breadcrumbs sidebar footer comment comments disqus replies reply share sharing "
-                  "social related newsletter subscribe subscription popup modal login signup search widget toolbar pagination".split())
+NOISE = frozenset("ad ads adbox adslot adunit adblock adbanner banner promo promos promotion promotions consent notice notices notification "
+                  "notifications gdpr menu menus nav footer replies reply share sharing social related subscribe subscription popup modal "
+                  "login signup search widget widgets toolbar pagination masthead".split())
+#: A word of a class or id that starts like this marks noise too.
+NOISE_STEMS = ("advert", "sponsor", "cookie", "navbar", "navigation", "breadcrumb", "sidebar", "comment", "disqus", "newsletter")
+#: Names of what a container has, lacks or is beside.
+ABOUT_OTHERS = ("has-", "have-", "with-", "no-", "without-", "is-")
 CONTENT_TAGS = frozenset(("article", "main"))
 
 TAG = re.compile(
@@ -76,9 +81,11 @@ def attributes(source: str) -> dict[str, str]:
 
 def opened(tag: str, attrs: dict[str, str], parent: Element | None) -> Element:
     marks = " ".join(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower().split())
-    noise = tag in DROPPED or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower() or (
-        bool(marks) and not NOISE.isdisjoint(WORD.findall(marks)) and tag not in ("html", "body"))
     inside = parent is not None and parent.content
+    noise = tag in DROPPED or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+    if marks and not noise and tag not in ("html", "body", "main"):
+        words = WORD.findall(" ".join(m for m in marks.split() if not m.startswith(ABOUT_OTHERS)))
+        noise = not NOISE.isdisjoint(words) or any(w.startswith(NOISE_STEMS) for w in words) or ("header" in words and not inside)
     if tag == "header" and not inside:
         noise = True
     content = inside or tag in CONTENT_TAGS or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
@@ -97,7 +104,7 @@ def blocks(source: str):
     def flush():
         nonlocal linked
         text = " ".join("".join(texts).split())
-        top = stack[-1] if stack else None
+        top = next((e for e in reversed(stack) if e.tag not in INLINE), None)
         block = (top.path if top else "", top.noise if top else False, top.content if top else False, text, min(linked, len(text)))
         texts.clear()
         linked = 0
@@ -105,7 +112,7 @@ def blocks(source: str):
 
     def take(text: str):
         nonlocal linked
-        if text:
+        if text and not (stack and stack[-1].noise and stack[-1].tag in INLINE):
             decoded = html.unescape(text) if "&" in text else text
             texts.append(decoded)
             if any(e.tag == "a" for e in reversed(stack)):
@@ -138,7 +145,7 @@ def blocks(source: str):
         if tag == "br":
             texts.append(" ")
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in RAW:
             yield flush()
         if tag in CLOSES_P:
             place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == "p"), None)
@@ -160,14 +167,13 @@ def blocks(source: str):
             if lowered is None:
                 lowered = source.lower() if source.isascii() else re.sub(r"[A-Z]+", lambda x: x[0].lower(), source)
             end = lowered.find(f"</{tag}", at)
-            at = n if end < 0 else end
+            close = source.find(">", end) if end >= 0 else -1
+            at = n if close < 0 else close + 1
+            yield (element.path, element.noise, element.content, "", 0)
+            continue
         stack.append(element)
         if tag not in INLINE:
             yield (element.path, element.noise, element.content, "", 0)
-        if tag in RAW:
-            close = source.find(">", at)
-            at = n if close < 0 else close + 1
-            stack.pop()
     yield flush()
 
 
@@ -256,6 +262,10 @@ def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         t["changes"] or any(b[2] for b in below))
 
             marked = [p for p in place if place[p][0] == "+" and p.rpartition("/")[0] not in {q for q in place if place[q][0] == "+"}]
+            # An article that comes once a page is meant rather than what holds it.
+            single = [p for p in place if place[p][0] == "+" and re.match(r"article\b", p.rpartition("/")[2])
+                      and place[p][2]["n"] == place[p][1] >= SHARE * max(c["host_pages"] for c in classes)]
+            marked = single or marked
             open_slots = [p for p in place if place[p][0] != "!" and p.count("/") > 2] or [p for p in place if place[p][0] != "!"]
             found = {p: text(p) for p in marked or open_slots}
             good = {p: f for p, f in found.items() if marked or (f[2] and 2 * f[1] < f[0])}
