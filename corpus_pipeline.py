@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rankweave.llm import exact_dedup, packing, quality, simhash
 from rankweave.llm.common import table
+from rankweave.llm.queries import vocabulary
 from rankweave.session import written
 
 
@@ -27,7 +27,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [

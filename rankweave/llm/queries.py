@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rankweave.llm import byte_bpe, exact_dedup, html_template, line_dedup, minhash, packing, quality, simhash, url_rules, word_pieces
@@ -12,6 +11,13 @@ from rankweave.llm.common import table
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,7 +32,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    from public_tokenizers import PATTERN
+
+    return byte_bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), PATTERN)
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +42,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +50,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return word_pieces.count_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return word_pieces.count_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
