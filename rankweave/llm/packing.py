@@ -32,8 +32,9 @@ from rankweave.llm.common import arrow_schema, byte_symbols, whole
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
-#: Words and pre-tokens remembered by a worker, each, and the longest of them in bytes.
-CACHE, CACHED_LENGTH = 700_000, 100
+#: Words and pre-tokens remembered by a worker, and the longest of them in bytes. The first
+#: ones met are kept: frequent words come early, and no memory is ever thrown away.
+WORDS_KEPT, PARTS_KEPT, CACHED_LENGTH = 250_000, 400_000, 100
 #: Open windows after which a packer joins and closes them.
 MAX_OPEN = 4096
 ID = 4  # bytes of an id
@@ -146,7 +147,7 @@ class Words(dict):
         if ids is None:
             signs = part if part.isascii() else part.encode().decode("latin-1").translate(self.stand_in)
             ids = array("I", [t.id for t in self.merge(signs)]).tobytes()
-            if len(part) <= CACHED_LENGTH:
+            if len(self.parts) < PARTS_KEPT and len(part) <= CACHED_LENGTH:
                 self.parts[part] = ids
         return ids
 
@@ -161,16 +162,12 @@ class Words(dict):
                 ids = b"".join(map(self.part, self.SPLIT(word)))
         else:
             ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(data) <= CACHED_LENGTH:
+        if len(self) < WORDS_KEPT and len(data) <= CACHED_LENGTH:
             self[data] = ids
         return ids
 
     def ids(self, data: bytes) -> bytes:
         """The ids of a UTF-8 text."""
-        if len(self) > CACHE:
-            self.clear()
-        if len(self.parts) > CACHE:
-            self.parts.clear()
         return b"".join(map(self.__getitem__, data.split()))
 
 
