@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import SPACE, arrow_schema, partitions, whole
+from rankweave.llm.common import arrow_schema, whole
 from rankweave.session import written
 
 #: A line on at most this many documents is rare; a block of fewer words is kept.
 RARE, MIN_WORDS = 4, 10
+SALTS = 32
 CUTS = "id long, proof long, cut array<int>"
 
 
@@ -34,14 +35,17 @@ def lines_of(text: Column) -> Column:
     return F.split(whole(text), "\n", -1)
 
 
-def line_hash(line: Column) -> Column:
-    """Of a line with its white space evened out; blank lines have null."""
-    flat = F.trim(F.regexp_replace(line, SPACE, " "))
+def flat_lines(text: Column) -> Column:
+    """The lines of a text with their white space evened out."""
+    return F.transform(F.split(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), "\n", -1), F.trim)
+
+
+def line_hash(flat: Column) -> Column:
+    """Of an evened-out line; blank lines have null."""
     return F.when(flat != "", F.xxhash64(flat))
 
 
-def line_words(line: Column) -> Column:
-    flat = F.trim(F.regexp_replace(line, SPACE, " "))
+def line_words(flat: Column) -> Column:
     return F.when(flat == "", 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1)
 
 
@@ -122,11 +126,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = whole(F.col(text_col))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("proof"), text.alias("text"))
     lines = lines_of(F.col("text"))
-    seqs = written(own.select("id", "proof", F.transform(lines, line_hash).alias("hashes"),
-                              F.transform(lines, line_words).alias("words")).dropDuplicates(["id", "proof"]), "lines")
+    flat = own.select("id", "proof", flat_lines(F.col("text")).alias("flat"))
+    seqs = written(flat.select("id", "proof", F.transform("flat", line_hash).alias("hashes"),
+                               F.transform("flat", line_words).alias("words")).dropDuplicates(["id", "proof"]), "lines")
     key = F.struct(F.col("id").isNull().alias("none"), "id", "proof").alias("key")
     held = seqs.select(key, F.explode(F.array_distinct("hashes")).alias("h")).filter("h is not null")
-    shared = held.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("first")).filter("n > 1")
+    # In two steps, the first salted: a very common line is summed up by many tasks.
+    salted = held.groupBy("h", F.pmod(F.xxhash64("key.id"), F.lit(SALTS)).alias("salt")).agg(
+        F.count("*").alias("n"), F.min("key").alias("first"))
+    shared = salted.groupBy("h").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter("n > 1")
     found = held.join(shared, "h")
     few = found.filter(F.col("n") <= rare)
     others = few.select("h", F.col("key").alias("first"))
@@ -141,7 +149,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = own.join(cuts, own["id"].eqNullSafe(cuts["_id"]) & (own["proof"] == cuts["_proof"]), "left")
     kept = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(
         F.filter(lines, lambda _, i: ~F.array_contains("cut", i)), "\n"))
-    gone = F.transform(F.coalesce("cut", F.array().cast("array<int>")), lambda i: line_words(F.get(lines, i)))
+    gone = F.transform(F.coalesce("cut", F.array().cast("array<int>")), lambda i: line_words(F.get(flat_lines(F.get(lines, i)), 0)))
     return out.select(
         F.col("id").alias(id_col), kept.alias("text"), F.size(lines).alias("n_lines"),
         F.size(gone).alias("removed_lines"), F.aggregate(gone, F.lit(0), lambda s, x: s + x).alias("removed_words"))
