@@ -58,7 +58,8 @@ def main() -> None:
     exact = w.vector_search(spark, sf_dir).select("query_id", "doc_id")
     near = w.vector_search_cells(spark, sf_dir).select("query_id", "doc_id")
     recall = exact.join(near, ["query_id", "doc_id"]).count() / exact.count()
-    share = knn.scanned_share(w.cell_index(spark, sf_dir), w.search_queries(spark, sf_dir), 3)
+    cells = w.given_cells(spark, sf_dir)
+    share = knn.scanned_share(cells, w.search_queries(spark, sf_dir), w.probes_of(cells))
     print(json.dumps({
         "metric": "headline queries, warm median", "value": round(sum(results.values()), 3), "unit": "sec",
         "queries": results, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),

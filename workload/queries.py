@@ -531,10 +531,14 @@ def given_cells(spark, sf_dir):
     return made_once(spark, sf_dir, "given-cells", make)
 
 
-def vector_search_cells(spark, sf_dir):
+def probes_of(index) -> int:
     """Three tenths of the cells."""
+    return -(-3 * len(index.centers) // 10)
+
+
+def vector_search_cells(spark, sf_dir):
     index = given_cells(spark, sf_dir)
-    return ranked(knn.nearest_in_cells(index, search_queries(spark, sf_dir), 20, probes=-(-3 * len(index.centers) // 10)))
+    return ranked(knn.nearest_in_cells(index, search_queries(spark, sf_dir), 20, probes=probes_of(index)))
 
 
 def vector_search_cells_full(spark, sf_dir):
