@@ -31,11 +31,18 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in ddl.split(", "))])
 
 
-def first_of_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row of those with equal keys; other columns do not decide."""
-    n = "__rw_row"
-    rows = Window.partitionBy(*keys).orderBy(*keys)
-    return df.withColumn(n, F.row_number().over(rows)).filter(F.col(n) == 1).drop(n)
+def chosen_rows(docs: DataFrame, id_col: str, mark: Column, chosen: DataFrame, chosen_id: str, chosen_mark: str) -> DataFrame:
+    """One row of `docs` for each (id, mark) in `chosen`, with all its columns; null ids are equal.
+
+    Join and window use the same keys, so the rows move once.
+    """
+    keys = ["__rw_id", "__rw_mark"]
+    plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    own = docs.withColumns({keys[0]: plain(docs[id_col]), keys[1]: mark})
+    wanted = chosen.select(plain(chosen[chosen_id]).alias(keys[0]), chosen[chosen_mark].alias(keys[1]))
+    rows = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    return own.join(wanted, keys, "left_semi").withColumn("__rw_row", rows).filter("__rw_row = 1").select(
+        *[F.col(f"`{c}`") for c in docs.columns])
 
 
 def byte_symbols() -> dict[str, int]:

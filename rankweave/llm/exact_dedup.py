@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import SPACE, arrow_schema, first_of_rows, partitions, whole
+from rankweave.llm.common import SPACE, arrow_schema, chosen_rows, partitions, whole
 from rankweave.session import written
 
 ENTRY = "place int, digest binary, proof long, keep_id long, copies long"
@@ -109,7 +109,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     kept = exact_groups(docs.select(id_col, text_col), id_col, text_col).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("__rw_keep"), F.unhex("text_sha256").alias("__rw_sha"))
-    own = docs.withColumn("__rw_digest", digests(F.col(text_col))[0])
-    same = own[id_col].eqNullSafe(kept["__rw_keep"]) & (own["__rw_digest"] == kept["__rw_sha"])
-    return first_of_rows(own.join(kept, same, "left_semi"), [id_col, "__rw_digest"]).drop("__rw_digest")
+    kept = kept.select("doc_id", F.unhex("text_sha256").alias("digest"))
+    return chosen_rows(docs, id_col, digests(F.col(text_col))[0], kept, "doc_id", "digest")

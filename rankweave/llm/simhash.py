@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import arrow_schema, first_of_rows, partitions, whole
+from rankweave.llm.common import arrow_schema, chosen_rows, partitions, whole
 from rankweave.session import written
 
 SEED, WIDTH, DISTANCE = 42, 3, 3
@@ -199,7 +199,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = grouped(docs.select(id_col, text_col), id_col, text_col, width, distance)
     best = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
-        F.min("component_id").alias("__rw_keep"), F.min("proof").alias("__rw_own"))
-    own = docs.withColumn("__rw_proof", F.xxhash64(whole(F.col(text_col))))
-    same = own[id_col].cast("long").eqNullSafe(best["__rw_keep"]) & (own["__rw_proof"] == best["__rw_own"])
-    return first_of_rows(own.join(best, same, "left_semi"), [id_col, "__rw_proof"]).drop("__rw_proof")
+        F.min("component_id").alias("doc_id"), F.min("proof").alias("proof"))
+    return chosen_rows(docs, id_col, F.xxhash64(whole(F.col(text_col))), best, "doc_id", "proof")
