@@ -19,7 +19,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from string import punctuation as PUNCTUATION
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,7 @@ WORDS_KEPT, PARTS_KEPT, CACHED_LENGTH = 250_000, 400_000, 100
 #: Open windows after which a packer joins and closes them.
 MAX_OPEN = 4096
 ID = 4  # bytes of an id
+STOPS = b".,;:!?"
 
 
 class Packer:
@@ -140,32 +140,35 @@ class Words(dict):
         self.merge = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.stand_in = {b: c for c, b in byte_symbols().items()}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
 
-    def part(self, part: str) -> bytes:
+    def part(self, part: bytes) -> bytes:
+        """Ids of a lower-case pre-token."""
         ids = self.parts.get(part)
         if ids is None:
-            signs = part if part.isascii() else part.encode().decode("latin-1").translate(self.stand_in)
+            signs = part.decode() if part.isascii() else part.decode("latin-1").translate(self.stand_in)
             ids = array("I", [t.id for t in self.merge(signs)]).tobytes()
             if len(self.parts) < PARTS_KEPT and len(part) <= CACHED_LENGTH:
                 self.parts[part] = ids
         return ids
 
     def __missing__(self, data: bytes) -> bytes:
-        word = data.decode()
-        if (word.isascii() and word.isprintable() or self.PLAIN(word)) and not any([t in word for t in self.special]):
-            word = word.lower()
-            stem = word.rstrip(PUNCTUATION)
-            if stem.isalpha():  # letters, then perhaps one run of punctuation
-                ids = self.part(stem) if len(stem) == len(word) else self.part(stem) + self.part(word[len(stem):])
-            else:
-                ids = b"".join(map(self.part, self.SPLIT(word)))
+        stem = data if data.isalpha() else data.rstrip(STOPS)
+        if stem.isalpha():  # ASCII letters, then perhaps one run of stops
+            ids = self.part(stem.lower())
+            if len(stem) < len(data):
+                ids += self.part(data[len(stem):])
         else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            ids = self.other(data.decode())
         if len(self) < WORDS_KEPT and len(data) <= CACHED_LENGTH:
             self[data] = ids
         return ids
 
+    def other(self, word: str) -> bytes:
+        if self.PLAIN(word) and not any(t in word for t in self.special):
+            return b"".join([self.part(p.encode()) for p in self.SPLIT(word.lower())])
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
     def ids(self, data: bytes) -> bytes:
         """The ids of a UTF-8 text."""
         return b"".join(map(self.__getitem__, data.split()))
