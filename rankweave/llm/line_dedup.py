@@ -135,6 +135,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salted = held.groupBy("h", F.pmod(F.xxhash64("key.id"), F.lit(SALTS)).alias("salt")).agg(
         F.count("*").alias("n"), F.min("key").alias("first"))
     shared = salted.groupBy("h").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter("n > 1")
+    shared = written(shared, "shared-lines")  # so that the join below is one of two tables, whose hot keys Spark splits
     found = held.join(shared, "h")
     few = found.filter(F.col("n") <= rare)
     others = few.select("h", F.col("key").alias("first"))
