@@ -4,15 +4,16 @@ A page is read as tokens: its tags, told apart by their path and by class and id
 For every token of a host the pages are summed into a signature of its occurrence
 vector: how often it occurs on which page. Tokens with equal vectors form an
 equivalence class, for what the template writes together occurs together. Classes
-found on enough pages are valid; by their paths they nest, which gives the template
-of the host: a tree whose places between tokens are slots. Per slot the text, the
+of two tokens or more, found on enough pages, are valid; by their paths they nest,
+which gives the template of the host: a tree whose tokens open slots. A slot holds
+the text below its token and no deeper token of the template. Per slot the text, the
 text in links and whether it ever changes are known from all pages of the host.
 
-The slot of the article is chosen once for each host: what the template marks as
-article or main, else the slot with the most changing, link-poor text. A page then
-yields the blocks inside that slot, less slots marked as menus, notices, adverts,
-forms, comments and the like. Hosts with few pages, and pages without their host's
-slot, are judged by the same marks on the page alone.
+What the template marks as article or main is kept, less slots that never change. If
+it marks nothing, every slot that changes and is link-poor is kept. A page then
+yields its blocks in kept slots, less what is marked as menus, notices, adverts,
+forms, comments and the like. Hosts with few pages, and pages without any of their
+host's slots, are judged by the same marks on the page alone.
 
 Signatures are sums over rows, so a hot host is pre-aggregated in every task. Only
 one short row per host is joined back to the pages; the pages are not moved if
@@ -37,6 +38,8 @@ from rankweave.session import written
 SUPPORT, SHARE = 3, 0.3
 #: Rows of host slots sent to every task at most; more hosts are joined by shuffle, salted this often.
 MAX_SENT, SALTS = 50_000, 64
+#: Characters of these rows at most.
+MAX_SENT_CHARS = 16_000_000
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike "
                    "strong sub sup time tt u var wbr img input embed source track area map button select option label svg canvas object "
@@ -82,17 +85,17 @@ def attributes(source: str) -> dict[str, str]:
 def opened(tag: str, attrs: dict[str, str], parent: Element | None) -> Element:
     marks = " ".join(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower().split())
     inside = parent is not None and parent.content
-    noise = tag in DROPPED or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+    above, path = (parent.noise, parent.path) if parent else ("", "")
+    own = path if tag in INLINE else f"{path}/{tag}" + "".join(f".{w}" for w in marks.split())
+    noise = "!" if tag in DROPPED or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower() else ""
+    marked = tag in CONTENT_TAGS or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
     if marks and not noise and tag not in ("html", "body", "main"):
         words = WORD.findall(" ".join(m for m in marks.split() if not m.startswith(ABOUT_OTHERS)))
-        noise = not NOISE.isdisjoint(words) or any(w.startswith(NOISE_STEMS) for w in words) or ("header" in words and not inside)
+        if not NOISE.isdisjoint(words) or any(w.startswith(NOISE_STEMS) for w in words) or ("header" in words and not inside):
+            noise = "!" if tag in INLINE else own
     if tag == "header" and not inside:
-        noise = True
-    content = inside or tag in CONTENT_TAGS or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
-    if tag in INLINE:
-        return Element(tag, parent.path if parent else "", noise or (parent is not None and parent.noise), content)
-    name = tag + "".join(f".{w}" for w in marks.split())
-    return Element(tag, f"{parent.path if parent else ''}/{name}", noise or (parent is not None and parent.noise), content)
+        noise = "!"
+    return Element(tag, own, above or noise, inside or marked)
 
 
 def blocks(source: str):
@@ -105,7 +108,7 @@ def blocks(source: str):
         nonlocal linked
         text = " ".join("".join(texts).split())
         top = next((e for e in reversed(stack) if e.tag not in INLINE), None)
-        block = (top.path if top else "", top.noise if top else False, top.content if top else False, text, min(linked, len(text)))
+        block = (top.path if top else "", top.noise if top else "", top.content if top else False, text, min(linked, len(text)))
         texts.clear()
         linked = 0
         return block
@@ -139,14 +142,16 @@ def blocks(source: str):
             if place is None or (tag in INLINE and any(e.tag not in INLINE for e in stack[place:])):
                 continue
             if tag not in INLINE:
-                yield flush()
+                if (block := flush())[3]:
+                    yield block
             del stack[place:]
             continue
         if tag == "br":
             texts.append(" ")
             continue
         if tag not in INLINE and tag not in RAW:
-            yield flush()
+            if (block := flush())[3]:
+                yield block
         if tag in CLOSES_P:
             place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == "p"), None)
             if place is not None:
@@ -174,17 +179,29 @@ def blocks(source: str):
         stack.append(element)
         if tag not in INLINE:
             yield (element.path, element.noise, element.content, "", 0)
-    yield flush()
+    if (block := flush())[3]:
+        yield block
 
 
 def under(path: str, slot: str) -> bool:
     return path == slot or path.startswith(slot + "/")
 
 
-def main_text(source: str, slot: str | None) -> str:
-    """Blocks in the host's article slot, else in the page's own article, else all that is not marked as noise."""
+def above(path: str, known) -> str | None:
+    """The longest path in `known` that is `path` or holds it."""
+    while path and path not in known:
+        path = path.rpartition("/")[0]
+    return path or None
+
+
+def main_text(source: str, slots: str | None) -> str:
+    """Blocks in the slots that its host keeps, else in the page's own article, else all that is not marked as noise.
+
+    `slots` has a line for each slot where keeping ('+') or leaving out ('-') begins.
+    """
     found = [b for b in blocks(source) if b[3] and not b[1]]
-    inside = [b for b in found if under(b[0], slot)] if slot else []
+    flags = {line[1:]: line[0] == "+" for line in slots.split("\n")} if slots else {}
+    inside = [b for b in found if flags.get(above(b[0], flags), False)] if slots else []
     inside = inside or [b for b in found if b[2]] or found
     return "\n\n".join(b[3] for b in inside)
 
@@ -226,66 +243,111 @@ def host_tokens(pages: DataFrame) -> DataFrame:
 
 
 def template(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Valid equivalence classes: _host, signature, pages, tokens (shortest path first) and the text figures of each.
+    """_host, frame: the tokens of the valid equivalence classes of each host, a line each: pages, occurrences, token.
 
-    Tokens on too few pages are not of the template, which bounds a class by what one page can hold.
+    A class is valid if it has two tokens or more and is on enough pages, which bounds it
+    by what one page can hold. Tokens of no valid class (paragraphs of an article, say,
+    whose number varies) are what fills the slots.
     """
     known = tokens.join(sizes, "_host").filter((F.col("host_pages") >= SUPPORT) & (F.col("pages") >= SHARE * F.col("host_pages")))
-    one = F.struct(F.length("token").alias("depth"), "token", "n", "chars", "links", "changes")
-    return known.groupBy("_host", "host_pages", "signature", "pages").agg(F.array_sort(F.collect_list(one)).alias("tokens"))
+    line = F.concat_ws(" ", "pages", "n", "token")
+    classes = known.groupBy("_host", "signature", "pages").agg(F.collect_list(line).alias("lines")).filter("size(lines) > 1")
+    return classes.groupBy("_host").agg(F.concat_ws("\n", F.array_sort(F.flatten(F.collect_list("lines")))).alias("frame"))
+
 
+def frame_of(frame: str) -> dict[str, tuple[str, int, int]]:
+    """path -> mark, pages, occurrences."""
+    out = {}
+    for line in frame.split("\n"):
+        pages, n, token = line.split(" ", 2)
+        out[token[1:]] = (token[0], int(pages), int(n))
+    return out
 
-NESTED = "_host string, slot string"
 
+FILLED = "_host string, slot string, mark string, chars long, links long, changes boolean"
 
-def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, classes) -> host, slot: nest the classes of each host and choose the article's slot."""
+
+def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, token, pages, chars, links, changes, frame) -> the slot that each token's text is in, by the nesting of the paths."""
+    schema, last, frame = arrow_schema(FILLED), None, {}
     for batch in batches:
         rows = []
-        for host, classes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            place = {t["token"][1:]: (t["token"][0], c["pages"], t) for c in classes for t in c["tokens"]}
-            # A class is nested below the longest path of the template that starts its own.
-            inside: dict[str, list[str]] = {}
-            for path in sorted(place):
-                up = path
-                while up and (up := up.rpartition("/")[0]):
-                    if up in place:
-                        break
-                inside.setdefault(up, []).append(path)
-
-            def text(path: str) -> tuple[int, int, bool]:
-                mark, _, t = place[path]
-                if mark == "!":
-                    return 0, 0, False
-                below = [text(p) for p in inside.get(path, ())]
-                return (t["chars"] + sum(b[0] for b in below), t["links"] + sum(b[1] for b in below),
-                        t["changes"] or any(b[2] for b in below))
-
-            marked = [p for p in place if place[p][0] == "+" and p.rpartition("/")[0] not in {q for q in place if place[q][0] == "+"}]
+        for host, token, pages, chars, links, changes, source in zip(*(c.to_pylist() for c in batch.columns)):
+            if source != last:
+                last, frame = source, frame_of(source)
+            slot = above(token[1:], frame)
+            if slot is not None:
+                rows.append((host, slot, token[0], chars, links, changes or pages < frame[slot][1]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+CHOSEN = "_host string, slots string"
+
+
+def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, filled slots, frame) -> host, slots to keep and to leave out, where one or the other begins.
+
+    What the template marks as article or main is kept, less slots that never change. If it
+    marks nothing, all slots are kept that change and are link-poor.
+    """
+    for batch in batches:
+        rows = []
+        for host, slots, source in zip(*(c.to_pylist() for c in batch.columns)):
+            frame = frame_of(source)
+            plus = {p for p, f in frame.items() if f[0] == "+"}
+            marked = [p for p in plus if above(p.rpartition("/")[0], plus) is None]
             # An article that comes once a page is meant rather than what holds it.
-            single = [p for p in place if place[p][0] == "+" and re.match(r"article\b", p.rpartition("/")[2])
-                      and place[p][2]["n"] == place[p][1] >= SHARE * max(c["host_pages"] for c in classes)]
-            marked = single or marked
-            open_slots = [p for p in place if place[p][0] != "!" and p.count("/") > 2] or [p for p in place if place[p][0] != "!"]
-            found = {p: text(p) for p in marked or open_slots}
-            good = {p: f for p, f in found.items() if marked or (f[2] and 2 * f[1] < f[0])}
-            if good:
-                rows.append((host, max(good, key=lambda p: (good[p][0], p))))
+            single = [p for p in plus if re.match(r"article\b", p.rpartition("/")[2]) and frame[p][2] == frame[p][1]]
+            roots = set(single or marked)
+            total, of_marks = sum(s["chars"] for s in slots), sum(s["marked"] for s in slots)
+            if not roots and 2 * of_marks > total:
+                continue  # marked, but by another path on each page: pages tell their own article
+            flags = dict.fromkeys(roots, True)
+            for s in slots:
+                path = s["slot"]
+                if roots:
+                    if above(path, roots):
+                        flags[path] = s["changes"]
+                else:
+                    flags[path] = s["changes"] and 2 * s["links"] < s["chars"]
+            out = []
+            for path in sorted(flags):
+                up = above(path.rpartition("/")[0], flags)
+                if flags[path] != (up is not None and flags[up]):
+                    out.append(("+" if flags[path] else "-") + path)
+            if out:
+                rows.append((host, "\n".join(out)))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], schema=arrow_schema(NESTED))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], schema=arrow_schema(CHOSEN))
+
+
+def beside(rows: DataFrame, by_host: DataFrame, salt: str, how: str) -> DataFrame:
+    """Rows with what is known of their host: sent to every task if proven small, else joined by salted shuffle."""
+    value = by_host.columns[-1]
+    size = by_host.limit(MAX_SENT + 1).agg(F.count("*"), F.sum(F.length(value))).head()
+    if size[0] <= MAX_SENT and (size[1] or 0) <= MAX_SENT_CHARS:
+        return rows.join(F.broadcast(by_host), "_host", how)
+    salts = by_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(salts, ["_host", "_salt"], how)
 
 
 def host_slots(pages: DataFrame) -> DataFrame:
-    """pages(_host, _page, _html) -> _host, slot: the article's slot in the template of each host."""
+    """pages(_host, _page, _html) -> _host, slots: what is kept of the template's slots, for each host."""
     tokens = written(host_tokens(pages), "host-tokens")
     sizes = pages.groupBy("_host").agg(F.count("*").alias("host_pages"))
-    classes = template(tokens, sizes)
-    one = F.struct("pages", "host_pages", "tokens")
-    return written(classes.groupBy("_host").agg(F.collect_list(one).alias("classes")).mapInArrow(nest, NESTED), "host-slots")
+    frames = written(template(tokens, sizes), "host-frames")
+    texts = tokens.filter((F.col("chars") > 0) & ~F.startswith("token", F.lit("!"))).select("_host", "token", "pages", "chars", "links", "changes")
+    filled = beside(texts, frames, "token", "inner").select(*texts.columns, "frame").mapInArrow(fill, FILLED)
+    slots = filled.groupBy("_host", "slot").agg(
+        F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.max("changes").alias("changes"),
+        F.sum(F.when(F.col("mark") == "+", F.col("chars")).otherwise(0)).alias("marked"))
+    one = F.struct("slot", "chars", "links", "changes", "marked")
+    return written(slots.groupBy("_host").agg(F.collect_list(one).alias("slots")).join(frames, "_host").mapInArrow(choose, CHOSEN), "host-slots")
 
 
 def extract_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, url, html, slot) -> id, url, text, n_chars."""
+    """(id, url, html, slots) -> id, url, text, n_chars."""
     schema = arrow_schema(TEXTS)
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
@@ -304,9 +366,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     own = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), whole(F.col(html_col)).alias("_html"))
     own = own.withColumn("_host", host_of(F.col("_url")))
     slots = host_slots(own.select("_host", F.col("_id").alias("_page"), "_html"))
-    if slots.limit(MAX_SENT + 1).count() <= MAX_SENT:
-        told = own.join(F.broadcast(slots), "_host", "left")
-    else:
-        salts = slots.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        told = own.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salts, ["_host", "_salt"], "left")
-    return told.select("_id", "_url", "_html", "slot").mapInArrow(extract_rows, TEXTS).toDF(id_col, url_col, "text", "n_chars")
+    told = beside(own, slots, "_id", "left")
+    return told.select("_id", "_url", "_html", "slots").mapInArrow(extract_rows, TEXTS).toDF(id_col, url_col, "text", "n_chars")

@@ -387,6 +387,23 @@ def test_host_without_marks_is_learned_from_its_pages(spark):
     assert got == [f"{('text %d ' % n) * 9}".strip() + f"\n\nmore {n}" for n in range(6)]
 
 
+def texts_of_host(spark, pages):
+    df = spark.createDataFrame([(n, f"http://one.example/{n}", p) for n, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in html_template.extract(df).orderBy("page_id").collect()]
+
+
+def test_slots_that_never_change_go(spark):
+    page = ("<html><body><div class=wrap><div class=x1>{p}</div><div class=x2><p>always the same words here</p></div></div>"
+            "<div class=x3><a href=/{k}>see {k}</a> <a href=/>more {k}</a></div></body></html>")
+    pages = [page.format(k=k, p="".join(f"<p>par {k} {i}</p>" for i in range(k + 1))) for k in range(5)]
+    want = ["\n\n".join(f"par {k} {i}" for i in range(k + 1)) for k in range(5)]
+    assert texts_of_host(spark, pages) == want
+    assert texts_of_host(spark, [p.replace("<div class=wrap>", "<article>").replace("</div></div><div class=x3>", "</div></article><div class=x3>")
+                                 for p in pages]) == want
+    # Pages that are all the same tell nothing of what changes.
+    assert texts_of_host(spark, ["<html><body><div><p>one text</p></div></body></html>"] * 3) == ["one text"] * 3
+
+
 def test_sent_and_salted_slots_agree(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     a = sorted(tuple(r) for r in html_template.extract(df).collect())
