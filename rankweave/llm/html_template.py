@@ -289,7 +289,7 @@ def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, filled slots, frame) -> host, slots to keep and to leave out, where one or the other begins.
 
     What the template marks as article or main is kept, less slots that never change. If it
-    marks nothing, all slots are kept that change and are link-poor.
+    marks nothing, all slots are kept that change and are link-poor, or are headings that change.
     """
     for batch in batches:
         rows = []
@@ -310,7 +310,8 @@ def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if above(path, roots):
                         flags[path] = s["changes"]
                 else:
-                    flags[path] = s["changes"] and 2 * s["links"] < s["chars"]
+                    heading = re.match(r"h[1-6]\b", path.rpartition("/")[2])
+                    flags[path] = s["changes"] and (heading is not None or 2 * s["links"] < s["chars"])
             out = []
             for path in sorted(flags):
                 up = above(path.rpartition("/")[0], flags)

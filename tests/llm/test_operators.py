@@ -392,6 +392,16 @@ def texts_of_host(spark, pages):
     return [r["text"] for r in html_template.extract(df).orderBy("page_id").collect()]
 
 
+@pytest.mark.parametrize("n", [2, 3, 7])
+def test_flat_and_split_articles_stay_whole(spark, n):
+    flat = ("<html><head><title>t</title></head><body><h1><a href=/{k}>Head {k}</a></h1>{p}<ul><li>item {k}</li></ul><blockquote>quote {k}</blockquote>"
+            "<pre>code {k}</pre></body></html>")
+    got = texts_of_host(spark, [flat.format(k=k, p="".join(f"<p>par {k} {i}</p>" for i in range(k + 1))) for k in range(n)])
+    assert got == ["\n\n".join([f"Head {k}", *(f"par {k} {i}" for i in range(k + 1)), f"item {k}", f"quote {k}", f"code {k}"]) for k in range(n)]
+    split = "<html><body><div class=lead><p>lead {k}</p></div><div class=body><p>body {k} is longer</p></div></body></html>"
+    assert texts_of_host(spark, [split.format(k=k) for k in range(n)]) == [f"lead {k}\n\nbody {k} is longer" for k in range(n)]
+
+
 def test_slots_that_never_change_go(spark):
     page = ("<html><body><div class=wrap><div class=x1>{p}</div><div class=x2><p>always the same words here</p></div></div>"
             "<div class=x3><a href=/{k}>see {k}</a> <a href=/>more {k}</a></div></body></html>")
