@@ -58,7 +58,9 @@ NOISE = frozenset("ad ads adbox adslot adunit adblock adbanner banner promo prom
 #: A word of a class or id that starts like this marks noise too.
 NOISE_STEMS = ("advert", "sponsor", "cookie", "navbar", "navigation", "breadcrumb", "sidebar", "comment", "disqus", "newsletter")
 #: Names of what a container has, lacks or is beside.
-ABOUT_OTHERS = ("has-", "have-", "with-", "no-", "without-", "is-")
+ABOUT_OTHERS = ("has-", "have-", "with-", "no-", "without-", "is-", "tag-", "tagged-", "category-", "cat-", "topic-", "type-", "format-")
+#: Words of containers whose text is not the article, however long it is.
+OTHERS_TEXT = ("comment", "disqus", "repl", "cookie", "consent", "gdpr", "advert", "sponsor", "ad", "ads")
 CONTENT_TAGS = frozenset(("article", "main"))
 
 TAG = re.compile(
@@ -72,6 +74,7 @@ TEXTS = "_id long, _url string, text string, n_chars long"
 
 
 class Element:
+    #: noise: '' for none, '!' by tag or attribute, else the path of the outermost element whose class words mark it.
     __slots__ = ("tag", "path", "noise", "content")
 
     def __init__(self, tag, path, noise, content):
@@ -82,14 +85,15 @@ def attributes(source: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(source)} if source.strip(" /\n\t\r") else {}
 
 
-def opened(tag: str, attrs: dict[str, str], parent: Element | None) -> Element:
+def opened(tag: str, attrs: dict[str, str], parent: Element | None, cleared: frozenset[str] = frozenset()) -> Element:
     marks = " ".join(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower().split())
     inside = parent is not None and parent.content
     above, path = (parent.noise, parent.path) if parent else ("", "")
     own = path if tag in INLINE else f"{path}/{tag}" + "".join(f".{w}" for w in marks.split())
     noise = "!" if tag in DROPPED or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower() else ""
     marked = tag in CONTENT_TAGS or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
-    if marks and not noise and tag not in ("html", "body", "main"):
+    # Class words do not make noise of what is marked as the article; an article in an article may be a comment.
+    if marks and not noise and tag not in ("html", "body", "main") and not (marked and "/article" not in path) and own not in cleared:
         words = WORD.findall(" ".join(m for m in marks.split() if not m.startswith(ABOUT_OTHERS)))
         if not NOISE.isdisjoint(words) or any(w.startswith(NOISE_STEMS) for w in words) or ("header" in words and not inside):
             noise = "!" if tag in INLINE else own
@@ -98,7 +102,7 @@ def opened(tag: str, attrs: dict[str, str], parent: Element | None) -> Element:
     return Element(tag, own, above or noise, inside or marked)
 
 
-def blocks(source: str):
+def blocks(source: str, cleared: frozenset[str] = frozenset()):
     """Yield (path, noise, content, text, characters in links) of each block; a tag alone has text ''."""
     stack: list[Element] = []
     texts: list[str] = []
@@ -163,7 +167,7 @@ def blocks(source: str):
                     break
                 if stack[k].tag in shut:
                     del stack[k:]
-        element = opened(tag, attributes(m["attrs"]), stack[-1] if stack else None)
+        element = opened(tag, attributes(m["attrs"]), stack[-1] if stack else None, cleared)
         if tag in VOID:
             if tag not in INLINE:
                 yield (element.path, element.noise, element.content, "", 0)
@@ -183,6 +187,33 @@ def blocks(source: str):
         yield block
 
 
+def wrongly_noise(found: list[tuple]) -> str | None:
+    """The element that class words mark as noise although it holds what the page is about: nearly all text, or its heading and most text."""
+    if any(b[2] and b[3] and not b[1] for b in found):
+        return None
+    roots: dict[str, list] = {}
+    total = 0
+    for path, noise, _, text, linked in found:
+        if text and noise != "!":
+            total += len(text)
+            if noise:
+                r = roots.setdefault(noise, [0, 0, False])
+                r[0], r[1], r[2] = r[0] + len(text), r[1] + linked, r[2] or path.rpartition("/")[2].partition(".")[0] == "h1"
+    for root, (chars, linked, heading) in roots.items():
+        others = any(w.startswith(OTHERS_TEXT[:-2]) or w in OTHERS_TEXT for w in WORD.findall(root.rpartition("/")[2]))
+        if 2 * linked < chars and (2 * chars >= total if heading else 10 * chars >= 9 * total and not others):
+            return root
+    return None
+
+
+def judged(source: str) -> list[tuple]:
+    """The blocks of a page; a wrapper of nearly all its text is no noise, whatever its class words are."""
+    cleared: frozenset[str] = frozenset()
+    while (wrapper := wrongly_noise(found := list(blocks(source, cleared)))) is not None:
+        cleared |= {wrapper}
+    return found
+
+
 def under(path: str, slot: str) -> bool:
     return path == slot or path.startswith(slot + "/")
 
@@ -199,7 +230,7 @@ def main_text(source: str, slots: str | None) -> str:
 
     `slots` has a line for each slot where keeping ('+') or leaving out ('-') begins.
     """
-    found = [b for b in blocks(source) if b[3] and not b[1]]
+    found = [b for b in judged(source) if b[3] and not b[1]]
     flags = {line[1:]: line[0] == "+" for line in slots.split("\n")} if slots else {}
     inside = [b for b in found if flags.get(above(b[0], flags), False)] if slots else []
     inside = inside or [b for b in found if b[2]] or found
@@ -213,7 +244,7 @@ def page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for host, page, source in zip(*(c.to_pylist() for c in batch.columns)):
             seen: dict[str, list] = {}
-            for path, noise, content, text, linked in blocks(source):
+            for path, noise, content, text, linked in judged(source):
                 if not path:
                     continue
                 token = ("!" if noise else "+" if content else " ") + path

@@ -387,6 +387,18 @@ def test_host_without_marks_is_learned_from_its_pages(spark):
     assert got == [f"{('text %d ' % n) * 9}".strip() + f"\n\nmore {n}" for n in range(6)]
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<article class='post tag-cookies'><h1>T</h1><p>body</p></article><div class=related>r</div>", "T\n\nbody"),
+    ("<main><article class='category-social share'><p>body</p></article></main>", "body"),
+    ("<div id=content class=search-result-page><h1>T</h1><p>body</p><div class=related>r</div></div>", "T\n\nbody"),
+    ("<div class=related-work><p>" + "long " * 20 + "</p></div><p>x</p>", "long " * 19 + "long\n\nx"),
+    ("<p>short</p><div class=comments><p>" + "long " * 20 + "</p></div>", "short"),
+    ("<article><p>a</p><article class=comment>c</article></article>", "a"),
+])
+def test_class_words_do_not_drop_articles(page, text):
+    assert html_template.main_text(page, None) == text
+
+
 def texts_of_host(spark, pages):
     df = spark.createDataFrame([(n, f"http://one.example/{n}", p) for n, p in enumerate(pages)], "page_id long, url string, html string")
     return [r["text"] for r in html_template.extract(df).orderBy("page_id").collect()]
