@@ -1,12 +1,17 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share lines are found by line hashes. A line on few documents links
-each of them with every earlier one; a frequent line links each with the earliest
-only, so links grow with occurrences and not with their square, and none of its
-holders is left out. Each pair is aligned by patience diff on the line hashes:
-equal heads and tails are matched, then lines that are unique on both sides, in
-their longest common order, and so on between these. What the later document has
-in a common block of enough words is deleted from it.
+Documents that share a block of enough words are found by runs: for each line the
+shortest run of lines that starts there and has enough words, and the shortest that
+ends there. Every common block is covered by such runs, and both documents have the
+same. A run on few documents links each of them with every earlier one. A frequent run
+links each with the earliest only, so links grow with occurrences and not with their
+square, and it is deleted from every later holder, whether or not the alignment finds
+it: as another document has it already, no shared frequent run remains.
+
+Each pair is aligned by patience diff on the line hashes: equal heads and tails are
+matched, then lines that are unique on both sides, in their longest common order, and
+so on between these. What the later document has in a common block of enough words is
+deleted from it.
 
 Only hashes of lines travel to the pairs; a text moves once, when what is left of it
 is put together.
@@ -25,10 +30,11 @@ from pyspark.sql import functions as F
 from rankweave.llm.common import arrow_schema, whole
 from rankweave.session import written
 
-#: A line on at most this many documents is rare; a block of fewer words is kept.
+#: A run on at most this many documents is rare; a block of fewer words is kept.
 RARE, MIN_WORDS = 4, 10
 SALTS = 32
 CUTS = "id long, proof long, cut array<int>"
+RUNS = "id long, proof long, runs array<long>"
 
 
 def lines_of(text: Column) -> Column:
@@ -102,12 +108,74 @@ def cut_lines(earlier: list, later: list, words: list[int], min_words: int) -> l
     return out
 
 
+def runs(hashes: list, words: list[int], min_words: int) -> set[tuple[int, int, int]]:
+    """(hash, first, last) of the shortest runs of lines of at least `min_words` words, from each line on and up to each line.
+
+    The lines of a block of that many words are all in runs that lie in the block.
+    """
+    out: set[tuple[int, int, int]] = set()
+    if min_words <= 0:
+        return {(h, k, k) for k, h in enumerate(hashes) if h is not None}
+    total, first, before = 0, 0, -1
+    for last, w in enumerate(words):
+        total += w
+        if not w or total < min_words:
+            continue
+        while total >= min_words:
+            # The run from `before` ended at an earlier line; it counts again only as the shortest up to this one.
+            if words[first] and (first != before or total - words[first] < min_words):
+                out.add((hashes[first] if first == last else hash(tuple(hashes[first:last + 1])), first, last))
+            total -= words[first]
+            first += 1
+        first -= 1
+        total += words[first]
+        before = first
+    return out
+
+
+def covered(earlier: list, later: list, words: list[int], min_words: int, shared: set[int]) -> list[int]:
+    """Positions of the later document in shared runs, and blank lines between them that the earlier has there too."""
+    found: set[int] = set()
+    for h, first, last in runs(later, words, min_words):
+        if h in shared:
+            found.update(range(first, last + 1))
+    gaps = list(blanks_of(later))
+    if gaps and any(p in found and q in found and p + 1 not in found for p, q in gaps):
+        known = {(earlier[p], q - p, earlier[q]) for p, q in blanks_of(earlier)}
+        for p, q in gaps:
+            if p in found and q in found and (later[p], q - p, later[q]) in known:
+                found.update(range(p, q))
+    return sorted(found)
+
+
+def blanks_of(hashes: list) -> Iterator[tuple[int, int]]:
+    """The lines before and after each gap of blank lines."""
+    last = None
+    for k, h in enumerate(hashes):
+        if h is not None:
+            if last is not None and k > last + 1:
+                yield last, k
+            last = k
+
+
+def run_hashes(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(RUNS)
+        for batch in batches:
+            own, proof, hashes, words = (c.to_pylist() for c in batch.columns)
+            found = [list({h for h, _, _ in runs(x, w, min_words)}) for x, w in zip(hashes, words)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((own, proof, found), schema)], schema=schema)
+
+    return run
+
+
 def align(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(CUTS)
         for batch in batches:
-            own, proof, earlier, later, words = (c.to_pylist() for c in batch.columns)
-            cuts = [cut_lines(a, b, w, min_words) for a, b, w in zip(earlier, later, words)]
+            own, proof, earlier, later, words, frequent = (c.to_pylist() for c in batch.columns)
+            cuts = [cut_lines(a, b, w, min_words) + (covered(a, b, w, min_words, set(f)) if f else [])
+                    for a, b, w, f in zip(earlier, later, words, frequent)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((own, proof, cuts), schema)], schema=schema)
 
     return run
@@ -119,7 +187,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The earlier of two documents is the one with the smaller id (nulls last), then the
     smaller hash of the text. Rows equal in id and text are one document: nothing is
-    deleted between them and all get the same result. Null text is empty. Blank lines
+    deleted between them and all get the same result. A run of lines on more than `rare`
+    documents (and more than RARE) is deleted from all but the earliest, in whatever order
+    they have it; with a smaller `rare`, runs on up to RARE documents are only aligned with
+    the earliest holder. Null text is empty. Blank lines
     never link documents; they go with a block that matches on both sides of them. A
     deleted line goes with its line break. Other columns are not read.
     """
@@ -130,20 +201,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seqs = written(flat.select("id", "proof", F.transform("flat", line_hash).alias("hashes"),
                                F.transform("flat", line_words).alias("words")).dropDuplicates(["id", "proof"]), "lines")
     key = F.struct(F.col("id").isNull().alias("none"), "id", "proof").alias("key")
-    held = seqs.select(key, F.explode(F.array_distinct("hashes")).alias("h")).filter("h is not null")
-    # In two steps, the first salted: a very common line is summed up by many tasks.
+    held = seqs.mapInArrow(run_hashes(min_words), RUNS).select(key, F.explode("runs").alias("h"))
+    # In two steps, the first salted: a very common run is summed up by many tasks.
     salted = held.groupBy("h", F.pmod(F.xxhash64("key.id"), F.lit(SALTS)).alias("salt")).agg(
         F.count("*").alias("n"), F.min("key").alias("first"))
     shared = salted.groupBy("h").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter("n > 1")
-    shared = written(shared, "shared-lines")  # so that the join below is one of two tables, whose hot keys Spark splits
+    shared = written(shared, "shared-runs")  # so that the join below is one of two tables, whose hot keys Spark splits
     found = held.join(shared, "h")
     few = found.filter(F.col("n") <= rare)
     others = few.select("h", F.col("key").alias("first"))
-    pairs = found.filter("n > %d and key != first" % rare).select("key", "first").union(
-        few.drop("first").join(others, "h").filter("first < key").select("key", "first")).distinct()
+    pairs = found.filter("n > %d and key != first" % rare).select("key", "first", F.when(F.col("n") > max(rare, RARE), F.col("h")).alias("h")).union(
+        few.drop("first").join(others, "h").filter("first < key").select("key", "first", F.lit(None).cast("long").alias("h")).distinct())
+    pairs = pairs.groupBy("key", "first").agg(F.collect_list("h").alias("frequent"))
     left = seqs.select(key, F.col("hashes").alias("later"), "words")
     right = seqs.select(key.alias("first"), F.col("hashes").alias("earlier"))
-    pairs = pairs.join(right, "first").join(left, "key").select("key.id", "key.proof", "earlier", "later", "words")
+    pairs = pairs.join(right, "first").join(left, "key").select("key.id", "key.proof", "earlier", "later", "words", "frequent")
     cuts = pairs.mapInArrow(align(min_words), CUTS).filter("size(cut) > 0")
     cuts = cuts.groupBy("id", "proof").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
     cuts = cuts.withColumnsRenamed({"id": "_id", "proof": "_proof"})

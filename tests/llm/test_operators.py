@@ -453,6 +453,44 @@ def test_line_dedup(spark, docs, rare):
     assert any(r["removed_lines"] for r in got.values())
 
 
+def test_runs_cover_every_block():
+    rnd = random.Random(5)
+    for _ in range(300):
+        words = [rnd.choice([0, 0, 1, 3, 5, 12]) for _ in range(rnd.randint(0, 12))]
+        hashes = [k + 1 if w else None for k, w in enumerate(words)]
+        spans = {(i, j) for _, i, j in line_dedup.runs(hashes, words, 10)}
+        want = set()
+        for i in range(len(words)):
+            for j in range(i, len(words)):
+                if words[i] and words[j] and sum(words[i:j + 1]) >= 10 and (sum(words[i:j]) < 10 or sum(words[i + 1:j + 1]) < 10):
+                    want.add((i, j))
+        shortest = {(i, min(b for a, b in want if a == i)) for i, _ in want} | {(max(a for a, b in want if b == j), j) for _, j in want}
+        assert shortest <= spans <= want
+
+
+def test_line_dedup_is_that_of_all_pairs(spark, docs):
+    want = brute.line_dedup(text_rows(docs), 10 ** 9, 10)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()}
+    assert {d[0]: t for d, t in want.items()} == got
+
+
+def test_frequent_passages_go_from_all_later_documents(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    short = ["a b c d", "e f g h", "i j k l"]
+    # The earliest holder has the passage twice, so patience diff has no anchor there.
+    texts = [f"x0\n{passage}\ny0\n{passage}\nz0"] + [f"x{k}\n{passage}\ny{k}" for k in range(1, 8)]
+    # Frequent short lines whose earliest holders have one of them alone; together they are a block.
+    texts += short + ["\n".join([f"u{k}", *short, f"v{k}"]) for k in range(8)]
+    # The same passages in another order than the earliest holder's.
+    other = [f"{w} " * 11 for w in ("red", "green")]
+    texts += [f"p0\n{other[0]}\nq0\n{other[1]}\nr0"] + [f"p{k}\n{other[1]}\nq{k}\n{other[0]}\nr{k}" for k in range(1, 7)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in line_dedup.line_dedup(df).orderBy("doc_id").collect()]
+    assert got[:8] == [texts[0]] + [f"x{k}\ny{k}" for k in range(1, 8)]
+    assert got[8:12] == texts[8:12] and got[12:19] == [f"u{k}\nv{k}" for k in range(1, 8)]
+    assert got[19:] == [texts[19]] + [f"p{k}\nq{k}\nr{k}" for k in range(1, 7)]
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     got = line_dedup.line_dedup(odd)
     assert got.count() == odd.count()
