@@ -114,3 +114,15 @@ def test_stream_import(spark, tmp_path):
     assert run()[1] == "last"
     compacted = incremental.compact(spark, target, str(tmp_path / "compact"), "id")
     assert {r.id: r.title for r in compacted.filter("id IS NOT NULL").collect()} == {1: "last", 2: "B", 3: "c", 4: "d"}
+
+
+def test_array_files_stay_bounded(spark):
+    import json
+
+    from workload import queries
+
+    part = spark.range(1000).selectExpr("id AS p_partkey", "'n' AS p_name", "'hot' AS p_brand", "1 AS p_size", "'t' AS p_type")
+    files = queries.array_files(part, 100).collect()
+    items = [[x["id"] for x in json.loads(r["value"])] for r in files]
+    assert len({r["file"] for r in files}) == 10 and max(map(len, items)) == 100
+    assert sorted(i for x in items for i in x) == list(range(1000))

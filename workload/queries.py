@@ -193,13 +193,23 @@ def refused_rows(spark, sf_dir):
     return spark.read.parquet(f"{streamed_items(spark, sf_dir)}/refused").select("title", "problem")
 
 
+#: A file of a JSON array holds the items of at most this many successive keys.
+ARRAY_KEYS = 10_000
+
+
+def array_files(part, keys=ARRAY_KEYS):
+    """value, file: a JSON array for every brand, size and block of keys, so that files grow in number and not in size."""
+    item = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("overview"),
+                    F.array("p_type").alias("genres"))
+    block = F.floor(F.col("p_partkey") / keys).alias("block")
+    files = part.groupBy("p_brand", "p_size", block).agg(F.to_json(F.collect_list(item)).alias("value"))
+    return files.select("value", F.concat_ws("-", "p_brand", F.col("p_size").cast("string"), F.col("block").cast("string")).alias("file"))
+
+
 def load_items_array(spark, sf_dir):
-    """Files that hold one JSON array each: one for every brand and size."""
+    """Files that hold one JSON array each: one for every brand, size and block of keys."""
     def make(path):
-        item = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("overview"),
-                        F.array("p_type").alias("genres"))
-        files = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.to_json(F.collect_list(item)).alias("value"))
-        files.select("value", F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("file")).write.partitionBy("file").text(path)
+        array_files(table(spark, sf_dir, "part")).write.partitionBy("file").text(path)
         return path
     path = made_once(spark, sf_dir, "array-json", make)
     checked = json_items.check_items(json_items.load_items(spark, path, array=True))
