@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import byte_bpe, decontaminate, exact_dedup, html_template, line_dedup, minhash, packing, quality, simhash, url_rules, word_pieces
+from rankweave.llm import (byte_bpe, decontaminate, exact_dedup, html_template, line_dedup, minhash, packing, prefix_trie, quality, simhash,
+                           url_rules, word_pieces)
 from rankweave.llm.common import table
 
 #: host, path, verdict
@@ -65,6 +66,10 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_url_rules, op3_line_dedup, op4_byte_bpe, op5_html_text, op6_packing, op7_simhash, op8_word_pieces,
-    op9_exact_dedup, op10_minhash, op12_decontaminate)}
+    op9_exact_dedup, op10_minhash, op12_decontaminate, op13_prefix_trie)}
