@@ -12,11 +12,11 @@ each of its words, so its rarest word alone is a necessary prefix: document
 words are joined with these prefix words only, each match fixes where the window
 would start, the length and position bounds drop starts before the text or ends
 after it, and the candidates left are verified by comparing the document's
-words there with the window's words, whole.
+words there with the window's words, whole, inside the same join.
 
 All of it runs as Spark SQL expressions and joins (no Python worker). The
-windows are broadcast only after their number is checked; the document words are
-computed once and written as a table that the three later passes read.
+windows are broadcast in blocks of a checked number of rows; the document words
+are computed once and written as a table that the later passes read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.session import broadcast_if_small, written
+from rankweave.session import MAX_BROADCAST_ROWS, broadcast_if_small, written
 
 # Fixed values of the contract: the word pattern and the window length.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -75,16 +75,21 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("words")),
         "decontaminate-words")
     windows = item_windows(items, item_col, item_text_col, size)
-    prefix = prefixes(windows, doc_words)
-    places = doc_words.select("row", F.size("words").alias("n"), F.posexplode("words").alias("p", "word"))
-    candidates = (places.join(broadcast_if_small(prefix), "word")
-                  .select("row", (F.col("p") - F.col("k")).alias("start"), "n", "l", "window", "items")
-                  .filter((F.col("start") >= 0) & (F.col("start") + F.col("l") <= F.col("n"))))
-    found = candidates.alias("c").join(
-        doc_words.select("row", "words").alias("d"),
-        (F.col("c.row") == F.col("d.row"))
-        & (F.slice(F.col("d.words"), F.col("c.start") + 1, F.col("c.l")) == F.col("c.window")))
-    found = found.select("c.row", "c.start", "c.l", "c.items")
+    prefix = written(prefixes(windows, doc_words), "decontaminate-prefixes")
+    # The windows go out in broadcast blocks of a checked number of rows; each block
+    # meets the words where they are read, and the comparison runs in the same
+    # generated code as the explode, so a text is never copied per word.
+    blocks = max(1, -(-prefix.count() // MAX_BROADCAST_ROWS))
+    places = doc_words.select("row", "words", F.posexplode("words").alias("p", "word"))
+    start = F.col("p") - F.col("k")
+    inside = (start >= 0) & (start + F.col("l") <= F.size("words"))
+    same = F.when(inside, F.slice("words", start + 1, F.col("l")) == F.col("window")).otherwise(F.lit(False))
+    found = None
+    for block in range(blocks):
+        part = prefix.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).withColumnRenamed("word", "w")
+        hits = places.join(F.broadcast(part), (F.col("word") == F.col("w")) & same).select("row", start.alias("start"), "l", "items")
+        found = hits if found is None else found.unionByName(hits)
+    found = written(found, "decontaminate-found")
     # Words hit: the union of [start, start + l) per row, by a sweep in start order.
     spans = found.groupBy("row", "start").agg(F.max(F.col("start") + F.col("l")).alias("end"))
     before = F.max("end").over(Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
