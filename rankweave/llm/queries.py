@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rankweave.llm import (byte_bpe, decontaminate, exact_dedup, html_template, line_dedup, minhash, packing, prefix_trie, quality, simhash,
-                           url_rules, word_pieces)
+                           spelling, url_rules, word_pieces)
 from rankweave.llm.common import table
 
 #: host, path, verdict
@@ -62,6 +62,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_report(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -72,4 +76,4 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_url_rules, op3_line_dedup, op4_byte_bpe, op5_html_text, op6_packing, op7_simhash, op8_word_pieces,
-    op9_exact_dedup, op10_minhash, op12_decontaminate, op13_prefix_trie)}
+    op9_exact_dedup, op10_minhash, op11_spelling, op12_decontaminate, op13_prefix_trie)}
