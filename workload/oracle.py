@@ -397,6 +397,13 @@ def sql() -> dict[str, str]:
         english_tokens("it", "item_full", "doc_id", "text"),
         "postings AS (SELECT doc_id, term, count(*) AS tf FROM it GROUP BY ALL)", query_terms(), MATCHED, top("t", "matched", 20)) + f"SELECT {HITS} FROM t"
     q["native_search"] = with_(SENTENCES, POSTINGS, query_terms(), MATCHED, COVERS, top("t", "native", 20)) + f"SELECT {HITS} FROM t"
+    final = """
+final_docs AS (
+  SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)
+  UNION ALL SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'second: ' ELSE '' END || text FROM benchmark),
+kept_docs AS (SELECT * FROM final_docs WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src7'))"""
+    q["bm25_incremental"] = with_(SEARCH_QUERIES, final, POSTINGS.replace("FROM documents", "FROM kept_docs"), query_terms(), BM25_SCORES,
+                                  top("t", "bm25", 20)) + f"SELECT {HITS} FROM t"
     q["bm25_search"] = with_(SEARCH_QUERIES, POSTINGS, query_terms(), BM25_SCORES, top("t", "bm25", 20)) + f"SELECT {HITS} FROM t"
     q["hit_counts"] = with_(SEARCH_QUERIES, POSTINGS, query_terms(), BM25_SCORES, top("t", "bm25", 20)) + "SELECT query_id, count(doc_id) AS hits FROM queries LEFT JOIN t USING (query_id) GROUP BY query_id"
     q["infix_search"] = "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'tioner')"

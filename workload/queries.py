@@ -22,7 +22,7 @@ from rankweave.functions import enrichment, scalars, vectors
 from rankweave.functions.text import Analyzer, by_language, stems, tokens, trigrams, without_stop_words
 from rankweave.operators import fusion, fuzzy, items, knn, lexical, reports, topk
 from rankweave.operators.enrich import enrich, nest_payload, reduce_payload
-from rankweave.plans import pipeline
+from rankweave.plans import pipeline, segments
 from rankweave.plans.index import TermIndex, build_index
 from rankweave.session import spread, workspace
 from rankweave.sources import corpus_store, json_items
@@ -442,6 +442,27 @@ def bm25_search(spark, sf_dir):
     return ranked(lexical.bm25_search(search_queries(spark, sf_dir), document_index(spark, sf_dir)))
 
 
+def grown_index(spark, sf_dir) -> segments.Segments:
+    """The documents added in two batches, benchmark texts upserted over them, one source deleted, then merged."""
+    def make(path):
+        docs = documents(spark, sf_dir)
+        index = segments.create(spark, {"content": "text"}, Analyzer("english"), path)
+        english = F.col("lang").eqNullSafe("en")
+        index = segments.add(index, docs.filter(english))
+        index = segments.add(index, docs.filter(~english))
+        incoming = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit(1).alias("version"))
+        again = incoming.filter("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("second: "), "text").alias("text"), F.lit(2).alias("version"))
+        index = segments.add(index, incoming.unionByName(again), order="version")
+        index = segments.delete(index, docs.filter(F.col("source") == "src7"))
+        return segments.merge(index, fan_in=2)
+    return made_once(spark, sf_dir, "segments", make)
+
+
+def bm25_incremental(spark, sf_dir):
+    """BM25 over an index that was grown, changed and merged; equal to a fresh index over the same documents."""
+    return ranked(lexical.bm25_search(search_queries(spark, sf_dir), segments.term_index(grown_index(spark, sf_dir))))
+
+
 FIELD_BOOSTS = {"title": 0.9, "overview": 1.1, "genres": 1.0}  # fixed values
 
 
@@ -698,7 +719,7 @@ QUERIES = {f.__name__: f for f in (
     vector_validate, genres_normalise, hit_projection, result_cards, doc_identity, query_prepare,
     enrich_keywords, enrich_characters, clean_role, enrich_director, enrich_join,
     tokenize, tokenize_by_lang, stopword_filter, stem_vocabulary, term_frequency, bm25_stats, token_options,
-    fts_match, keyword_search, keyword_search_items, native_search, bm25_search, bm25_fielded, infix_search, title_lookup,
+    fts_match, keyword_search, keyword_search_items, native_search, bm25_search, bm25_incremental, bm25_fielded, infix_search, title_lookup,
     fuzzy_terms, fuzzy_search,
     hash_embed, hash_embed_fields, vector_search, vector_search_l2, vector_within, vector_search_cells,
     vector_search_cells_full,
