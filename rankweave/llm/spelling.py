@@ -79,128 +79,128 @@ def placements(vocab: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Bidirectional FM-index of '#w1#w2#...#' (and its reverse) over dense symbols: 0 end, 1 '#', 2.. letters."""
+    """Bidirectional FM-index of '#w1#w2#...#' (and its reverse) over dense symbols: 0 end, 1 '#', 2.. letters.
+
+    `rank_f[i, c]` counts the symbols smaller than c among the first i of the
+    forward text's Burrows-Wheeler transform, `rank_r` the same for the reverse
+    text; one table gives both the count of c and the count of smaller ones,
+    which the other interval of the pair needs. Searches run on arrays of states,
+    all queries of a call at once.
+    """
 
     def __init__(self, words: list[str]):
         letters = sorted({ch for w in words for ch in w})
         self.code = {ch: i + 2 for i, ch in enumerate(letters)}
         self.sigma = len(letters) + 2
         body = [1]
-        self.starts = []
+        starts = []
         for w in words:
-            self.starts.append(len(body) - 1)
+            starts.append(len(body) - 1)
             body += [self.code[ch] for ch in w] + [1]
         self.words = words
-        self.starts = np.array(self.starts)
+        self.starts = np.array(starts, dtype=np.int64)
         forward = np.array(body + [0], dtype=np.int64)
         backward = np.array(body[::-1] + [0], dtype=np.int64)
         self.sa = suffix_array(forward)
-        self.occ_f = occurrences(forward, self.sa, self.sigma)
-        self.occ_r = occurrences(backward, suffix_array(backward), self.sigma)
+        self.rank_f = ranks(forward, self.sa, self.sigma)
+        self.rank_r = ranks(backward, suffix_array(backward), self.sigma)
         counts = np.bincount(forward, minlength=self.sigma)
         self.before = np.r_[0, np.cumsum(counts)[:-1]]
         self.n = len(forward)
 
-    def left(self, s: tuple, c: int) -> tuple | None:
-        lo, hi, rlo, rhi = s
-        counts = self.occ_f[hi] - self.occ_f[lo]
-        if not counts[c]:
-            return None
-        nlo = self.before[c] + self.occ_f[lo, c]
-        r = rlo + counts[:c].sum()
-        return nlo, nlo + counts[c], r, r + counts[c]
-
-    def right(self, s: tuple, c: int) -> tuple | None:
-        lo, hi, rlo, rhi = s
-        counts = self.occ_r[rhi] - self.occ_r[rlo]
-        if not counts[c]:
-            return None
-        nr = self.before[c] + self.occ_r[rlo, c]
-        f = lo + counts[:c].sum()
-        return f, f + counts[c], nr, nr + counts[c]
-
-    def letters_left(self, s: tuple) -> np.ndarray:
-        counts = self.occ_f[s[1]] - self.occ_f[s[0]]
-        return np.flatnonzero(counts[2:]) + 2
-
-    def letters_right(self, s: tuple) -> np.ndarray:
-        counts = self.occ_r[s[3]] - self.occ_r[s[2]]
-        return np.flatnonzero(counts[2:]) + 2
-
-    def found(self, s: tuple) -> list[str]:
-        """Words whose opening '#' starts the occurrences of the interval."""
-        return [self.words[i] for i in np.searchsorted(self.starts, self.sa[s[0]:s[1]])]
+    def grow(self, a_lo, a_hi, b_lo, b_hi, c, rank):
+        """Extend by c on the side whose transform `rank` counts: b is that index's interval, a the other's."""
+        size = (rank[b_hi, c + 1] - rank[b_hi, c]) - (rank[b_lo, c + 1] - rank[b_lo, c])
+        nb = self.before[c] + rank[b_lo, c + 1] - rank[b_lo, c]
+        na = a_lo + rank[b_hi, c] - rank[b_lo, c]
+        return na, na + size, nb, nb + size, size
+
+    def search(self, queries: list[str], scheme: str) -> list[tuple[int, int]]:
+        """(query number, word number) of words at exactly one edit whose half stays whole: first ('p') or last ('s')."""
+        if not queries:
+            return []
+        width = max(map(len, queries))
+        codes = np.full((len(queries), width), -1, np.int64)
+        for i, q in enumerate(queries):
+            own = [self.code.get(ch, -1) for ch in (q if scheme == "p" else q[::-1])]
+            codes[i, :len(own)] = own
+        length = np.array([len(q) for q in queries])
+        exact = length // 2 if scheme == "p" else length - length // 2
+        # Engine direction: 'p' grows to the right (reverse transform), 's' to the left (forward transform).
+        rank = self.rank_r if scheme == "p" else self.rank_f
+        n = self.n
+        q = np.arange(len(queries))
+        a_lo, a_hi, b_lo, b_hi, size = self.grow(np.zeros_like(q), np.full_like(q, n), np.zeros_like(q), np.full_like(q, n),
+                                                 np.ones_like(q), rank)
+        for t in range(width):
+            on = (exact > t) & (size > 0)
+            c = codes[:, t]
+            go = on & (c >= 0)
+            grown = self.grow(a_lo[go], a_hi[go], b_lo[go], b_hi[go], c[go], rank)
+            for arr, new in zip((a_lo, a_hi, b_lo, b_hi, size), grown):
+                arr[go] = new
+            size[on & (c < 0)] = 0
+        keep = size > 0
+        state = [q[keep], exact[keep], np.zeros(keep.sum(), np.int64), a_lo[keep], a_hi[keep], b_lo[keep], b_hi[keep]]
+        found = []
+        while len(state[0]):
+            qi, j, err, alo, ahi, blo, bhi = state
+            nxt = []
+            end = j == length[qi]
+            # Ends: close with '#', after one error, or after one inserted letter at the end.
+            fin = end & (err == 1)
+            found.append(self._close(qi[fin], alo[fin], ahi[fin], blo[fin], bhi[fin], rank, scheme))
+            tail = end & (err == 0)
+            if tail.any():
+                iq, x, lo2 = self._letters(qi[tail], alo[tail], ahi[tail], blo[tail], bhi[tail], rank)
+                found.append(self._close(iq, *lo2, rank, scheme))
+            go = ~end
+            qi, j, err, alo, ahi, blo, bhi = (v[go] for v in (qi, j, err, alo, ahi, blo, bhi))
+            c = codes[qi, j]
+            ok = c >= 0
+            m = self.grow(alo[ok], ahi[ok], blo[ok], bhi[ok], c[ok], rank)
+            live = m[4] > 0
+            nxt.append([qi[ok][live], j[ok][live] + 1, err[ok][live], *(v[live] for v in m[:4])])
+            free = err == 0
+            if free.any():
+                # Deletion: the word lacks q[j].
+                nxt.append([qi[free], j[free] + 1, np.ones(free.sum(), np.int64), alo[free], ahi[free], blo[free], bhi[free]])
+                iq, x, grown = self._letters(qi[free], alo[free], ahi[free], blo[free], bhi[free], rank)
+                jj = j[free][iq[1]]
+                sub = x != codes[iq[0], jj]
+                ones = np.ones(len(x), np.int64)
+                nxt.append([iq[0][sub], jj[sub] + 1, ones[sub], *(v[sub] for v in grown)])   # replaced
+                nxt.append([iq[0], jj, ones, *grown])                                         # inserted
+            state = [np.concatenate(parts) for parts in zip(*nxt)] if nxt else [np.array([], np.int64)] * 7
+        pairs = np.concatenate([f for f in found if len(f)]) if any(len(f) for f in found) else np.empty((0, 2), np.int64)
+        return sorted(set(map(tuple, pairs.tolist())))
+
+    def _letters(self, qi, alo, ahi, blo, bhi, rank):
+        """Every (state, letter) that the interval continues with, and the grown intervals."""
+        counts = np.diff(rank[bhi], axis=1) - np.diff(rank[blo], axis=1)
+        counts[:, :2] = 0
+        at, x = np.nonzero(counts)
+        grown = self.grow(alo[at], ahi[at], blo[at], bhi[at], x, rank)
+        return (qi[at], at), x, grown[:4]
+
+    def _close(self, qi, alo, ahi, blo, bhi, rank, scheme):
+        """(query, word) pairs for the intervals that a closing '#' keeps."""
+        if isinstance(qi, tuple):
+            qi = qi[0]
+        if not len(qi):
+            return np.empty((0, 2), np.int64)
+        a_lo, a_hi, b_lo, b_hi, size = self.grow(alo, ahi, blo, bhi, np.ones_like(qi), rank)
+        live = size > 0
+        lo = (a_lo if scheme == "p" else b_lo)[live]
+        many = size[live]
+        rows = np.repeat(np.arange(len(lo)), many)
+        place = lo[rows] + (np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many))
+        word = np.searchsorted(self.starts, self.sa[place])
+        return np.c_[qi[live][rows], word]
 
     def near(self, q: str, scheme: str) -> set[str]:
         """Words at exactly one edit from q whose half stays whole: the first ('p') or the last ('s')."""
-        codes = [self.code.get(ch, -1) for ch in q]
-        m, out = len(q) // 2, set()
-        whole = (0, self.n, 0, self.n)
-        if scheme == "p":
-            s = self.right(whole, 1)
-            for c in codes[:m]:
-                s = s and c >= 0 and self.right(s, c) or None
-            if s:
-                self._right(s, codes, m, 0, out)
-        else:
-            s = self.left(whole, 1)
-            for c in codes[m:][::-1]:
-                s = s and c >= 0 and self.left(s, c) or None
-            if s:
-                self._left(s, codes, m - 1, 0, out)
-        return out
-
-    def _right(self, s, codes, j, errors, out):
-        if j == len(codes):
-            if errors:
-                end = self.right(s, 1)
-                if end:
-                    out.update(self.found(end))
-                return
-            for c in self.letters_right(s):
-                grown = self.right(s, c)
-                end = grown and self.right(grown, 1)
-                if end:
-                    out.update(self.found(end))
-            return
-        c = codes[j]
-        if c >= 0:
-            grown = self.right(s, c)
-            if grown:
-                self._right(grown, codes, j + 1, errors, out)
-        if not errors:
-            self._right(s, codes, j + 1, 1, out)
-            for b in self.letters_right(s):
-                grown = self.right(s, b)
-                if b != c:
-                    self._right(grown, codes, j + 1, 1, out)
-                self._right(grown, codes, j, 1, out)
-
-    def _left(self, s, codes, j, errors, out):
-        if j < 0:
-            if errors:
-                end = self.left(s, 1)
-                if end:
-                    out.update(self.found(end))
-                return
-            for c in self.letters_left(s):
-                grown = self.left(s, c)
-                end = grown and self.left(grown, 1)
-                if end:
-                    out.update(self.found(end))
-            return
-        c = codes[j]
-        if c >= 0:
-            grown = self.left(s, c)
-            if grown:
-                self._left(grown, codes, j - 1, errors, out)
-        if not errors:
-            self._left(s, codes, j - 1, 1, out)
-            for b in self.letters_left(s):
-                grown = self.left(s, b)
-                if b != c:
-                    self._left(grown, codes, j - 1, 1, out)
-                self._left(grown, codes, j, 1, out)
+        return {self.words[w] for _, w in self.search([q], scheme)}
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -219,12 +219,12 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         k *= 2
 
 
-def occurrences(t: np.ndarray, sa: np.ndarray, sigma: int) -> np.ndarray:
-    """occ[i, c]: how often c stands in the first i symbols of the Burrows-Wheeler transform."""
+def ranks(t: np.ndarray, sa: np.ndarray, sigma: int) -> np.ndarray:
+    """rank[i, c]: how many of the first i symbols of the Burrows-Wheeler transform are smaller than c (c up to sigma)."""
     bwt = t[sa - 1]
-    occ = np.zeros((len(t) + 1, sigma), np.int32)
-    occ[np.arange(1, len(t) + 1), bwt] = 1
-    return np.cumsum(occ, axis=0, dtype=np.int32)
+    occ = np.zeros((len(t) + 1, sigma + 1), np.int32)
+    occ[np.arange(1, len(t) + 1), bwt + 1] = 1
+    return np.cumsum(np.cumsum(occ, axis=0, dtype=np.int32), axis=1, dtype=np.int32)
 
 
 def search_bucket(rows: pd.DataFrame) -> pd.DataFrame:
@@ -234,8 +234,9 @@ def search_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     if indexed:
         index = Index(indexed)
         asks = rows.loc[rows["role"] == "q", ["scheme", "word"]].drop_duplicates()
-        for scheme, q in asks.itertuples(index=False):
-            pairs.update((q, w) for w in index.near(q, scheme))
+        for scheme, part in asks.groupby("scheme"):
+            queries = part["word"].tolist()
+            pairs.update((queries[i], index.words[w]) for i, w in index.search(queries, scheme))
     return pd.DataFrame(sorted(pairs), columns=["word", "near"])
 
 
