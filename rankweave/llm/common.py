@@ -31,18 +31,35 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in ddl.split(", "))])
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Names like `wanted` that no column of `taken` has (compared without case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        candidate, n = name, 0
+        while candidate.lower() in used:
+            n += 1
+            candidate = f"{name}_{n}"
+        used.add(candidate.lower())
+        out.append(candidate)
+    return out
+
+
 def chosen_rows(docs: DataFrame, id_col: str, mark: Column, chosen: DataFrame, chosen_id: str, chosen_mark: str) -> DataFrame:
-    """One row of `docs` for each (id, mark) in `chosen`, with all its columns; null ids are equal.
+    """One row per (id, mark) in `chosen` of `docs`, with all its columns as they were; null ids are equal.
 
-    Join and window use the same keys, so the rows move once.
+    Join and window use the same keys, so the rows move once. Helper columns take
+    names that no column of `docs` has, and the result keeps `docs`' columns by
+    position, so any name (clashing or odd) passes unchanged.
     """
-    keys = ["__rw_id", "__rw_mark"]
+    width = len(docs.columns)
+    places = [f"__rw_c{i}" for i in range(width)]
+    key, flag, row = free_names(places, "__rw_id", "__rw_mark", "__rw_row")
     plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    own = docs.withColumns({keys[0]: plain(docs[id_col]), keys[1]: mark})
-    wanted = chosen.select(plain(chosen[chosen_id]).alias(keys[0]), chosen[chosen_mark].alias(keys[1]))
-    rows = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
-    return own.join(wanted, keys, "left_semi").withColumn("__rw_row", rows).filter("__rw_row = 1").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select("*", plain(docs[id_col]).alias("__rw_key"), mark.alias("__rw_flag")).toDF(*places, key, flag)
+    wanted = chosen.select(plain(chosen[chosen_id]).alias(key), chosen[chosen_mark].alias(flag))
+    rows = F.row_number().over(Window.partitionBy(key, flag).orderBy(key, flag))
+    kept = own.join(wanted, [key, flag], "left_semi").withColumn(row, rows).filter(F.col(row) == 1)
+    return kept.select(*places).toDF(*docs.columns)
 
 
 def byte_symbols() -> dict[str, int]:

@@ -228,5 +228,15 @@ def test_trie_of_nothing(spark):
     assert prefix_trie.prefix_trie(empty).count() == 0
 
 
+def test_kept_rows_leave_clashing_columns_alone(spark):
+    from rankweave.llm import exact_dedup
+
+    rows = [(1, "a b", "x1", 7, "k"), (2, "a  b", "x2", 8, "l"), (3, "c", "x3", 9, "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __rw_id string, __rw_mark long, `odd``name` string")
+    kept = exact_dedup.exact_dedup(df)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+
+
 if __name__ == "__main__":
     sys.exit(pytest.main([__file__, "-q"]))
