@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import enrichment, scalars, vectors
 from rankweave.functions.text import Analyzer, by_language, stems, tokens, trigrams, without_stop_words
-from rankweave.operators import fusion, fuzzy, items, knn, lexical, reports, topk
+from rankweave.operators import fusion, fuzzy, items, knn, lexical, pq, reports, topk
 from rankweave.operators.enrich import enrich, nest_payload, reduce_payload
 from rankweave.plans import pipeline, segments
 from rankweave.plans.index import TermIndex, build_index
@@ -578,6 +578,20 @@ def vector_search_cells_full(spark, sf_dir):
     return ranked(knn.nearest_in_cells(index, search_queries(spark, sf_dir), 20, probes=len(index.centers)))
 
 
+def pq_index(spark, sf_dir):
+    """Product-quantised vectors: 16 one-byte codes a vector, codebooks from at most pq.TRAIN_ROWS."""
+    return made_once(spark, sf_dir, "pq", lambda path: pq.build_pq(vector_corpus(spark, sf_dir), 16, 256, path, dim=DIM))
+
+
+PQ_RERANK = 50
+
+
+def vector_search_pq(spark, sf_dir):
+    """Approximate scan of the codes, exact re-rank of the best 50 per query; no SQL gives its
+    candidates, so it is held against exact search (recall) in tests/test_pq.py and the bench."""
+    return ranked(pq.nearest_pq(pq_index(spark, sf_dir), search_queries(spark, sf_dir), 20, rerank=PQ_RERANK))
+
+
 # Hybrid search
 
 def some_without_vector(spark, sf_dir):
@@ -729,6 +743,8 @@ QUERIES = {f.__name__: f for f in (
     index_pipeline, retrieve_batch, cosine_sql_udf,
 )}
 QUERIES["metadata_pack"] = metadata_rows
+# Approximate answers: registered, held against exact search instead of SQL.
+APPROXIMATE = {"vector_search_pq": vector_search_pq}
 QUERIES["trigrams"] = vocabulary_trigrams
 QUERIES |= {name: metric(key) for name, key in (
     ("cosine_similarity", "cosine"), ("l2_distance", "l2"), ("inner_product", "inner_product"))}
