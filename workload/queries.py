@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import enrichment, scalars, vectors
 from rankweave.functions.text import Analyzer, by_language, stems, tokens, trigrams, without_stop_words
-from rankweave.operators import fusion, fuzzy, items, knn, lexical, pq, reports, topk
+from rankweave.operators import fusion, fuzzy, items, knn, lexical, maxscore, pq, reports, topk
 from rankweave.operators.enrich import enrich, nest_payload, reduce_payload
 from rankweave.plans import pipeline, segments
 from rankweave.plans.index import TermIndex, build_index
@@ -442,6 +442,20 @@ def bm25_search(spark, sf_dir):
     return ranked(lexical.bm25_search(search_queries(spark, sf_dir), document_index(spark, sf_dir)))
 
 
+def bm25_bounds(spark, sf_dir):
+    """Largest BM25 tf part of each block of 64 doc_ids of each term: written once with the index."""
+    def make(path):
+        maxscore.block_bounds(document_index(spark, sf_dir)).write.parquet(path)
+        return spark.read.parquet(path)
+    return made_once(spark, sf_dir, "bm25-bounds", make)
+
+
+def bm25_top_k(spark, sf_dir):
+    """The answers of bm25_search, skipping blocks and postings that cannot reach the top 20."""
+    index = document_index(spark, sf_dir)
+    return ranked(maxscore.bm25_top_k(search_queries(spark, sf_dir), index, bm25_bounds(spark, sf_dir), 20))
+
+
 def grown_index(spark, sf_dir) -> segments.Segments:
     """The documents added in two batches, benchmark texts upserted over them, one source deleted, then merged."""
     def make(path):
@@ -733,7 +747,7 @@ QUERIES = {f.__name__: f for f in (
     vector_validate, genres_normalise, hit_projection, result_cards, doc_identity, query_prepare,
     enrich_keywords, enrich_characters, clean_role, enrich_director, enrich_join,
     tokenize, tokenize_by_lang, stopword_filter, stem_vocabulary, term_frequency, bm25_stats, token_options,
-    fts_match, keyword_search, keyword_search_items, native_search, bm25_search, bm25_incremental, bm25_fielded, infix_search, title_lookup,
+    fts_match, keyword_search, keyword_search_items, native_search, bm25_search, bm25_top_k, bm25_incremental, bm25_fielded, infix_search, title_lookup,
     fuzzy_terms, fuzzy_search,
     hash_embed, hash_embed_fields, vector_search, vector_search_l2, vector_within, vector_search_cells,
     vector_search_cells_full,
