@@ -15,12 +15,12 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.operators import knn
+from rankweave.operators import knn, pq
 from rankweave.plans.index import build_index
 from workload import queries as w
 
 NAMES = (
-    "bm25_search", "keyword_search", "native_search", "fuzzy_search", "vector_search", "vector_search_cells",
+    "bm25_search", "bm25_top_k", "keyword_search", "native_search", "fuzzy_search", "vector_search", "vector_search_cells", "vector_search_pq",
     "hybrid_rrf", "hybrid_weighted", "score_breakdown", "retrieve_batch", "compare_strategies",
     "content_document", "enrich_join", "item_defaults", "metadata_unpack", "facet_year",
 )
@@ -52,7 +52,7 @@ def main() -> None:
     docs = w.documents(spark, sf_dir)
     results = {"index_build": timed(lambda: build_index(docs, {"content": F.col("text")}), 1)}
     for name in NAMES:
-        results[name] = timed(lambda: w.QUERIES[name](spark, sf_dir).collect())
+        results[name] = timed(lambda: {**w.QUERIES, **w.APPROXIMATE}[name](spark, sf_dir).collect())
 
     # An approximate search says how much it found and how much it looked at.
     exact = w.vector_search(spark, sf_dir).select("query_id", "doc_id")
@@ -60,10 +60,17 @@ def main() -> None:
     recall = exact.join(near, ["query_id", "doc_id"]).count() / exact.count()
     cells = w.given_cells(spark, sf_dir)
     share = knn.scanned_share(cells, w.search_queries(spark, sf_dir), w.probes_of(cells))
+    found = exact.join(w.vector_search_pq(spark, sf_dir).select("query_id", "doc_id"), ["query_id", "doc_id"]).count()
+    index, asked = w.pq_index(spark, sf_dir), w.search_queries(spark, sf_dir).filter("query_vec IS NOT NULL")
+    one = asked.orderBy("query_id").limit(10).toArrow()  # bytes of a search of one query, over ten of them
+    shares = [pq.bytes_read(index, pq._candidates(index, one.slice(i, 1), w.PQ_RERANK))["share"] for i in range(one.num_rows)]
+    block = pq.bytes_read(index, pq._candidates(index, asked.toArrow(), w.PQ_RERANK))["share"]
     print(json.dumps({
         "metric": "headline queries, warm median", "value": round(sum(results.values()), 3), "unit": "sec",
         "queries": results, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
         "cells_recall": round(recall, 4), "cells_scanned_share": round(share, 4),
+        "pq_recall": round(found / exact.count(), 4), "pq_bytes_share_one_query": round(statistics.mean(shares), 4),
+        "pq_bytes_share_all_queries": round(block, 4),
     }))
 
 
