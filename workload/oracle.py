@@ -408,6 +408,11 @@ kept_docs AS (SELECT * FROM final_docs WHERE doc_id NOT IN (SELECT doc_id FROM d
     q["bm25_top_k"] = q["bm25_search"]  # skipping must not change an answer
     q["hit_counts"] = with_(SEARCH_QUERIES, POSTINGS, query_terms(), BM25_SCORES, top("t", "bm25", 20)) + "SELECT query_id, count(doc_id) AS hits FROM queries LEFT JOIN t USING (query_id) GROUP BY query_id"
     q["infix_search"] = "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'tioner')"
+    q["infix_indexed"] = """WITH needles AS (
+        SELECT item_id * 2 AS needle_id, lower(substring(text, 11, 8)) AS needle FROM benchmark
+        UNION ALL SELECT item_id * 2 + 1, lower(substring(text, 3, 2)) FROM benchmark)
+      SELECT needle_id, doc_id FROM needles JOIN documents ON contains(lower(text), needle)
+      WHERE needle IS NOT NULL AND needle <> ''"""
     q["title_lookup"] = "SELECT p_partkey, p_name AS title FROM part WHERE p_name = 'red widget'"
 
     q["trigrams"] = with_(SIMPLE_TOKENS, VOCABULARY, trigram_block("tg", "vocabulary", "term")) + "SELECT term, trigram FROM tg"

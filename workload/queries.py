@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import enrichment, scalars, vectors
 from rankweave.functions.text import Analyzer, by_language, stems, tokens, trigrams, without_stop_words
-from rankweave.operators import fusion, fuzzy, items, knn, lexical, maxscore, pq, reports, topk
+from rankweave.operators import fusion, fuzzy, grams, items, knn, lexical, maxscore, pq, reports, topk
 from rankweave.operators.enrich import enrich, nest_payload, reduce_payload
 from rankweave.plans import pipeline, segments
 from rankweave.plans.index import TermIndex, build_index
@@ -456,6 +456,26 @@ def bm25_top_k(spark, sf_dir):
     return ranked(maxscore.bm25_top_k(search_queries(spark, sf_dir), index, bm25_bounds(spark, sf_dir), 20))
 
 
+def needles(spark, sf_dir) -> DataFrame:
+    """Two needles per benchmark item: eight code points from its eleventh, and two from its third."""
+    bench = table(spark, sf_dir, "benchmark")
+    return bench.select((F.col("item_id") * 2).alias("needle_id"), F.substring("text", 11, 8).alias("needle")).unionByName(
+        bench.select((F.col("item_id") * 2 + 1).alias("needle_id"), F.substring("text", 3, 2).alias("needle")))
+
+
+def gram_index(spark, sf_dir):
+    def make(path):
+        index = grams.build_gram_index(documents(spark, sf_dir))
+        index.grams.write.parquet(f"{path}/grams")
+        index.counts.write.parquet(f"{path}/counts")
+        return grams.GramIndex(spark.read.parquet(f"{path}/grams"), spark.read.parquet(f"{path}/counts"), index.texts)
+    return made_once(spark, sf_dir, "grams", make)
+
+
+def infix_indexed(spark, sf_dir):
+    return grams.infix_indexed(needles(spark, sf_dir), gram_index(spark, sf_dir))
+
+
 def grown_index(spark, sf_dir) -> segments.Segments:
     """The documents added in two batches, benchmark texts upserted over them, one source deleted, then merged."""
     def make(path):
@@ -747,7 +767,7 @@ QUERIES = {f.__name__: f for f in (
     vector_validate, genres_normalise, hit_projection, result_cards, doc_identity, query_prepare,
     enrich_keywords, enrich_characters, clean_role, enrich_director, enrich_join,
     tokenize, tokenize_by_lang, stopword_filter, stem_vocabulary, term_frequency, bm25_stats, token_options,
-    fts_match, keyword_search, keyword_search_items, native_search, bm25_search, bm25_top_k, bm25_incremental, bm25_fielded, infix_search, title_lookup,
+    fts_match, keyword_search, keyword_search_items, native_search, bm25_search, bm25_top_k, bm25_incremental, bm25_fielded, infix_search, infix_indexed, title_lookup,
     fuzzy_terms, fuzzy_search,
     hash_embed, hash_embed_fields, vector_search, vector_search_l2, vector_within, vector_search_cells,
     vector_search_cells_full,
