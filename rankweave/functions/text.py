@@ -251,7 +251,7 @@ def _known_stems() -> dict[str, str]:
     return {}
 
 
-def _stem_lists(words: pa.Array) -> pa.Array:
+def stem_lists(words: pa.Array) -> pa.Array:
     """Arrays of words to arrays of stems: every different word of a batch is stemmed once."""
     coded = words.flatten().dictionary_encode()
     known = _known_stems()
@@ -272,7 +272,7 @@ def _stem_lists(words: pa.Array) -> pa.Array:
 
 def english_stems(words: Column) -> Column:
     """`stems` for English by distinct words, for whole corpora."""
-    return F.arrow_udf(_stem_lists, ArrayType(StringType()))(words)
+    return F.arrow_udf(stem_lists, ArrayType(StringType()))(words)
 
 
 def stems(words: Column, language: str) -> Column:
@@ -297,12 +297,15 @@ class Analyzer:
     separators: tuple[str, ...] = ()
     symbols: tuple[str, ...] = ()
 
-    def marked(self, text: Column) -> Column:
-        """One entry per token: its stem, or null for a stop word."""
+    def unstemmed(self, text: Column) -> Column:
+        """One entry per token: the token, or null for a stop word."""
         words = tokens(text, self.separators, self.symbols)
         stop = stop_words(self.language)
-        if stop:
-            words = F.transform(words, lambda t: F.when(~t.isin(*stop), t))
+        return F.transform(words, lambda t: F.when(~t.isin(*stop), t)) if stop else words
+
+    def marked(self, text: Column) -> Column:
+        """One entry per token: its stem, or null for a stop word."""
+        words = self.unstemmed(text)
         return english_stems(words) if full_language(self.language) == "english" else stems(words, self.language)
 
     def terms(self, text: Column) -> Column:

@@ -21,16 +21,23 @@ import hashlib
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from rankweave.functions.text import Analyzer
+from rankweave.functions.text import Analyzer, full_language, stem_lists
 from rankweave.session import workspace
 
-#: Text of a shard, and term buckets: files of about 128 MB.
-SHARD_BYTES = 512 << 20
+#: Text of a shard: a task that builds or scores it stays short and keeps its sums in memory.
+SHARD_BYTES = 32 << 20
 MIN_SHARDS, BUCKETS = 8, 4
+#: Tokens counted at a time inside a task, one text at least.
+BATCH_TOKENS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -49,39 +56,68 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.hash(term), F.lit(buckets))
 
 
-def occurrences(corpus: DataFrame, fields: dict[str, Column], analyzer: Analyzer) -> DataFrame:
-    """(field, doc_id, occ, doc_len): sorted occurrences, still one row per text."""
+def by_field(corpus: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """(field, doc_id, text): one row per text."""
     texts = [F.struct(F.lit(name).alias("field"), col.alias("text")) for name, col in fields.items()]
-    if len(texts) == 1:
-        (name, col), = fields.items()
-        rows = corpus.select(F.lit(name).alias("field"), "doc_id", col.alias("text"))
-    else:
-        rows = corpus.select("doc_id", F.inline(F.array(*texts)))
-    return rows.select("field", "doc_id", analyzer.occurrences(F.col("text")).alias("occ")).select(
-        "field", "doc_id", "occ", F.size("occ").alias("doc_len")
-    )
-
-
-def postings_of(occ: DataFrame) -> DataFrame:
-    """Count terms by runs in the sorted occurrences: no shuffle, linear time."""
-    starts = F.filter(
-        F.when(F.col("doc_len") > 0, F.sequence(F.lit(0), F.col("doc_len") - 1)),
-        lambda i: (i == 0) | (F.get("occ", i)["term"] != F.get("occ", i - 1)["term"]),
-    )
-    runs = occ.withColumn("starts", starts)
-    entry = F.transform(
-        "starts",
-        lambda s, i: F.struct(
-            F.get("occ", s)["term"].alias("term"),
-            F.transform(
-                F.slice("occ", s + 1, F.coalesce(F.get("starts", i + 1), F.col("doc_len")) - s),
-                lambda o: o["pos"],
-            ).alias("positions"),
-        ),
-    )
-    return runs.select("field", "doc_id", "doc_len", F.inline(entry)).select(
-        "field", "term", "doc_id", F.size("positions").alias("tf"), "doc_len", "positions"
+    if len(texts) > 1:
+        return corpus.select("doc_id", F.inline(F.array(*texts))).select("field", "doc_id", "text")
+    (name, col), = fields.items()
+    return corpus.select(F.lit(name).alias("field"), "doc_id", col.alias("text"))
+
+
+def doc_lengths(corpus: DataFrame, fields: dict[str, Column], analyzer: Analyzer) -> DataFrame:
+    """(field, doc_id, doc_len): terms of each text; stemming does not change their number."""
+    kept = F.filter(analyzer.unstemmed(F.col("text")), lambda t: t.isNotNull())
+    return by_field(corpus, fields).select("field", "doc_id", F.size(kept).alias("doc_len"))
+
+
+def _counted(field: pa.Array, doc_id: pa.Array, words: pa.ListArray, schema: pa.Schema) -> pa.RecordBatch:
+    """Postings of some texts, from one stable sort of their tokens by (text, term)."""
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype("int64")
+    coded = words.flatten().dictionary_encode()
+    codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype("int64")
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    pos = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+    row, pos, codes = (x[codes >= 0] for x in (row, pos, codes))  # stop words only keep their place
+    doc_len = np.bincount(row, minlength=len(lengths))
+    key = row * max(1, len(coded.dictionary)) + codes
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    first, ends = order[starts], np.append(starts, len(order))
+    texts = pa.array(row[first])
+    columns = (
+        field.take(texts), coded.dictionary.take(pa.array(codes[first])), doc_id.take(texts), pa.array(np.diff(ends).astype("int32")),
+        pa.array(doc_len[row[first]].astype("int32")),
+        pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(pos[order].astype("int32"))),
     )
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def postings_of(corpus: DataFrame, fields: dict[str, Column], analyzer: Analyzer) -> DataFrame:
+    """Terms counted where the texts lie, some texts at a time: no shuffle."""
+    english = full_language(analyzer.language) == "english"
+    words = (analyzer.unstemmed if english else analyzer.marked)(F.col("text"))
+    rows = by_field(corpus, fields).select("field", "doc_id", words.alias("words"))
+    kind = T.StructType([
+        T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), T.StructField("doc_id", rows.schema["doc_id"].dataType),
+        T.StructField("tf", T.IntegerType()), T.StructField("doc_len", T.IntegerType()),
+        T.StructField("positions", T.ArrayType(T.IntegerType())),
+    ])
+    schema = to_arrow_schema(kind)
+
+    def count(batches):
+        for batch in batches:
+            tokens = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False).astype("int64"))
+            at = 0
+            while at < batch.num_rows:
+                before = tokens[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(tokens, before + BATCH_TOKENS, "right")))
+                part = batch.slice(at, end - at)
+                held = part.column("words")
+                yield _counted(part.column("field"), part.column("doc_id"), stem_lists(held) if english else held, schema)
+                at = end
+
+    return rows.mapInArrow(count, kind)
 
 
 def term_stats(postings: DataFrame, n_docs: int) -> DataFrame:
@@ -141,7 +177,7 @@ def build_index(
     n_docs, shards = measured["n"], shards or shards_for(measured["bytes"])
     name = catalog_name(path)
     placed = corpus.repartition(shards, "doc_id")
-    postings = postings_of(occurrences(placed, fields, analyzer))
+    postings = postings_of(placed, fields, analyzer)
     (
         postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
         .sortWithinPartitions("bucket", "term")

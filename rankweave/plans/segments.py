@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import Analyzer
-from rankweave.plans.index import BUCKETS, TermIndex, bucket_of, occurrences, postings_of
+from rankweave.plans.index import BUCKETS, TermIndex, bucket_of, doc_lengths, postings_of
 from rankweave.session import broadcast_if_small, workspace
 from rankweave.sources.corpus_store import newest
 
@@ -100,11 +100,10 @@ def _write_segment(index: Segments, folder: str, docs: DataFrame) -> int:
     """Postings, document lengths and document frequencies of `docs` (unique doc_id) in a new folder."""
     place = f"{index.path}/{folder}"
     fields = {name: F.col(column) for name, column in index.fields.items()}
-    postings = postings_of(occurrences(docs, fields, index.analyzer)).withColumn("bucket", bucket_of(F.col("term"), index.buckets))
+    postings = postings_of(docs, fields, index.analyzer).withColumn("bucket", bucket_of(F.col("term"), index.buckets))
     postings.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{place}/postings")
     written = index.spark.read.parquet(f"{place}/postings")
-    lengths = occurrences(docs, fields, index.analyzer).select("field", "doc_id", "doc_len")
-    lengths.write.parquet(f"{place}/docs")
+    doc_lengths(docs, fields, index.analyzer).write.parquet(f"{place}/docs")
     written.groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{place}/df")
     return index.spark.read.parquet(f"{place}/docs").select("doc_id").distinct().count()
 

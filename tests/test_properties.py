@@ -320,3 +320,28 @@ def test_cover_density_refuses_several_fields(queries, docs):
 
 def test_size_check(spark):
     assert session.holds_at_most(spark.range(10), 10) and not session.holds_at_most(spark.range(11), 10)
+
+
+def test_shards_stay_small():
+    """A shard is the work of one task: its text does not grow with the corpus."""
+    for size in (10 ** 9, 10 ** 10, 10 ** 12):
+        assert size / shards_for(size) <= 64 << 20
+
+
+def test_postings_of_odd_texts(spark, monkeypatch):
+    """Counting some tokens at a time gives the same postings: null, empty and stop-word texts, repeated ids."""
+    from rankweave.plans import index as ix
+
+    texts = [(1, "b a b the a b"), (2, None), (3, ""), (4, "the"), (4, "running runs the ran"), (None, "a1 zz"), (5, "dog " * 50)]
+    corpus = spark.createDataFrame(texts, "doc_id long, content string").coalesce(1)
+    count = lambda: sorted(((r.field, r.term, r.doc_id or 0, r.tf, r.doc_len, r.positions) for r in ix.postings_of(
+        corpus, {"x": F.col("content"), "y": F.lit("Run")}, Analyzer("english")).collect()))
+    want = count()
+    assert [w[1:] for w in want if w[0] == "x" and w[2] in (1, 4)] == [
+        ("b", 1, 3, 3, [1, 3, 6]), ("ran", 4, 1, 3, [4]), ("run", 4, 2, 3, [1, 2])]
+    assert ("x", "dog", 5, 50, 50, list(range(1, 51))) in want and sum(w[0] == "y" for w in want) == 7
+    lengths = ix.doc_lengths(corpus, {"x": F.col("content")}, Analyzer("english")).collect()
+    assert sorted((r.doc_id or 0, -1 if r.doc_len is None else r.doc_len) for r in lengths) == [
+        (0, 2), (1, 3), (2, -1), (3, 0), (4, 0), (4, 3), (5, 50)]
+    monkeypatch.setattr(ix, "BATCH_TOKENS", 3)
+    assert count() == want
