@@ -164,12 +164,23 @@ def native_search(queries: DataFrame, index: TermIndex, k: int | None = 20,
 
 
 def _native_search(queries: DataFrame, index: TermIndex, k: int | None, cover_length: float) -> DataFrame:
-    gathered = (
-        matches(queries, index, ["positions"])
-        .groupBy("query_id", "doc_id")
-        .agg(F.max("n_terms").alias("n_terms"), F.collect_list("positions").alias("lists"))
-        .filter(F.size("lists") == F.col("n_terms"))
-    )
+    # Positions are read for documents that hold all terms of some query only. Grouped by
+    # document, both sides lie in the shard; rows without an id, which no join finds, are few.
+    chosen = _all_terms_match(queries, index).groupBy("doc_id").agg(F.collect_set("query_id").alias("chosen"))
+    postings = index.postings.select("bucket", "term", "doc_id", "positions")
+    wanted = F.broadcast(query_terms(queries, index))
+    rows = postings.join(chosen.hint("shuffle_hash"), "doc_id").join(wanted, ["bucket", "term"]).filter(
+        F.array_contains("chosen", F.col("query_id")))
+    nameless = postings.filter("doc_id IS NULL").join(wanted, ["bucket", "term"])
+
+    def gather(rows: DataFrame) -> DataFrame:
+        return (
+            rows.groupBy("query_id", "doc_id")
+            .agg(F.max("n_terms").alias("n_terms"), F.collect_list("positions").alias("lists"))
+            .filter(F.size("lists") == F.col("n_terms"))
+        )
+
+    gathered = gather(rows).unionByName(gather(nameless))
     slots = F.transform(
         "lists", lambda positions, i: F.transform(positions, lambda p: F.struct(p.alias("pos"), i.alias("slot")))
     )

@@ -345,3 +345,17 @@ def test_postings_of_odd_texts(spark, monkeypatch):
         (0, 2), (1, 3), (2, -1), (3, 0), (4, 0), (4, 3), (5, 50)]
     monkeypatch.setattr(ix, "BATCH_TOKENS", 3)
     assert count() == want
+
+
+def test_positions_are_read_for_whole_matches_only(queries, docs, spark):
+    """Positions meet no document that lacks a term; a row without an id is still found."""
+    odd = docs.unionByName(docs.limit(1).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "content"))
+    ix = build_index(odd, {"content": F.col("content")}, Analyzer("simple"))
+    one = odd.filter("doc_id IS NULL").select(F.lit(-1).cast(queries.schema["query_id"].dataType).alias("query_id"), F.col("content").alias("q"))
+    asked = queries.select("query_id", "q").unionByName(one)
+    hits = lexical.native_search(asked, ix, None)
+    found = {(r.query_id, r.doc_id) for r in hits.collect()}
+    assert found == {(r.query_id, r.doc_id) for r in lexical.all_terms_match(asked, ix).collect()} and (-1, None) in found
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    gathered = plan[plan.index("collect_list(positions"):]
+    assert "collect_set(query_id" in gathered and gathered.index("Join") < gathered.index("collect_set(query_id")
