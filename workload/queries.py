@@ -198,16 +198,19 @@ ARRAY_KEYS = 10_000
 
 
 def array_files(part, keys=ARRAY_KEYS):
-    """value, file: a JSON array for every brand, size and block of keys, so that files grow in number and not in size."""
+    """value, file: a JSON array for every block of keys, so that files grow in number only as the blocks do.
+
+    Items without a key are placed by brand and size.
+    """
     item = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("overview"),
                     F.array("p_type").alias("genres"))
-    block = F.floor(F.col("p_partkey") / keys).alias("block")
-    files = part.groupBy("p_brand", "p_size", block).agg(F.to_json(F.collect_list(item)).alias("value"))
-    return files.select("value", F.concat_ws("-", "p_brand", F.col("p_size").cast("string"), F.col("block").cast("string")).alias("file"))
+    nameless = F.concat_ws("-", F.lit("none"), "p_brand", F.col("p_size").cast("string"))
+    block = F.coalesce(F.floor(F.col("p_partkey") / keys).cast("string"), nameless).alias("file")
+    return part.groupBy(block).agg(F.to_json(F.collect_list(item)).alias("value")).select("value", "file")
 
 
 def load_items_array(spark, sf_dir):
-    """Files that hold one JSON array each: one for every brand, size and block of keys."""
+    """Files that hold one JSON array each: one for every block of keys."""
     def make(path):
         array_files(table(spark, sf_dir, "part")).write.partitionBy("file").text(path)
         return path
@@ -467,8 +470,9 @@ def gram_index(spark, sf_dir):
     def make(path):
         index = grams.build_gram_index(documents(spark, sf_dir))
         index.grams.write.parquet(f"{path}/grams")
-        index.counts.write.parquet(f"{path}/counts")
-        return grams.GramIndex(spark.read.parquet(f"{path}/grams"), spark.read.parquet(f"{path}/counts"), index.texts)
+        lists = spark.read.parquet(f"{path}/grams")
+        grams.gram_counts(lists).write.parquet(f"{path}/counts")
+        return grams.GramIndex(lists, spark.read.parquet(f"{path}/counts"), index.texts)
     return made_once(spark, sf_dir, "grams", make)
 
 
