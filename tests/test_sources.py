@@ -126,3 +126,16 @@ def test_array_files_stay_bounded(spark):
     items = [[x["id"] for x in json.loads(r["value"])] for r in files]
     assert len({r["file"] for r in files}) == 10 and max(map(len, items)) == 100
     assert sorted(i for x in items for i in x) == list(range(1000))
+
+
+def test_array_files_grow_with_blocks_only(spark):
+    """Many brands and sizes do not multiply the files; items without a key keep theirs."""
+    import json
+
+    from workload import queries
+
+    part = spark.range(1000).selectExpr(
+        "IF(id % 100 = 0, null, id) AS p_partkey", "'n' AS p_name", "concat('b', id % 25) AS p_brand", "CAST(id % 50 AS int) AS p_size", "'t' AS p_type")
+    files = queries.array_files(part, 500).collect()
+    named = [r for r in files if not r["file"].startswith("none")]
+    assert len(named) == 2 and sum(len(json.loads(r["value"])) for r in files) == 1000
