@@ -5,12 +5,14 @@ placed by term, one short row each, and every term is compared with the query
 words where it lies, in Arrow batches with a broadcast trigram matrix; only pairs
 above the threshold go on.
 
-Documents are then scored in their shards: a batch of documents becomes a matrix
-of best similarities per word, that a matrix of scores per query, and k documents
-per query leave the task. No (query, document) pair is ever a row.
-
-Queries are taken in blocks, so that words and similar pairs of a block stay within
-a checked number.
+Documents are scored in their shards: the distinct terms of a slice of documents are
+compared with the query words, the documents become a matrix of best similarities per
+word, that a matrix of scores per query, and k documents per query leave the task. No
+(query, document) pair is ever a row, and no table of similar pairs, which grows with
+the vocabulary, is gathered: the corpus is read once for each block of queries.
+
+Queries are taken in blocks of a bounded number of words; a task holds a bounded number
+of similar pairs at a time.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ from rankweave.session import shuffle_partitions, written
 
 THRESHOLD = 0.2
 MAX_WORDS = 5_000              # distinct query words of a block
+WORD_ROWS = 20                 # and as many times their uses in queries
 CHUNK_CELLS = 2 << 20
-MAX_PAIRS = 8_000_000          # similar pairs of a block, 12 bytes each in numpy
+MAX_PAIRS = 8_000_000          # similar pairs a task holds at a time, 16 bytes each in numpy
 
 
 def query_words(queries: DataFrame) -> DataFrame:
@@ -133,52 +136,72 @@ def similar_terms(words: DataFrame, vocabulary: DataFrame, threshold: float = TH
     return reduce(DataFrame.unionByName, [named(m) if len(blocks) == 1 else written(named(m), "similar") for m in blocks])
 
 
+def trigram_lists(words: pa.Array) -> pa.ListArray:
+    """`text.trigrams` of each word, inside a task."""
+    grams = [list(dict.fromkeys(f"  {w} "[i:i + 3] for i in range(len(w) + 1))) for w in words.to_pylist()]
+    return pa.array(grams, pa.list_(pa.string()))
+
+
 class Similar:
-    """Similar pairs of a block by term, and the words of each query, for the tasks."""
-
-    def __init__(self, pairs: pa.Table, words: list[str], queries: pa.Table):
-        order = np.argsort(pairs["number"].to_numpy(), kind="stable")
-        terms = pairs["term"].combine_chunks().dictionary_encode().take(pa.array(order))
-        code = terms.indices.to_numpy()
-        order2 = np.argsort(code, kind="stable")
-        self.row_of = {t: i for i, t in enumerate(terms.dictionary.to_pylist())}
-        self.number = pairs["number"].to_numpy()[order][order2]
-        self.similarity = pairs["similarity"].to_numpy()[order][order2]
-        self.starts = np.searchsorted(code[order2], np.arange(len(self.row_of) + 1))
-        place = {w: i for i, w in enumerate(words)}
+    """The words of a block and of each of its queries; scores documents a slice at a time."""
+
+    def __init__(self, matrix: WordMatrix, queries: pa.Table):
+        self.matrix, self.most, self.cells = matrix, MAX_PAIRS, CHUNK_CELLS
+        place = {w: i for i, w in enumerate(matrix.words)}
         held = queries["words"].to_pylist()
         self.ids = queries["query_id"].to_numpy()
         self.columns = np.array([place[w] for ws in held for w in ws], dtype="int64")
         self.length = np.array([len(ws) for ws in held], dtype="int64")
         self.first = np.cumsum(self.length) - self.length
-        self.n_words = len(words)
-
-    def scores(self, terms: pa.ListArray) -> np.ndarray:
-        """score[document, query]: the mean over the query's words of the best similarity."""
+        self.n_words = len(matrix.words)
+
+    def pairs(self, terms: pa.Array, several: bool):
+        """(rows, words, similarities) of distinct terms, by row; None if there are too many for `several` documents."""
+        parts, size = [], 0
+        for rows, columns, similar in self.matrix.compare(trigram_lists(terms)):
+            parts.append((rows.astype("int32"), columns.astype("int32"), similar))
+            size += len(rows)
+            if several and size > self.most:
+                return None
+        return [np.concatenate(x) for x in zip(*parts)] or [np.array([], kind) for kind in ("int32", "int32", "float64")]
+
+    def feed(self, best: Best, ids: np.ndarray, terms: pa.ListArray) -> None:
+        """Score documents by the words that their own distinct terms resemble; too many pairs: half of them at a time."""
         coded = terms.flatten().dictionary_encode()
-        row_of = np.array([self.row_of.get(t, -1) for t in coded.dictionary.to_pylist()], dtype="int64")
-        rows = row_of[coded.indices.to_numpy()] if len(coded) else np.array([], "int64")
-        docs = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))[rows >= 0]
-        rows = rows[rows >= 0]
-        counts = self.starts[rows + 1] - self.starts[rows]
-        at = np.repeat(self.starts[rows] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        best = np.zeros((len(terms), self.n_words))
-        np.maximum.at(best, (np.repeat(docs, counts), self.number[at]), self.similarity[at])
-        return half_up(np.add.reduceat(best[:, self.columns], self.first, axis=1) / self.length)
+        pairs = self.pairs(coded.dictionary, len(ids) > 1)
+        if pairs is None:
+            half = len(ids) // 2
+            self.feed(best, ids[:half], terms.slice(0, half))
+            self.feed(best, ids[half:], terms.slice(half))
+            return
+        row, number, similarity = pairs
+        starts = np.searchsorted(row, np.arange(len(coded.dictionary) + 1))
+        code = coded.indices.to_numpy() if len(coded) else np.array([], "int64")
+        ends = np.concatenate([[0], np.cumsum(np.diff(terms.offsets.to_numpy()))])
+        every = np.arange(len(self.ids))
+        step = max(1, self.cells // max(1, self.n_words, len(self.columns)))
+        for at in range(0, len(ids), step):
+            end = min(at + step, len(ids))
+            rows = code[ends[at]:ends[end]]
+            docs = np.repeat(np.arange(end - at), np.diff(ends[at:end + 1]))
+            counts = starts[rows + 1] - starts[rows]
+            place = np.repeat(starts[rows] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            near = np.zeros((end - at, self.n_words))
+            np.maximum.at(near, (np.repeat(docs, counts), number[place]), similarity[place])
+            scores = half_up(np.add.reduceat(near[:, self.columns], self.first, axis=1) / self.length)
+            best.add(ids[at:end], scores, every, 10.0 ** -6)
 
 
 def _search_block(queries: DataFrame, index: TermIndex, k: int, threshold: float) -> DataFrame:
     spark = queries.sparkSession
     asked = queries.select("query_id", F.array_distinct(tokens(F.col("q"))).alias("words")).filter("size(words) > 0").toArrow()
     words = sorted({w for ws in asked["words"].to_pylist() for w in ws})
-    grams = spark.createDataFrame([(w,) for w in words], "word string").select("word", trigrams(F.col("word")).alias("g"))
-    matrix = WordMatrix(grams.toArrow(), threshold)
-    pairs = written(similar_pairs(matrix, vocabulary_of(index)), "similar")
-    if asked.num_rows > 1 and (pairs.count() > MAX_PAIRS or len(matrix.words) > 2 * MAX_WORDS):
+    if asked.num_rows > 1 and len(words) > 2 * MAX_WORDS:
         half = F.pmod(F.xxhash64("query_id", F.lit(asked.num_rows)), F.lit(2))
         return _search_block(queries.filter(half == 0), index, k, threshold).unionByName(
             _search_block(queries.filter(half == 1), index, k, threshold))
-    shared = spark.sparkContext.broadcast(Similar(pairs.toArrow(), matrix.words, asked))
+    grams = spark.createDataFrame([(w,) for w in words], "word string").select("word", trigrams(F.col("word")).alias("g"))
+    shared = spark.sparkContext.broadcast(Similar(WordMatrix(grams.toArrow(), threshold), asked))
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
                            T.StructField("doc_id", index.postings.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
@@ -186,12 +209,9 @@ def _search_block(queries: DataFrame, index: TermIndex, k: int, threshold: float
     def search(batches):
         block = shared.value
         best = Best(len(block.ids), k)
-        every = np.arange(len(block.ids))
-        step = max(1, CHUNK_CELLS // max(1, block.n_words, len(block.columns)))
         for batch in batches:
-            ids, terms = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("terms")
-            for at in range(0, len(ids) if len(block.ids) else 0, step):
-                best.add(ids[at:at + step], block.scores(terms.slice(at, step)), every, 10.0 ** -6)
+            if len(block.ids) and batch.num_rows:
+                block.feed(best, batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("terms"))
         yield pa.RecordBatch.from_arrays(best_rows(best, block.ids, "cosine", arrow), schema=arrow)
 
     # A document's postings lie in one shard: this grouping needs no shuffle.
@@ -205,7 +225,8 @@ def fuzzy_search(queries: DataFrame, index: TermIndex, k: int = 20, threshold: f
     The mean runs over the query's distinct words, each with its most similar word of
     the document. Expects a `simple` index, whose terms are the words as written.
     """
-    n = -(-query_words(queries).count() // MAX_WORDS)
+    asked = query_words(queries).agg(F.count_distinct("word").alias("words"), F.count(F.lit(1)).alias("rows")).head()
+    n = max(-(-asked["words"] // MAX_WORDS), -(-asked["rows"] // (MAX_WORDS * WORD_ROWS)))
     if n <= 1:
         return _search_block(queries, index, k, threshold)
     block = F.pmod(F.xxhash64("query_id"), F.lit(n))

@@ -359,3 +359,13 @@ def test_positions_are_read_for_whole_matches_only(queries, docs, spark):
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     gathered = plan[plan.index("collect_list(positions"):]
     assert "collect_set(query_id" in gathered and gathered.index("Join") < gathered.index("collect_set(query_id")
+
+
+def test_fuzzy_reads_the_corpus_once(queries, index, monkeypatch):
+    """More similar pairs than a task may hold split the task's documents, not the queries."""
+    want = rows(fuzzy.fuzzy_search(queries, index))
+    monkeypatch.setattr(fuzzy, "MAX_PAIRS", 3)
+    hits = fuzzy.fuzzy_search(queries, index)
+    assert rows(hits) == want
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
