@@ -17,7 +17,8 @@ A search, for each query:
 
 The answers equal `bm25_search` (same rounding, ties by doc_id); bounds are compared with a
 margin of one unit of the last rounded digit, so rounding cannot lose a tie. Everything is
-joins, windows and aggregates; no posting is shuffled beyond those of the query terms.
+joins, windows and aggregates; postings are joined with broadcast tables and summed in their
+shards, so no posting is shuffled.
 `postings_read` counts the postings a search scores against all postings of its terms.
 """
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from rankweave.operators.lexical import B, K1, bm25_weights, in_blocks, query_terms
 from rankweave.operators.topk import SCORE_DIGITS, rounded, top_k
 from rankweave.plans.index import TermIndex
+from rankweave.session import broadcast_if_small, written
 
 BLOCK_DOCS = 64
 MARGIN = 10.0 ** -SCORE_DIGITS
@@ -65,30 +67,32 @@ def _search(queries: DataFrame, index: TermIndex, bounds: DataFrame, k: int, blo
 
     # 1. a bound per (query, block); at least max(n) documents lie in it
     per_term = bounds.join(weights, keys).withColumn("most", F.col("idf") * F.col("top"))
-    upper = per_term.groupBy("query_id", "block").agg(F.sum("most").alias("upper"), F.max("n").alias("docs"))
+    upper = written(per_term.groupBy("query_id", "block").agg(F.sum("most").alias("upper"), F.max("n").alias("docs")), "upper")
 
     # 2. the blocks of highest bound that hold k documents; theta = their k-th score
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("upper"), "block")
     first = upper.withColumn("before", F.sum("docs").over(by_bound) - F.col("docs")).filter(F.col("before") < k)
-    seen = _scored(posts.join(first.select("query_id", "block"), ["query_id", "block"], "left_semi"), k1, b)
-    kth = top_k(seen, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("theta"))
+    # ... at most k blocks a query
+    seen = _scored(posts.join(F.broadcast(first.select("query_id", "block")), ["query_id", "block"], "left_semi"), k1, b)
+    kth = F.broadcast(written(top_k(seen, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("theta")), "theta"))
     theta = F.coalesce(F.col("theta"), F.lit(float("-inf"))) - MARGIN
 
     # 3. blocks that can reach theta; terms whose bounds together stay below it are not essential
-    kept = upper.join(kth, "query_id", "left").filter(F.col("upper") >= theta).select("query_id", "block")
+    kept = upper.join(kth, "query_id", "left").filter(F.col("upper") >= theta)
+    kept = broadcast_if_small(kept.groupBy("block").agg(F.collect_set("query_id").alias("asking")))
     most = per_term.groupBy("query_id", "term", "field").agg(F.max("most").alias("most"))
     rising = Window.partitionBy("query_id").orderBy("most", "field", "term").rowsBetween(Window.unboundedPreceding, 0)
-    split = most.join(kth, "query_id", "left").withColumn("essential", F.sum("most").over(rising) >= theta)
-    inside = posts.join(kept, ["query_id", "block"], "left_semi").join(
-        split.select("query_id", "field", "term", "essential"), ["query_id", "field", "term"])
-    candidates = inside.filter("essential").select("query_id", "doc_id").distinct()
-    read = inside.filter("essential").unionByName(
-        inside.filter("NOT essential").join(candidates, ["query_id", "doc_id"], "left_semi"))
-
-    # 4. exact scores of the candidates
+    split = F.broadcast(most.join(kth, "query_id", "left").withColumn("essential", F.sum("most").over(rising) >= theta).select(
+        "query_id", "field", "term", "essential"))
+    inside = posts.join(kept, "block").filter(F.array_contains("asking", F.col("query_id"))).join(split, ["query_id", "field", "term"])
+
+    # 4. exact scores of the candidates: documents with an essential term, summed in their shards
+    read = inside.groupBy("query_id", "doc_id").agg(
+        rounded(F.sum(F.col("idf") * _part(k1, b))).alias("score"), F.max("essential").alias("essential"),
+        F.count(F.lit(1)).alias("n")).filter("essential")
     if counted:
-        return read.select("query_id", "doc_id")
-    return top_k(_scored(read, k1, b), k)
+        return read.select("n")
+    return top_k(read.select("query_id", "doc_id", "score"), k)
 
 
 def bm25_top_k(queries: DataFrame, index: TermIndex, bounds: DataFrame, k: int = 20,
@@ -100,7 +104,7 @@ def bm25_top_k(queries: DataFrame, index: TermIndex, bounds: DataFrame, k: int =
 def postings_read(queries: DataFrame, index: TermIndex, bounds: DataFrame, k: int = 20,
                   block_docs: int = BLOCK_DOCS) -> dict:
     """Postings scored in the last step, and all postings of the query terms."""
-    read = in_blocks(queries, index, lambda block: _search(block, index, bounds, k, block_docs, K1, B, True)).count()
+    read = in_blocks(queries, index, lambda block: _search(block, index, bounds, k, block_docs, K1, B, True)).agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     wanted = query_terms(queries, index)
     every = index.postings.join(F.broadcast(wanted.select("bucket", "term", "query_id")), ["bucket", "term"]).count()
     return {"read": read, "all": every, "share": read / every if every else 0.0}

@@ -36,3 +36,13 @@ def test_ties_short_lists_and_empty_queries(spark):
     queries = spark.createDataFrame([(1, "apple pie"), (2, ""), (3, None), (4, "pie zebra")], "query_id long, q string")
     bounds = maxscore.block_bounds(index, 4)
     assert rows(maxscore.bm25_top_k(queries, index, bounds, 30, 4)) == rows(lexical.bm25_search(queries, index, 30))
+
+
+def test_no_posting_is_shuffled(spark):
+    """Only the best of each task move: one exchange by query, above the scan of the shards."""
+    index, queries = w.document_index(spark, SF), w.search_queries(spark, SF)
+    df = maxscore.bm25_top_k(queries, index, maxscore.block_bounds(index), 20)
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    head = text[:text.index("Bucketed: true")]
+    assert head.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in head
