@@ -36,6 +36,7 @@ THRESHOLD = 0.2
 MAX_WORDS = 5_000              # distinct query words of a block
 WORD_ROWS = 20                 # and as many times their uses in queries
 CHUNK_CELLS = 2 << 20
+VOCABULARY_TERMS = 50_000      # terms that a task compares with a block of words
 MAX_PAIRS = 8_000_000          # similar pairs a task holds at a time, 16 bytes each in numpy
 
 
@@ -121,7 +122,8 @@ def similar_pairs(matrix: WordMatrix, vocabulary: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("term").take(pa.array(rows)), pa.array(columns.astype("int32")), pa.array(similar)], schema=schema)
 
-    placed = vocabulary.select("term").repartition(shuffle_partitions(vocabulary.sparkSession), "term")
+    parts = max(shuffle_partitions(vocabulary.sparkSession), -(-vocabulary.count() // VOCABULARY_TERMS))
+    placed = vocabulary.select("term").repartition(parts, "term")
     return placed.select("term", trigrams(F.col("term")).alias("g")).mapInArrow(
         compare, "term string, number int, similarity double")
 

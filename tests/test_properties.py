@@ -369,3 +369,12 @@ def test_fuzzy_reads_the_corpus_once(queries, index, monkeypatch):
     assert rows(hits) == want
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Union" not in plan
+
+
+def test_vocabulary_partitions_grow_with_it(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "VOCABULARY_TERMS", 10)
+    vocabulary = spark.createDataFrame([(f"word{i}",) for i in range(400)], "term string")
+    words = spark.createDataFrame([("word7",)], "word string")
+    matrix, = fuzzy.word_blocks(words, 0.2)
+    assert fuzzy.similar_pairs(matrix, vocabulary).rdd.getNumPartitions() == 40
+    assert fuzzy.similar_terms(words, vocabulary).filter("similarity = 1").count() == 1
