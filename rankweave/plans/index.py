@@ -71,8 +71,8 @@ def doc_lengths(corpus: DataFrame, fields: dict[str, Column], analyzer: Analyzer
     return by_field(corpus, fields).select("field", "doc_id", F.size(kept).alias("doc_len"))
 
 
-def _counted(field: pa.Array, doc_id: pa.Array, words: pa.ListArray, schema: pa.Schema) -> pa.RecordBatch:
-    """Postings of some texts, from one stable sort of their tokens by (text, term)."""
+def _counted(field: pa.Array, doc_id: pa.Array, words: pa.ListArray, schema: pa.Schema, with_lengths: bool = False):
+    """Postings of some texts, from one stable sort of their tokens by (text, term); then their lengths, if asked for."""
     lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype("int64")
     coded = words.flatten().dictionary_encode()
     codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype("int64")
@@ -90,11 +90,19 @@ def _counted(field: pa.Array, doc_id: pa.Array, words: pa.ListArray, schema: pa.
         pa.array(doc_len[row[first]].astype("int32")),
         pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(pos[order].astype("int32"))),
     )
-    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+    if with_lengths:
+        absent = words.is_null().to_numpy(zero_copy_only=False)
+        none = [pa.nulls(len(words), schema.field(name).type) for name in ("term", "tf", "positions")]
+        columns = (field, none[0], doc_id, none[1], pa.array(doc_len.astype("int32"), mask=absent), none[2])
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def postings_of(corpus: DataFrame, fields: dict[str, Column], analyzer: Analyzer) -> DataFrame:
-    """Terms counted where the texts lie, some texts at a time: no shuffle."""
+def postings_of(corpus: DataFrame, fields: dict[str, Column], analyzer: Analyzer, with_lengths: bool = False) -> DataFrame:
+    """Terms counted where the texts lie, some texts at a time: no shuffle.
+
+    With lengths, every text has one more row without a term, which holds its length as `doc_lengths` does.
+    """
     english = full_language(analyzer.language) == "english"
     words = (analyzer.unstemmed if english else analyzer.marked)(F.col("text"))
     rows = by_field(corpus, fields).select("field", "doc_id", words.alias("words"))
@@ -114,7 +122,7 @@ def postings_of(corpus: DataFrame, fields: dict[str, Column], analyzer: Analyzer
                 end = max(at + 1, int(np.searchsorted(tokens, before + BATCH_TOKENS, "right")))
                 part = batch.slice(at, end - at)
                 held = part.column("words")
-                yield _counted(part.column("field"), part.column("doc_id"), stem_lists(held) if english else held, schema)
+                yield from _counted(part.column("field"), part.column("doc_id"), stem_lists(held) if english else held, schema, with_lengths)
                 at = end
 
     return rows.mapInArrow(count, kind)
@@ -138,6 +146,13 @@ def shards_for(text_bytes: int) -> int:
     return max(MIN_SHARDS, -(-text_bytes // SHARD_BYTES))
 
 
+def measured(corpus: DataFrame, fields: dict[str, Column]) -> tuple[int, int]:
+    """Rows, and bytes of their texts."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in fields.values()), F.lit(0))
+    found = corpus.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).head()
+    return found["n"], found["bytes"]
+
+
 def catalog_name(path: str) -> str:
     """Tables are named by the whole path: equal last parts do not meet."""
     return "rankweave_" + hashlib.md5(path.rstrip("/").encode()).hexdigest()
@@ -172,9 +187,8 @@ def build_index(
     path = path or f"{workspace(spark)}/index-{uuid.uuid4().hex}"
     if _exists(spark, path):
         raise FileExistsError(f"{path} holds an index")
-    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in fields.values()), F.lit(0))
-    measured = corpus.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).head()
-    n_docs, shards = measured["n"], shards or shards_for(measured["bytes"])
+    n_docs, text_bytes = measured(corpus, fields)
+    shards = shards or shards_for(text_bytes)
     name = catalog_name(path)
     placed = corpus.repartition(shards, "doc_id")
     postings = postings_of(placed, fields, analyzer)

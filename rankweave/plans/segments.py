@@ -27,15 +27,16 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import Analyzer
-from rankweave.plans.index import BUCKETS, TermIndex, bucket_of, doc_lengths, postings_of
-from rankweave.session import broadcast_if_small, workspace
+from rankweave.plans.index import BUCKETS, TermIndex, bucket_of, measured, postings_of, shards_for
+from rankweave.session import MAX_BROADCAST_ROWS, broadcast_if_small, holds_at_most, workspace, written
 from rankweave.sources.corpus_store import newest
 
 FAN_IN = 4
+LENGTHS = -1  # the partition of a segment's postings where lengths lie until they have their own table
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,8 @@ class Segments:
                         self.clock if clock is None else clock)
 
     def part(self, segment: tuple, kind: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{segment[2]}/{kind}")
+        rows = self.spark.read.parquet(f"{self.path}/{segment[2]}/{kind}")
+        return rows.filter(F.col("bucket") != LENGTHS) if kind == "postings" else rows
 
     def deletes(self) -> DataFrame:
         """doc_id, generation of every replace or delete so far."""
@@ -62,12 +64,18 @@ class Segments:
         except AnalysisException:
             return self.spark.createDataFrame([], "doc_id long, generation int")
 
-    def hidden(self, generation: int) -> DataFrame:
-        """Ids that deletes younger than the segment hide in it."""
-        return broadcast_if_small(self.deletes().filter(F.col("generation") > generation).select("doc_id").distinct())
+    def hidden(self, segment: tuple) -> DataFrame | None:
+        """Ids of the segment that younger deletes hide, written once; None if there are none.
 
-    def live(self, segment: tuple, kind: str) -> DataFrame:
-        return self.part(segment, kind).join(self.hidden(segment[0]), "doc_id", "left_anti")
+        Deletes hold the ids of every younger add too, mostly of documents that this segment never had.
+        """
+        younger = self.deletes().filter(F.col("generation") > segment[0]).select("doc_id").distinct()
+        ids = written(self.part(segment, "docs").select("doc_id").join(younger, "doc_id", "left_semi").distinct(), "hidden")
+        return broadcast_if_small(ids) if ids.limit(1).count() else None
+
+    def live(self, segment: tuple, kind: str, hidden: DataFrame | None) -> DataFrame:
+        rows = self.part(segment, kind)
+        return rows if hidden is None else rows.join(hidden, "doc_id", "left_anti")
 
 
 def create(spark: SparkSession, fields: dict[str, str], analyzer: Analyzer = Analyzer(), path: str | None = None,
@@ -97,17 +105,38 @@ def open_segments(spark: SparkSession, path: str) -> Segments:
 
 
 def _write_segment(index: Segments, folder: str, docs: DataFrame) -> int:
-    """Postings, document lengths and document frequencies of `docs` (unique doc_id) in a new folder."""
+    """Postings, document lengths and document frequencies of `docs` (unique doc_id) in a new folder.
+
+    The texts are read once: lengths come with the postings, and move to their own small table.
+    """
     place = f"{index.path}/{folder}"
     fields = {name: F.col(column) for name, column in index.fields.items()}
-    postings = postings_of(docs, fields, index.analyzer).withColumn("bucket", bucket_of(F.col("term"), index.buckets))
-    postings.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{place}/postings")
-    written = index.spark.read.parquet(f"{place}/postings")
-    doc_lengths(docs, fields, index.analyzer).write.parquet(f"{place}/docs")
-    written.groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{place}/df")
+    bucket = F.when(F.col("term").isNull(), LENGTHS).otherwise(bucket_of(F.col("term"), index.buckets))
+    rows = postings_of(docs, fields, index.analyzer, with_lengths=True).withColumn("bucket", bucket)
+    rows.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{place}/postings")
+    rows = index.spark.read.schema(rows.schema).parquet(f"{place}/postings")
+    rows.filter(F.col("bucket") == LENGTHS).select("field", "doc_id", "doc_len").write.parquet(f"{place}/docs")
+    terms = rows.filter(F.col("bucket") != LENGTHS).groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("df"))
+    terms.write.parquet(f"{place}/df")
     return index.spark.read.parquet(f"{place}/docs").select("doc_id").distinct().count()
 
 
+def _placed(batch: DataFrame, order: Column, shards: int) -> DataFrame:
+    """The newest row of each id, placed by id in shards of one size: the texts are shuffled once.
+
+    Few ids come twice; only the texts of these are grouped.
+    """
+    ids = batch.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    repeated = written(ids, "repeated")
+    if not repeated.limit(1).count():
+        return batch.repartition(shards, "doc_id")
+    if not holds_at_most(repeated, MAX_BROADCAST_ROWS):
+        return newest(batch.repartition(shards, "doc_id"), "doc_id", order)
+    again = F.broadcast(repeated)
+    once = batch.join(again, "doc_id", "left_anti")
+    return once.unionByName(newest(batch.join(again, "doc_id", "left_semi"), "doc_id", order)).repartition(shards, "doc_id")
+
+
 def add(index: Segments, batch: DataFrame, order: str | None = None) -> Segments:
     """Add documents (doc_id, the field columns); a doc_id met before is replaced.
 
@@ -118,9 +147,11 @@ def add(index: Segments, batch: DataFrame, order: str | None = None) -> Segments
     columns = ["doc_id", *sorted(set(index.fields.values()))]
     batch = batch.filter(F.col("doc_id").isNotNull())
     key = F.col(order) if order else F.struct(*columns[1:])
-    docs = newest(batch.select(*columns, *([order] if order and order not in columns else [])), "doc_id", key).select(*columns)
-    if not docs.limit(1).count():
+    rows, text_bytes = measured(batch, {name: F.col(column) for name, column in index.fields.items()})
+    if not rows:
         return index
+    batch = batch.select(*columns, *([order] if order and order not in columns else []))
+    docs = _placed(batch, key, shards_for(text_bytes)).select(*columns)
     generation = index.clock + 1
     folder = f"segment-{generation}-{uuid.uuid4().hex[:8]}"
     count = _write_segment(index, folder, docs)
@@ -161,8 +192,9 @@ def merge(index: Segments, fan_in: int = FAN_IN) -> Segments:
         generation = max(g for g, _, _ in group)
         folder = f"segment-{generation}-{uuid.uuid4().hex[:8]}"
         place = f"{index.path}/{folder}"
+        hidden = [index.hidden(segment) for segment in group]
         for kind in ("postings", "docs"):
-            union = reduce(DataFrame.unionByName, [index.live(segment, kind) for segment in group])
+            union = reduce(DataFrame.unionByName, [index.live(segment, kind, ids) for segment, ids in zip(group, hidden)])
             writer = union.write.partitionBy("bucket") if kind == "postings" else union.write
             writer.parquet(f"{place}/{kind}")
         postings = index.spark.read.parquet(f"{place}/postings")
@@ -181,16 +213,18 @@ def term_index(index: Segments) -> TermIndex:
     spark = index.spark
     if not index.segments:
         raise ValueError("the index has no segment yet")
-    live = index.segments
-    postings = reduce(DataFrame.unionByName, [index.live(g, "postings") for g in live])
-    docs = reduce(DataFrame.unionByName, [index.live(g, "docs") for g in live])
+    hidden = [index.hidden(segment) for segment in index.segments]
+    parts = list(zip(index.segments, hidden))
+    postings = reduce(DataFrame.unionByName, [index.live(segment, "postings", ids) for segment, ids in parts])
+    docs = reduce(DataFrame.unionByName, [index.live(segment, "docs", ids) for segment, ids in parts])
     n_docs = docs.select("doc_id").distinct().count()
     lengths = docs.groupBy("field").agg(F.lit(n_docs).cast("long").alias("n_docs"), (F.sum("doc_len") / F.lit(max(n_docs, 1))).alias("avg_len"))
     # df: the segments' sums less the postings of hidden documents, by term.
-    held = reduce(DataFrame.unionByName, [index.part(g, "df") for g in live])
-    gone = reduce(DataFrame.unionByName, [
-        index.part(g, "postings").join(index.hidden(g[0]), "doc_id", "left_semi").select("bucket", "field", "term") for g in live])
-    change = held.unionByName(gone.withColumn("df", F.lit(-1).cast("long")))
+    change = reduce(DataFrame.unionByName, [index.part(segment, "df") for segment in index.segments])
+    for segment, ids in parts:
+        if ids is not None:
+            gone = index.part(segment, "postings").join(ids, "doc_id", "left_semi").select("bucket", "field", "term")
+            change = change.unionByName(gone.withColumn("df", F.lit(-1).cast("long")))
     df = change.groupBy("bucket", "field", "term").agg(F.sum("df").alias("df")).filter("df > 0")
     terms = df.join(F.broadcast(lengths), "field")
     return TermIndex(postings, terms, index.buckets, index.analyzer, tuple(index.fields))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.text import Analyzer
 from rankweave.operators import lexical
-from rankweave.plans import segments
+from rankweave.plans import index as ix, segments
 from rankweave.plans.index import build_index
 from rankweave.session import workspace
 
@@ -49,3 +49,44 @@ def test_grown_index_equals_a_fresh_one(spark, fan_in):
 
 def test_tiers():
     assert [segments.tier(n, 4) for n in (0, 3, 4, 15, 16, 1000)] == [0, 0, 1, 1, 2, 4]
+
+
+def texts(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_only_own_documents_are_hidden(spark):
+    index = segments.create(spark, {"content": "text"}, Analyzer("simple"))
+    index = segments.add(index, texts(spark, [(1, "red fox"), (2, "blue fox"), (3, "fox")]))
+    index = segments.add(index, texts(spark, [(4, "red hen"), (5, "hen")]))
+    first, second = index.segments
+    assert index.hidden(first) is None  # the ids of the second add are not in the first segment
+    index = segments.delete(index, texts(spark, [(2, ""), (5, ""), (99, "")]))
+    assert [r.doc_id for r in index.hidden(first).collect()] == [2]
+    assert [r.doc_id for r in index.hidden(second).collect()] == [5]
+    assert {(r.term, r.df) for r in segments.term_index(index).terms.collect()} == {("red", 2), ("fox", 2), ("hen", 1)}
+
+
+def test_texts_lie_in_shards_of_one_size(spark, monkeypatch):
+    monkeypatch.setattr(ix, "SHARD_BYTES", 40)
+    rows = [(i, f"word{i} and some more") for i in range(100)]
+    index = segments.add(segments.create(spark, {"content": "text"}, Analyzer("simple")), texts(spark, rows))
+    files = index.part(index.segments[0], "docs").select(F.input_file_name()).distinct().count()
+    postings = index.part(index.segments[0], "postings")
+    assert files and postings.select(F.regexp_extract(F.input_file_name(), "part-([0-9]+)", 1)).distinct().count() > 20
+    assert postings.count() == 400
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_lengths_and_repeated_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(segments, "MAX_BROADCAST_ROWS", most)
+    rows = [(1, "a b", 1), (1, "a b c", 2), (2, "", 1), (3, None, 1), (4, "the the fox", 1), (None, "no id", 1), (4, "old", 0)]
+    batch = spark.createDataFrame(rows, "doc_id long, text string, v int")
+    index = segments.add(segments.create(spark, {"content": "text"}, Analyzer("simple")), batch, order="v")
+    docs = {(r.field, r.doc_id): r.doc_len for r in index.part(index.segments[0], "docs").collect()}
+    assert docs == {("content", 1): 3, ("content", 2): 0, ("content", 3): None, ("content", 4): 3}
+    kept = texts(spark, [(1, "a b c"), (2, ""), (3, None), (4, "the the fox")])
+    want = ix.doc_lengths(kept, {"content": F.col("text")}, Analyzer("simple"))
+    assert docs == {(r.field, r.doc_id): r.doc_len for r in want.collect()}
+    found = {(r.term, r.doc_id, r.tf) for r in segments.term_index(index).postings.collect()}
+    assert found == {("a", 1, 1), ("b", 1, 1), ("c", 1, 1), ("the", 4, 2), ("fox", 4, 1)}
