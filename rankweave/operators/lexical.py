@@ -1,7 +1,8 @@
 """Lexical search of a table of queries (query_id, q) against a term index.
 
-Queries are taken in blocks whose terms are few enough to broadcast; to the
-postings they prune these to the buckets of their terms. Postings are sharded by
+Queries are taken in blocks whose terms are few enough to broadcast, and whose pairs
+with the documents of a shard are few enough for a task; to the postings they prune
+these to the buckets of their terms. Postings are sharded by
 document, so each task scores its documents completely and the first shuffle
 carries the k best per query and task. However many queries there are, no posting
 is ever shuffled.
@@ -22,6 +23,8 @@ from rankweave.session import MAX_BROADCAST_ROWS, written
 K1 = 1.2
 B = 0.75
 COVER_LENGTH = 16.0
+#: Pairs (query, document) that a block of queries may have in a shard, on average: a task holds them while it sums.
+MAX_PAIRS = 4 << 20
 
 
 def query_terms(queries: DataFrame, index: TermIndex) -> DataFrame:
@@ -35,13 +38,31 @@ def query_terms(queries: DataFrame, index: TermIndex) -> DataFrame:
     )
 
 
+def shard_pairs(wanted: DataFrame, n_terms: int, n_queries: int, index: TermIndex) -> int:
+    """At most so many pairs (query, document) with a common term lie in a shard, on average; 0 without shards.
+
+    Short texts are many in a shard, but hold few terms: past `MAX_PAIRS` the postings of the query terms are counted.
+    """
+    if not index.shards:
+        return 0
+    pairs = n_queries * index.n_docs // index.shards
+    if pairs <= MAX_PAIRS:
+        return pairs
+    asked = F.broadcast(wanted) if n_terms <= MAX_BROADCAST_ROWS else wanted
+    postings = index.terms.join(asked, ["bucket", "term"]).agg(F.coalesce(F.sum("df"), F.lit(0))).head()[0]
+    return min(pairs, postings // index.shards)
+
+
 def in_blocks(queries: DataFrame, index: TermIndex, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Search blocks of queries with about half as many terms as may be broadcast.
+    """Search blocks of queries with about half as many terms as may be broadcast, and `MAX_PAIRS` pairs in a shard.
 
     One block is searched where its result is used; of several, each is written
     before the next begins.
     """
-    n = -(-2 * query_terms(queries, index).count() // max(1, MAX_BROADCAST_ROWS))
+    wanted = query_terms(queries, index)
+    asked = wanted.agg(F.count(F.lit(1)).alias("terms"), F.count_distinct("query_id").alias("queries")).head()
+    n = -(-2 * asked["terms"] // max(1, MAX_BROADCAST_ROWS))
+    n = max(n, -(-shard_pairs(wanted, asked["terms"], asked["queries"], index) // MAX_PAIRS))
     if n <= 1:
         return search(queries)
     block = F.pmod(F.xxhash64("query_id"), F.lit(n))

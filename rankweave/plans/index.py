@@ -47,6 +47,8 @@ class TermIndex:
     buckets: int
     analyzer: Analyzer
     fields: tuple[str, ...] = ("content",)
+    n_docs: int = 0
+    shards: int = 0       # 0: the postings are not laid out in shards
 
     def bucket_of(self, term: Column) -> Column:
         return bucket_of(term, self.buckets)
@@ -220,4 +222,5 @@ def open_index(spark: SparkSession, path: str) -> TermIndex:
             spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet PARTITIONED BY (bucket) {layout} LOCATION '{path}/{kind}'")
             spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
     analyzer = Analyzer(meta["language"], tuple(meta["separators"]), tuple(meta["symbols"]))
-    return TermIndex(spark.table(f"{name}_postings"), spark.table(f"{name}_terms"), meta["buckets"], analyzer, tuple(meta["fields"]))
+    return TermIndex(spark.table(f"{name}_postings"), spark.table(f"{name}_terms"), meta["buckets"], analyzer, tuple(meta["fields"]),
+                     meta["n_docs"], meta["shards"])

@@ -104,6 +104,28 @@ def test_lexical_paths_agree(queries, index, monkeypatch):
     assert [rows(f(queries, index)) for f in (lexical.bm25_search, lexical.keyword_search, lexical.native_search)] == want
 
 
+@pytest.mark.parametrize("search", [lexical.bm25_search, lexical.keyword_search, lexical.native_search])
+def test_blocks_hold_few_pairs_of_a_shard(spark, monkeypatch, queries, index, search):
+    """More queries or documents in a shard give more blocks, with the same answers."""
+    whole, asked = rows(search(queries, index, 7)), []
+    monkeypatch.setattr(lexical, "MAX_PAIRS", 40)
+    terms = lexical.query_terms
+    monkeypatch.setattr(lexical, "query_terms", lambda some, index: asked.append([r.query_id for r in some.collect()]) or terms(some, index))
+    assert rows(search(queries, index, 7)) == whole
+    blocks = [ids for ids in asked if len(ids) < 9]
+    assert blocks and sorted({i for ids in blocks for i in ids}) == list(range(9))
+
+
+def test_pairs_in_a_shard_are_bounded_by_the_postings(spark, monkeypatch, queries, index):
+    """Never fewer than there are, and for words that few texts hold no more than their postings."""
+    monkeypatch.setattr(lexical, "MAX_PAIRS", 1)
+    def bound(some):
+        wanted = lexical.query_terms(some, index)
+        return lexical.shard_pairs(wanted, wanted.count(), some.count(), index)
+    assert lexical.bm25_scores(queries, index).count() // index.shards <= bound(queries) <= 9 * 120 // index.shards
+    assert bound(queries.withColumn("q", F.lit("absent"))) == 0
+
+
 def test_shards_do_not_matter(docs, queries, index):
     other = build_index(docs, {"content": F.col("content")}, Analyzer("simple"), shards=3, buckets=7)
     assert rows(lexical.bm25_search(queries, other)) == rows(lexical.bm25_search(queries, index))
