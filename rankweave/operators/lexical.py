@@ -24,7 +24,7 @@ K1 = 1.2
 B = 0.75
 COVER_LENGTH = 16.0
 #: Pairs (query, document) that a block of queries may have in a shard, on average: a task holds them while it sums.
-MAX_PAIRS = 4 << 20
+MAX_PAIRS = 8 << 20
 
 
 def query_terms(queries: DataFrame, index: TermIndex) -> DataFrame:
