@@ -21,12 +21,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rankweave.functions.text import tokens, trigrams
+from rankweave.functions.text import tokens
 from rankweave.operators.knn import Best, best_rows, half_up
 from rankweave.operators.topk import top_k
 from rankweave.plans.index import TermIndex
@@ -36,8 +37,10 @@ THRESHOLD = 0.2
 MAX_WORDS = 5_000              # distinct query words of a block
 WORD_ROWS = 20                 # and as many times their uses in queries
 CHUNK_CELLS = 2 << 20
+STEP_CELLS = 1 << 19           # cells of a step in numpy, few enough for a cache
+GRAM_CELLS = 1 << 20           # code points whose trigrams a task cuts at a time, one term at least
 VOCABULARY_TERMS = 50_000      # terms that a task compares with a block of words
-MAX_PAIRS = 8_000_000          # similar pairs a task holds at a time, 16 bytes each in numpy
+MAX_PAIRS = 12_000_000         # similar pairs a task holds at a time, 12 bytes each in numpy
 
 
 def query_words(queries: DataFrame) -> DataFrame:
@@ -53,20 +56,39 @@ def vocabulary_of(index: TermIndex) -> DataFrame:
     return terms if len(index.fields) == 1 else terms.distinct()
 
 
+def gram_codes(terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, gram, grams): the distinct trigrams of each term as `text.trigrams` cuts them, by row; a gram is a place in
+    `grams`, three code points of 21 bits each."""
+    length = pc.utf8_length(terms).to_numpy(zero_copy_only=False).astype("int64")
+    padded = np.full(length.sum() + 3 * len(terms), ord(" "), dtype="int64")
+    number = np.arange(len(terms))
+    text = pc.binary_join(pa.ListArray.from_arrays([0, len(terms)], terms), "")[0].as_py()
+    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    padded[np.arange(len(points)) + np.repeat(3 * number + 2, length)] = points
+    row = np.repeat(number, length + 1)
+    at = np.arange(len(row)) + 2 * row
+    coded = pa.array(padded[at] << 42 | padded[at + 1] << 21 | padded[at + 2]).dictionary_encode()
+    kinds = max(1, len(coded.dictionary))
+    key = np.sort(row * kinds + coded.indices.to_numpy())
+    key = key[np.diff(key, prepend=-1) > 0]
+    return key // kinds, key % kinds, coded.dictionary.to_numpy()
+
+
 class WordMatrix:
     """Distinct query words as a trigram x word matrix of zeros and ones."""
 
-    def __init__(self, table: pa.Table, threshold: float):
-        self.words = table["word"].to_pylist()
+    def __init__(self, words: list[str], threshold: float):
+        self.words = words
         self.threshold = threshold
-        grams = table["g"].to_pylist()
-        self.slot = {g: i for i, g in enumerate(sorted({x for gs in grams for x in gs}))}
-        self.size = np.array([len(gs) for gs in grams], dtype="float64")
+        column, gram, grams = gram_codes(pa.array(words, pa.string()))
+        self.size = np.bincount(column, minlength=len(words)).astype("float64")
         # Shared counts never exceed the word's own; one byte mostly does.
         self.kind = "uint8" if self.size.max(initial=0) < 255 else "uint32"
-        self.held = np.zeros((len(self.slot), len(self.words)), dtype=self.kind)
-        for column, gs in enumerate(grams):
-            self.held[[self.slot[x] for x in gs], column] = 1
+        order = np.argsort(grams)
+        self.grams = grams[order]
+        self.width = -(-len(words) // 8) * 8  # so that eight cells can be looked at as one
+        self.held = np.zeros((len(grams), self.width), dtype=self.kind)
+        self.held[np.argsort(order)[gram], column] = 1
         self.needed: dict[int, np.ndarray] = {}
 
     def need(self, size: int) -> np.ndarray:
@@ -78,37 +100,58 @@ class WordMatrix:
             for offset in (1, 0, -1):
                 shared = np.maximum(guess + offset, 1)
                 least = np.where(shared / (total - shared) >= self.threshold, shared, least)
-            self.needed[size] = np.minimum(least, self.size + 1).astype(self.kind)
+            self.needed[size] = np.full(self.width, np.iinfo(self.kind).max, dtype=self.kind)
+            self.needed[size][:len(self.words)] = np.minimum(least, self.size + 1)
         return self.needed[size]
 
-    def compare(self, grams: pa.ListArray):
-        """Yield (rows, columns, similarities) of terms given by their trigrams."""
-        offsets = grams.offsets.to_numpy()
-        coded = grams.flatten().dictionary_encode()
-        slot_of = np.array([self.slot.get(g, -1) for g in coded.dictionary.to_pylist()], dtype="int64")
-        slots = slot_of[coded.indices.to_numpy()] if len(coded) else np.array([], "int64")
-        sizes = np.diff(offsets)
-        row = np.repeat(np.arange(len(sizes)), sizes)[slots >= 0]
-        slots = slots[slots >= 0]
-        rows, starts = np.unique(row, return_index=True)
-        step = max(1, CHUNK_CELLS // max(1, len(self.words) * 8))
-        for at in range(0, len(rows), step):
-            part = rows[at:at + step]
-            end = starts[at + step] if at + step < len(starts) else len(slots)
-            first = starts[at]
-            shared = np.add.reduceat(self.held[slots[first:end]], starts[at:at + step] - first, axis=0, dtype=self.kind)
-            some, which = np.unique(sizes[part], return_inverse=True)
-            near, columns = np.nonzero(shared >= np.stack([self.need(int(n)) for n in some])[which])
-            both = shared[near, columns].astype("float64")
-            yield part[near], columns, both / (sizes[part[near]] + self.size[columns] - both)
+    def compare(self, terms: pa.Array):
+        """Yield (rows, counts, columns, similarities): some terms, how many words each resembles, these words one term after another."""
+        step = max(1, STEP_CELLS // max(1, self.width))
+        shared, more, need, near = (np.empty((step, self.width), dtype=kind) for kind in (self.kind, self.kind, self.kind, "bool"))
+        ends = np.cumsum(pc.utf8_length(terms).to_numpy(zero_copy_only=False).astype("int64") + 3)
+        at = 0 if self.words else len(terms)
+        while at < len(terms):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GRAM_CELLS, "right")))
+            row, gram, grams = gram_codes(terms.slice(at, end - at))
+            size = np.bincount(row, minlength=end - at)
+            slot = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+            known = (self.grams[slot] == grams)[gram]
+            row, slot = row[known], slot[gram[known]]
+            held = np.bincount(row, minlength=end - at)  # of the term's trigrams, those of any word
+            first = np.cumsum(held) - held
+            sizes, kind = np.unique(size, return_inverse=True)
+            least = np.stack([self.need(int(n)) for n in sizes])
+            some = np.flatnonzero(held >= least.min(axis=1)[kind])
+            # Terms of as many such trigrams together: their rows of the matrix add up without a loop over terms.
+            some = some[np.argsort(held[some], kind="stable")]
+            cuts = np.flatnonzero(np.diff(held[some], prepend=-1))
+            for begin, stop in zip(cuts, [*cuts[1:], len(some)]):
+                for of in range(begin, stop, step):
+                    part = some[of:min(of + step, stop)]
+                    n = len(part)
+                    np.take(self.held, slot[first[part]], axis=0, out=shared[:n], mode="clip")
+                    for j in range(1, held[part[0]]):
+                        np.take(self.held, slot[first[part] + j], axis=0, out=more[:n], mode="clip")
+                        np.add(shared[:n], more[:n], out=shared[:n])
+                    np.take(least, kind[part], axis=0, out=need[:n], mode="clip")
+                    np.greater_equal(shared[:n], need[:n], out=near[:n])
+                    eights = near[:n].reshape(-1, 8)
+                    found = np.flatnonzero(eights.view("uint64") != 0)
+                    cells = np.flatnonzero(eights[found])
+                    cells = (found * 8)[cells >> 3] + (cells & 7)
+                    place = cells // self.width
+                    columns = cells - place * self.width
+                    both = shared.ravel()[cells].astype("float64")
+                    similar = both / (size[part][place] + self.size[columns] - both)
+                    yield at + part, np.bincount(place, minlength=n), columns, similar
+            at = end
 
 
 def word_blocks(words: DataFrame, threshold: float) -> list[WordMatrix]:
     """The distinct query words as matrices of at most about MAX_WORDS words."""
     n = -(-words.count() // MAX_WORDS)
-    grams = words.select("word", trigrams(F.col("word")).alias("g"))
     block = F.pmod(F.xxhash64("word"), F.lit(max(n, 1)))
-    return [WordMatrix(grams.filter(block == b).toArrow(), threshold) for b in range(max(n, 1))]
+    return [WordMatrix(words.select("word").filter(block == b).toArrow()["word"].to_pylist(), threshold) for b in range(max(n, 1))]
 
 
 def similar_pairs(matrix: WordMatrix, vocabulary: DataFrame) -> DataFrame:
@@ -118,14 +161,13 @@ def similar_pairs(matrix: WordMatrix, vocabulary: DataFrame) -> DataFrame:
 
     def compare(batches):
         for batch in batches:
-            for rows, columns, similar in shared.value.compare(batch.column("g")):
+            for rows, counts, columns, similar in shared.value.compare(batch.column("term")):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("term").take(pa.array(rows)), pa.array(columns.astype("int32")), pa.array(similar)], schema=schema)
+                    [batch.column("term").take(pa.array(np.repeat(rows, counts))), pa.array(columns.astype("int32")), pa.array(similar)],
+                    schema=schema)
 
     parts = max(shuffle_partitions(vocabulary.sparkSession), -(-vocabulary.count() // VOCABULARY_TERMS))
-    placed = vocabulary.select("term").repartition(parts, "term")
-    return placed.select("term", trigrams(F.col("term")).alias("g")).mapInArrow(
-        compare, "term string, number int, similarity double")
+    return vocabulary.select("term").repartition(parts, "term").mapInArrow(compare, "term string, number int, similarity double")
 
 
 def similar_terms(words: DataFrame, vocabulary: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -138,17 +180,11 @@ def similar_terms(words: DataFrame, vocabulary: DataFrame, threshold: float = TH
     return reduce(DataFrame.unionByName, [named(m) if len(blocks) == 1 else written(named(m), "similar") for m in blocks])
 
 
-def trigram_lists(words: pa.Array) -> pa.ListArray:
-    """`text.trigrams` of each word, inside a task."""
-    grams = [list(dict.fromkeys(f"  {w} "[i:i + 3] for i in range(len(w) + 1))) for w in words.to_pylist()]
-    return pa.array(grams, pa.list_(pa.string()))
-
-
 class Similar:
     """The words of a block and of each of its queries; scores documents a slice at a time."""
 
     def __init__(self, matrix: WordMatrix, queries: pa.Table):
-        self.matrix, self.most, self.cells = matrix, MAX_PAIRS, CHUNK_CELLS
+        self.matrix, self.most, self.cells, self.rate = matrix, MAX_PAIRS, CHUNK_CELLS, 0.0
         place = {w: i for i, w in enumerate(matrix.words)}
         held = queries["words"].to_pylist()
         self.ids = queries["query_id"].to_numpy()
@@ -158,17 +194,24 @@ class Similar:
         self.n_words = len(matrix.words)
 
     def pairs(self, terms: pa.Array, several: bool):
-        """(rows, words, similarities) of distinct terms, by row; None if there are too many for `several` documents."""
-        parts, size = [], 0
-        for rows, columns, similar in self.matrix.compare(trigram_lists(terms)):
-            parts.append((rows.astype("int32"), columns.astype("int32"), similar))
-            size += len(rows)
+        """(first, count, words, similarities) of distinct terms, by row; None if there are too many for `several` documents."""
+        if several and self.rate * len(terms) > self.most:
+            return None
+        first, count = np.zeros(len(terms), "int64"), np.zeros(len(terms), "int64")
+        words, similarities, size = [np.array([], "int32")], [np.array([])], 0
+        for rows, counts, columns, similar in self.matrix.compare(terms):
+            first[rows], count[rows] = size + np.cumsum(counts) - counts, counts
+            words.append(columns.astype("int32"))
+            similarities.append(similar)
+            size += len(columns)
             if several and size > self.most:
+                self.rate = max(self.rate, size / len(terms))
                 return None
-        return [np.concatenate(x) for x in zip(*parts)] or [np.array([], kind) for kind in ("int32", "int32", "float64")]
+        self.rate = size / max(1, len(terms))
+        return first, count, np.concatenate(words), np.concatenate(similarities)
 
     def feed(self, best: Best, ids: np.ndarray, terms: pa.ListArray) -> None:
-        """Score documents by the words that their own distinct terms resemble; too many pairs: half of them at a time."""
+        """Score documents by the words that their own terms resemble; too many pairs: half of them at a time."""
         coded = terms.flatten().dictionary_encode()
         pairs = self.pairs(coded.dictionary, len(ids) > 1)
         if pairs is None:
@@ -176,21 +219,31 @@ class Similar:
             self.feed(best, ids[:half], terms.slice(0, half))
             self.feed(best, ids[half:], terms.slice(half))
             return
-        row, number, similarity = pairs
-        starts = np.searchsorted(row, np.arange(len(coded.dictionary) + 1))
+        first, count, number, similarity = pairs
         code = coded.indices.to_numpy() if len(coded) else np.array([], "int64")
         ends = np.concatenate([[0], np.cumsum(np.diff(terms.offsets.to_numpy()))])
         every = np.arange(len(self.ids))
-        step = max(1, self.cells // max(1, self.n_words, len(self.columns)))
+        step = min(max(1, self.cells // max(1, self.n_words, len(self.columns))), len(ids))
+        held = np.empty((step, len(self.columns)))
         for at in range(0, len(ids), step):
             end = min(at + step, len(ids))
+            near = np.zeros((end - at) * self.n_words)
+            # A slice of the terms at a time: a long document meets many words.
             rows = code[ends[at]:ends[end]]
             docs = np.repeat(np.arange(end - at), np.diff(ends[at:end + 1]))
-            counts = starts[rows + 1] - starts[rows]
-            place = np.repeat(starts[rows] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            near = np.zeros((end - at, self.n_words))
-            np.maximum.at(near, (np.repeat(docs, counts), number[place]), similarity[place])
-            scores = half_up(np.add.reduceat(near[:, self.columns], self.first, axis=1) / self.length)
+            done = np.cumsum(count[rows])
+            begin = 0
+            while begin < len(rows):
+                before = done[begin - 1] if begin else 0
+                stop = max(begin + 1, int(np.searchsorted(done, before + self.cells, "right")))
+                some, counts = rows[begin:stop], count[rows[begin:stop]]
+                place = np.repeat(first[some] - (np.cumsum(counts) - counts), counts)
+                place += np.arange(len(place))
+                np.maximum.at(near, np.repeat(docs[begin:stop] * self.n_words, counts) + number[place], similarity[place])
+                begin = stop
+            near = near.reshape(end - at, self.n_words)
+            np.take(near, self.columns, axis=1, out=held[:end - at], mode="clip")
+            scores = half_up(np.add.reduceat(held[:end - at], self.first, axis=1) / self.length)
             best.add(ids[at:end], scores, every, 10.0 ** -6)
 
 
@@ -202,8 +255,7 @@ def _search_block(queries: DataFrame, index: TermIndex, k: int, threshold: float
         half = F.pmod(F.xxhash64("query_id", F.lit(asked.num_rows)), F.lit(2))
         return _search_block(queries.filter(half == 0), index, k, threshold).unionByName(
             _search_block(queries.filter(half == 1), index, k, threshold))
-    grams = spark.createDataFrame([(w,) for w in words], "word string").select("word", trigrams(F.col("word")).alias("g"))
-    shared = spark.sparkContext.broadcast(Similar(WordMatrix(grams.toArrow(), threshold), asked))
+    shared = spark.sparkContext.broadcast(Similar(WordMatrix(words, threshold), asked))
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
                            T.StructField("doc_id", index.postings.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
@@ -216,8 +268,8 @@ def _search_block(queries: DataFrame, index: TermIndex, k: int, threshold: float
                 block.feed(best, batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("terms"))
         yield pa.RecordBatch.from_arrays(best_rows(best, block.ids, "cosine", arrow), schema=arrow)
 
-    # A document's postings lie in one shard: this grouping needs no shuffle.
-    docs = index.postings.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
+    # A document's postings lie in one shard: this grouping needs no shuffle. A term of several fields may come again.
+    docs = index.postings.groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
     return top_k(docs.mapInArrow(search, schema), k)
 
 

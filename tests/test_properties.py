@@ -400,3 +400,52 @@ def test_vocabulary_partitions_grow_with_it(spark, monkeypatch):
     matrix, = fuzzy.word_blocks(words, 0.2)
     assert fuzzy.similar_pairs(matrix, vocabulary).rdd.getNumPartitions() == 40
     assert fuzzy.similar_terms(words, vocabulary).filter("similarity = 1").count() == 1
+
+
+def test_word_matrix_on_odd_words(spark, monkeypatch):
+    """Trigrams cut by numpy are those of `text.trigrams`; many steps and slices give the same similarities as sets do."""
+    import pyarrow as pa
+
+    from rankweave.functions.text import trigrams
+
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abé語𝒳 "), size)) for size in rng.integers(1, 12, 60)] + ["", "aaaaaaa", "a" * 300, "ab" * 200]
+    words = sorted(set(words))
+    rows_of = spark.createDataFrame([(w,) for w in words], "word string").select("word", trigrams(F.col("word")).alias("g")).collect()
+    want = {r.word: set(r.g) for r in rows_of}
+    terms = pa.array(["left out", *words]).slice(1)
+    row, gram, grams = fuzzy.gram_codes(terms)
+    text = lambda g: "".join(chr(g >> shift & 0x1FFFFF) for shift in (42, 21, 0))
+    got = {w: [] for w in words}
+    for r, g in zip(row, gram):
+        got[words[r]].append(text(int(grams[g])))
+    assert all(len(got[w]) == len(want[w]) and set(got[w]) == want[w] for w in words)
+
+    alike = lambda a, b: len(want[a] & want[b]) / len(want[a] | want[b])
+    near = {(t, w): alike(t, w) for t in words for w in words[::2] if alike(t, w) >= 0.2}
+    for step, cells, some in ((fuzzy.STEP_CELLS, fuzzy.GRAM_CELLS, words[::2]), (1, 1, words[::2]), (300, 50, words[::2]), (300, 50, [])):
+        monkeypatch.setattr(fuzzy, "STEP_CELLS", step)
+        monkeypatch.setattr(fuzzy, "GRAM_CELLS", cells)
+        found = {}
+        for part, counts, columns, similar in fuzzy.WordMatrix(some, 0.2).compare(terms):
+            assert counts.sum() == len(columns) == len(similar)
+            found.update({(words[r], some[c]): s for r, c, s in zip(np.repeat(part, counts), columns, similar)})
+        assert found == (near if some else {})
+
+
+def test_fuzzy_splits_before_it_compares():
+    """Once a task knows how many words a term resembles, it halves its documents before their terms are compared, not after."""
+    import pyarrow as pa
+
+    words = [f"{a}{b}alpha" for a in "abcdefgh" for b in "abcdefgh"]
+    block = fuzzy.Similar(fuzzy.WordMatrix(words, 0.2), pa.table({"query_id": [1], "words": [words]}))
+    compared, compare = [], block.matrix.compare
+    block.matrix.compare = lambda terms: compared.append(len(terms)) or compare(terms)
+    docs = pa.array([words[i:i + 4] for i in range(0, 64, 4)])
+    whole = fuzzy.Best(1, 20)
+    block.feed(whole, np.arange(16), docs)
+    assert compared == [64] and block.rate > 1
+    block.most = 64 * 64 // 4
+    again = fuzzy.Best(1, 20)
+    block.feed(again, np.arange(16), docs)
+    assert compared[1:] == [16] * 4 and again.cut().equals(whole.cut())
