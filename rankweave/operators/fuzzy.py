@@ -36,11 +36,10 @@ from rankweave.session import shuffle_partitions, written
 THRESHOLD = 0.2
 MAX_WORDS = 5_000              # distinct query words of a block
 WORD_ROWS = 20                 # and as many times their uses in queries
-CHUNK_CELLS = 2 << 20
-STEP_CELLS = 1 << 19           # cells of a step in numpy, few enough for a cache
-GRAM_CELLS = 1 << 20           # code points whose trigrams a task cuts at a time, one term at least
+CHUNK_CELLS = 1 << 19          # cells of a step in numpy, few enough for a cache
+GRAM_CELLS = 1 << 18           # code points whose trigrams a task cuts at a time, one term at least
 VOCABULARY_TERMS = 50_000      # terms that a task compares with a block of words
-MAX_PAIRS = 12_000_000         # similar pairs a task holds at a time, 12 bytes each in numpy
+MAX_PAIRS = 12_000_000         # similar pairs a task holds at a time, 3 to 8 bytes each in numpy
 
 
 def query_words(queries: DataFrame) -> DataFrame:
@@ -105,8 +104,9 @@ class WordMatrix:
         return self.needed[size]
 
     def compare(self, terms: pa.Array):
-        """Yield (rows, counts, columns, similarities): some terms, how many words each resembles, these words one term after another."""
-        step = max(1, STEP_CELLS // max(1, self.width))
+        """Yield (rows, sizes, counts, columns, shared): some terms, their trigrams, how many words each resembles; these words one
+        term after another, with the trigrams in common."""
+        step = max(1, CHUNK_CELLS // max(1, self.width))
         shared, more, need, near = (np.empty((step, self.width), dtype=kind) for kind in (self.kind, self.kind, self.kind, "bool"))
         ends = np.cumsum(pc.utf8_length(terms).to_numpy(zero_copy_only=False).astype("int64") + 3)
         at = 0 if self.words else len(terms)
@@ -141,11 +141,13 @@ class WordMatrix:
                     cells = (found * 8)[cells >> 3] + (cells & 7)
                     place = cells // self.width
                     columns = cells - place * self.width
-                    both = shared.ravel()[cells].astype("float64")
-                    similar = both / (size[part][place] + self.size[columns] - both)
-                    yield at + part, np.bincount(place, minlength=n), columns, similar
+                    yield at + part, size[part], np.bincount(place, minlength=n), columns, shared.ravel()[cells]
             at = end
 
+    def similarity(self, sizes: np.ndarray, columns: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        both = shared.astype("float64")
+        return both / (sizes + self.size[columns] - both)
+
 
 def word_blocks(words: DataFrame, threshold: float) -> list[WordMatrix]:
     """The distinct query words as matrices of at most about MAX_WORDS words."""
@@ -161,13 +163,15 @@ def similar_pairs(matrix: WordMatrix, vocabulary: DataFrame) -> DataFrame:
 
     def compare(batches):
         for batch in batches:
-            for rows, counts, columns, similar in shared.value.compare(batch.column("term")):
+            for rows, sizes, counts, columns, both in shared.value.compare(batch.column("term")):
+                similar = shared.value.similarity(np.repeat(sizes, counts), columns, both)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("term").take(pa.array(np.repeat(rows, counts))), pa.array(columns.astype("int32")), pa.array(similar)],
                     schema=schema)
 
     parts = max(shuffle_partitions(vocabulary.sparkSession), -(-vocabulary.count() // VOCABULARY_TERMS))
-    return vocabulary.select("term").repartition(parts, "term").mapInArrow(compare, "term string, number int, similarity double")
+    placed = vocabulary.select("term").filter("term IS NOT NULL").repartition(parts, "term")
+    return placed.mapInArrow(compare, "term string, number int, similarity double")
 
 
 def similar_terms(words: DataFrame, vocabulary: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -192,23 +196,24 @@ class Similar:
         self.length = np.array([len(ws) for ws in held], dtype="int64")
         self.first = np.cumsum(self.length) - self.length
         self.n_words = len(matrix.words)
+        self.kind = "uint16" if self.n_words < 1 << 16 else "int32"
 
     def pairs(self, terms: pa.Array, several: bool):
-        """(first, count, words, similarities) of distinct terms, by row; None if there are too many for `several` documents."""
+        """(trigrams, first, count) of distinct terms, then (words, shared) by term; None if there are too many for `several` documents."""
         if several and self.rate * len(terms) > self.most:
             return None
-        first, count = np.zeros(len(terms), "int64"), np.zeros(len(terms), "int64")
-        words, similarities, size = [np.array([], "int32")], [np.array([])], 0
-        for rows, counts, columns, similar in self.matrix.compare(terms):
-            first[rows], count[rows] = size + np.cumsum(counts) - counts, counts
-            words.append(columns.astype("int32"))
-            similarities.append(similar)
-            size += len(columns)
-            if several and size > self.most:
-                self.rate = max(self.rate, size / len(terms))
+        size, first, count = (np.zeros(len(terms), "int64") for _ in range(3))
+        words, shared, held = [np.array([], self.kind)], [np.array([], self.matrix.kind)], 0
+        for rows, sizes, counts, columns, both in self.matrix.compare(terms):
+            size[rows], first[rows], count[rows] = sizes, held + np.cumsum(counts) - counts, counts
+            words.append(columns.astype(self.kind))
+            shared.append(both)
+            held += len(columns)
+            if several and held > self.most:
+                self.rate = max(self.rate, held / len(terms))
                 return None
-        self.rate = size / max(1, len(terms))
-        return first, count, np.concatenate(words), np.concatenate(similarities)
+        self.rate = held / max(1, len(terms))
+        return size, first, count, np.concatenate(words), np.concatenate(shared)
 
     def feed(self, best: Best, ids: np.ndarray, terms: pa.ListArray) -> None:
         """Score documents by the words that their own terms resemble; too many pairs: half of them at a time."""
@@ -219,7 +224,7 @@ class Similar:
             self.feed(best, ids[:half], terms.slice(0, half))
             self.feed(best, ids[half:], terms.slice(half))
             return
-        first, count, number, similarity = pairs
+        size, first, count, number, shared = pairs
         code = coded.indices.to_numpy() if len(coded) else np.array([], "int64")
         ends = np.concatenate([[0], np.cumsum(np.diff(terms.offsets.to_numpy()))])
         every = np.arange(len(self.ids))
@@ -239,7 +244,9 @@ class Similar:
                 some, counts = rows[begin:stop], count[rows[begin:stop]]
                 place = np.repeat(first[some] - (np.cumsum(counts) - counts), counts)
                 place += np.arange(len(place))
-                np.maximum.at(near, np.repeat(docs[begin:stop] * self.n_words, counts) + number[place], similarity[place])
+                words = number[place]
+                similar = self.matrix.similarity(np.repeat(size[some], counts), words, shared[place])
+                np.maximum.at(near, np.repeat(docs[begin:stop] * self.n_words, counts) + words, similar)
                 begin = stop
             near = near.reshape(end - at, self.n_words)
             np.take(near, self.columns, axis=1, out=held[:end - at], mode="clip")

@@ -423,12 +423,13 @@ def test_word_matrix_on_odd_words(spark, monkeypatch):
 
     alike = lambda a, b: len(want[a] & want[b]) / len(want[a] | want[b])
     near = {(t, w): alike(t, w) for t in words for w in words[::2] if alike(t, w) >= 0.2}
-    for step, cells, some in ((fuzzy.STEP_CELLS, fuzzy.GRAM_CELLS, words[::2]), (1, 1, words[::2]), (300, 50, words[::2]), (300, 50, [])):
-        monkeypatch.setattr(fuzzy, "STEP_CELLS", step)
+    for step, cells, some in ((fuzzy.CHUNK_CELLS, fuzzy.GRAM_CELLS, words[::2]), (1, 1, words[::2]), (300, 50, words[::2]), (300, 50, [])):
+        monkeypatch.setattr(fuzzy, "CHUNK_CELLS", step)
         monkeypatch.setattr(fuzzy, "GRAM_CELLS", cells)
-        found = {}
-        for part, counts, columns, similar in fuzzy.WordMatrix(some, 0.2).compare(terms):
-            assert counts.sum() == len(columns) == len(similar)
+        matrix, found = fuzzy.WordMatrix(some, 0.2), {}
+        for part, sizes, counts, columns, shared in matrix.compare(terms):
+            similar = matrix.similarity(np.repeat(sizes, counts), columns, shared)
+            assert counts.sum() == len(columns) == len(shared)
             found.update({(words[r], some[c]): s for r, c, s in zip(np.repeat(part, counts), columns, similar)})
         assert found == (near if some else {})
 
