@@ -38,6 +38,8 @@ SHARD_BYTES = 32 << 20
 MIN_SHARDS, BUCKETS = 8, 4
 #: Tokens counted at a time inside a task, one text at least.
 BATCH_TOKENS = 1 << 20
+#: Terms of more bytes are not hashed in numpy.
+CODED_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -58,6 +60,37 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.hash(term), F.lit(buckets))
 
 
+def bucket_codes(terms: pa.Array, buckets: int) -> np.ndarray:
+    """`bucket_of` each term inside a task, but 0 for one of more than `CODED_BYTES`: to order rows by, not to place them."""
+    length = pc.binary_length(terms).to_numpy(zero_copy_only=False).astype("int64")
+    order = np.argsort(np.where(length > CODED_BYTES, 0, length))[::-1]
+    size = np.where(length > CODED_BYTES, 0, length)[order]
+    first = (np.cumsum(length) - length)[order]
+    text = pc.binary_join(pa.ListArray.from_arrays([0, len(terms)], terms.cast(pa.binary())), b"")[0].as_py()
+    flat = np.frombuffer(text + b"    ", dtype="uint8")
+    rotated = lambda x, by: x << np.uint32(by) | x >> np.uint32(32 - by)
+    found = np.full(len(terms), 42, dtype="uint32")
+
+    def mix(n: int, part: np.ndarray) -> None:  # into the first n, which are the longest
+        part = rotated(part * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        found[:n] = rotated(found[:n] ^ part, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+
+    for i in range(int(size.max(initial=0)) // 4):
+        n = int((size >= 4 * i + 4).sum())
+        mix(n, sum(flat[first[:n] + 4 * i + j].astype("uint32") << np.uint32(8 * j) for j in range(4)))
+    for j in range(3):  # what is left of a length that is no multiple of four: signed bytes
+        some = np.flatnonzero(size % 4 > j)
+        rest = flat[first[some] + size[some] // 4 * 4 + j].astype("int8").astype("int32").view("uint32")
+        part = rotated(rest * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        found[some] = rotated(found[some] ^ part, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    found ^= size.astype("uint32")
+    for by, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        found = (found ^ found >> np.uint32(by)) * np.uint32(times)
+    codes = np.zeros(len(terms), dtype="int64")
+    codes[order] = np.where(length[order] > CODED_BYTES, 0, found.view("int32") % buckets)
+    return codes
+
+
 def by_field(corpus: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """(field, doc_id, text): one row per text."""
     texts = [F.struct(F.lit(name).alias("field"), col.alias("text")) for name, col in fields.items()]
@@ -73,8 +106,10 @@ def doc_lengths(corpus: DataFrame, fields: dict[str, Column], analyzer: Analyzer
     return by_field(corpus, fields).select("field", "doc_id", F.size(kept).alias("doc_len"))
 
 
-def _counted(field: pa.Array, doc_id: pa.Array, words: pa.ListArray, schema: pa.Schema, with_lengths: bool = False):
-    """Postings of some texts, from one stable sort of their tokens by (text, term); then their lengths, if asked for."""
+def _counted(field: pa.Array, doc_id: pa.Array, words: pa.ListArray, schema: pa.Schema, with_lengths: bool = False,
+             buckets: int = 0):
+    """Postings of some texts, from one stable sort of their tokens by (text, term), or (bucket, text, term) with buckets;
+    then their lengths, if asked for."""
     lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype("int64")
     coded = words.flatten().dictionary_encode()
     codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype("int64")
@@ -83,6 +118,8 @@ def _counted(field: pa.Array, doc_id: pa.Array, words: pa.ListArray, schema: pa.
     row, pos, codes = (x[codes >= 0] for x in (row, pos, codes))  # stop words only keep their place
     doc_len = np.bincount(row, minlength=len(lengths))
     key = row * max(1, len(coded.dictionary)) + codes
+    if buckets:
+        key += bucket_codes(coded.dictionary, buckets)[codes] * (len(lengths) * max(1, len(coded.dictionary)))
     order = np.argsort(key, kind="stable")
     starts = np.flatnonzero(np.diff(key[order], prepend=-1))
     first, ends = order[starts], np.append(starts, len(order))
@@ -100,9 +137,11 @@ def _counted(field: pa.Array, doc_id: pa.Array, words: pa.ListArray, schema: pa.
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def postings_of(corpus: DataFrame, fields: dict[str, Column], analyzer: Analyzer, with_lengths: bool = False) -> DataFrame:
+def postings_of(corpus: DataFrame, fields: dict[str, Column], analyzer: Analyzer, with_lengths: bool = False, buckets: int = 0) -> DataFrame:
     """Terms counted where the texts lie, some texts at a time: no shuffle.
 
+    With buckets, the rows of some texts come by bucket, so that a sort by bucket merges a few runs.
+
     With lengths, every text has one more row without a term, which holds its length as `doc_lengths` does.
     """
     english = full_language(analyzer.language) == "english"
@@ -124,7 +163,7 @@ def postings_of(corpus: DataFrame, fields: dict[str, Column], analyzer: Analyzer
                 end = max(at + 1, int(np.searchsorted(tokens, before + BATCH_TOKENS, "right")))
                 part = batch.slice(at, end - at)
                 held = part.column("words")
-                yield from _counted(part.column("field"), part.column("doc_id"), stem_lists(held) if english else held, schema, with_lengths)
+                yield from _counted(part.column("field"), part.column("doc_id"), stem_lists(held) if english else held, schema, with_lengths, buckets)
                 at = end
 
     return rows.mapInArrow(count, kind)
@@ -193,7 +232,7 @@ def build_index(
     shards = shards or shards_for(text_bytes)
     name = catalog_name(path)
     placed = corpus.repartition(shards, "doc_id")
-    postings = postings_of(placed, fields, analyzer)
+    postings = postings_of(placed, fields, analyzer, buckets=buckets)
     (
         postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
         .sortWithinPartitions("bucket", "term")
